@@ -61,3 +61,37 @@ def group_sizes(df: DataFrame, part_cols: list[str], out: str = "_n") -> DataFra
     """Attach the row count of each group (aggregate + join; the aggregate
     is map-side combined and the join is broadcast by AQE when small)."""
     return df.join(df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias(out)), part_cols)
+
+
+def running(df: DataFrame, part_cols: list[str], order: list, *, sums=(), maxes=(),
+            inclusive: bool = True, n_buckets: int | None = None) -> DataFrame:
+    """Running sums (``cum_<c>``, plus ``<c>_total`` per group) and running
+    maxima (``runmax_<c>``) along ``order`` within ``part_cols``.
+
+    The rows are range-partitioned on ``(part_cols, order)``; the partition
+    index is then an order-preserving bucket.  Bucket aggregates (a small
+    table) give each bucket its offset; the final window is per
+    ``(group, bucket)``, so no task holds a whole group.  With
+    ``inclusive=False`` the current row is left out (a lag-style value)."""
+    nb = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    d = df.repartitionByRange(nb, *part_cols, *order_cols).withColumn("_bk", F.spark_partition_id())
+    per = d.groupBy(*part_cols, "_bk").agg(
+        *[F.sum(c).alias(f"_bs_{c}") for c in sums], *[F.max(c).alias(f"_bm_{c}") for c in maxes])
+    before = Window.partitionBy(*part_cols).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part_cols)
+    offs = per.select(*[F.col(c).alias(f"_o_{c}") for c in part_cols], F.col("_bk").alias("_obk"),
+                      *[F.sum(f"_bs_{c}").over(before).alias(f"_os_{c}") for c in sums],
+                      *[F.max(f"_bm_{c}").over(before).alias(f"_om_{c}") for c in maxes],
+                      *[F.sum(f"_bs_{c}").over(whole).alias(f"{c}_total") for c in sums])
+    cond = [d["_bk"] == offs["_obk"]] + [d[c].eqNullSafe(offs[f"_o_{c}"]) for c in part_cols]
+    j = d.join(offs, cond).drop("_obk", *[f"_o_{c}" for c in part_cols])
+    end = Window.currentRow if inclusive else -1
+    local = (Window.partitionBy(*part_cols, "_bk").orderBy(*order_cols)
+             .rowsBetween(Window.unboundedPreceding, end))
+    for c in sums:
+        j = j.withColumn(f"cum_{c}", F.coalesce(F.col(f"_os_{c}"), F.lit(0)) +
+                         F.coalesce(F.sum(c).over(local), F.lit(0)))
+    for c in maxes:
+        j = j.withColumn(f"runmax_{c}", F.greatest(F.col(f"_om_{c}"), F.max(c).over(local)))
+    return j.drop("_bk", *[f"_os_{c}" for c in sums], *[f"_om_{c}" for c in maxes])
