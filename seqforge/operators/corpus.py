@@ -161,3 +161,83 @@ def corpus_size(windows: DataFrame, max_len: int) -> DataFrame:
     """Windows, and tokens including padding (= windows x max_len)."""
     return windows.agg(F.count(F.lit(1)).alias("n_windows"),
                        (F.count(F.lit(1)) * max_len).alias("n_tokens"))
+
+
+# T8 / T9 / T10 --------------------------------------------------------------
+def choose_tokens(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame) -> DataFrame:
+    """Per position of ``col``: the frequency-chosen token and its length.
+
+    Candidates at position i are the 2- and 3-gram starting there (one
+    candidate near the end).  Their ``freq_z`` (0 when unseen) decide: the
+    last character is always single; a zero sum of the candidates' values
+    emits the single character; otherwise the highest value wins, ties to
+    the shorter token.  Positions are exploded from linear-time arrays
+    (chars and lookahead n-grams) and the vocabulary — bounded by the
+    alphabet — is broadcast-joined twice.  Returns ``(*keys, _i, tok, hop)``."""
+    s = F.col(col)
+    z = F.arrays_zip(F.split(s, "").alias("ch"),
+                     F.regexp_extract_all(s, F.lit("(?s)(?=(.{2}))"), 1).alias("g2"),
+                     F.regexp_extract_all(s, F.lit("(?s)(?=(.{3}))"), 1).alias("g3"))
+    # the length is computed before the generator: written next to it,
+    # Catalyst would evaluate it once per exploded row (quadratic)
+    pos = (df.select(*key_cols, z.alias("_zs")).select(*key_cols, F.size("_zs").alias("_n"), "_zs")
+             .select(*key_cols, "_n", F.posexplode("_zs").alias("_i", "_z"))
+             .select(*key_cols, "_n", "_i", F.col("_z.ch").alias("ch"), F.col("_z.g2").alias("g2"),
+                     F.col("_z.g3").alias("g3")))
+    v = vocab_z.select("token", F.col("freq_z").cast("double").alias("z"))
+    pos = (pos.join(F.broadcast(v.withColumnRenamed("token", "g2").withColumnRenamed("z", "z2")), "g2", "left")
+              .join(F.broadcast(v.withColumnRenamed("token", "g3").withColumnRenamed("z", "z3")), "g3", "left"))
+    z2 = F.coalesce(F.col("z2"), F.lit(0.0))
+    z3 = F.coalesce(F.col("z3"), F.lit(0.0))
+    total = F.when(F.col("g3").isNull(), z2).otherwise(z2 + z3)
+    single = (F.col("_i") == F.col("_n") - 1) | F.col("g2").isNull() | (total == 0)
+    tok = (F.when(single, F.col("ch")).when(F.col("g3").isNull(), F.col("g2"))
+            .when(z3 > z2, F.col("g3")).otherwise(F.col("g2")))
+    return pos.select(*key_cols, "_i", tok.alias("tok"), F.length(tok).alias("hop"))
+
+
+def _ordered(pos: DataFrame, key_cols: list[str]) -> DataFrame:
+    """Positions back into one ordered array per key (a shuffle by key; each
+    group is one row's positions, bounded by that row's length)."""
+    return pos.groupBy(*key_cols).agg(
+        F.array_sort(F.collect_list(F.struct("_i", "tok", "hop"))).alias("_arr"))
+
+
+def tokenize_fmfcm(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame) -> DataFrame:
+    """The frequency choice at every position, step 1 (overlapping).
+    Unseen tokens count 0 (the reference raises)."""
+    arr = _ordered(choose_tokens(df, col, key_cols, vocab_z), key_cols)
+    return arr.select(*key_cols, F.transform("_arr", lambda x: x["tok"]).alias("tokens"))
+
+
+def _walk(arr: Column) -> Column:
+    """Greedy left-to-right walk: from position 0 take the chosen token and
+    jump by its length."""
+    init = F.struct(F.lit(0).alias("nxt"), F.array().cast("array<string>").alias("toks"))
+    return F.aggregate(arr, init, lambda acc, x: F.when(
+        x["_i"] == acc["nxt"],
+        F.struct((x["_i"] + x["hop"]).alias("nxt"), F.concat(acc["toks"], F.array(x["tok"])).alias("toks")))
+        .otherwise(acc))["toks"]
+
+
+def tokenize_fmfm(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame) -> DataFrame:
+    """Forward maximum-frequency matching — the same choice, then jump
+    by the chosen token's length."""
+    arr = _ordered(choose_tokens(df, col, key_cols, vocab_z), key_cols)
+    return arr.select(*key_cols, _walk(F.col("_arr")).alias("tokens"))
+
+
+def tokenize_pair(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame,
+                  method: str = "fmfm") -> DataFrame:
+    """``a-b`` split at the hyphen, both sides tokenized, a ``-`` token
+    between them.  Anything but exactly one hyphen fails the job."""
+    parts = F.split(F.col(col), "-", -1)
+    sides = (df.select(*key_cols, F.when(F.size(parts) == 2, parts).otherwise(
+                F.raise_error(F.concat(F.lit("expected one hyphen: "), F.col(col))).cast("array<string>"))
+                .alias("_p"))
+               .select(*key_cols, F.posexplode("_p").alias("_side", "_part")))
+    tk = tokenize_fmfm if method == "fmfm" else tokenize_fmfcm
+    per = tk(sides, "_part", [*key_cols, "_side"], vocab_z)
+    both = per.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("_side", "tokens"))).alias("_s"))
+    return both.select(*key_cols, F.concat(F.col("_s")[0]["tokens"], F.array(F.lit(GAP)),
+                                           F.col("_s")[1]["tokens"]).alias("tokens"))
