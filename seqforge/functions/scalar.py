@@ -36,7 +36,7 @@ def parse_label(col, mode: str = "strict01") -> Column:
     if mode == "is_labeled":
         return c.isNotNull() & (F.lower(c.cast("string")) != "unknown")
     if mode == "gt1":
-        return F.when(c.cast("double") > 1, F.lit(1)).otherwise(F.lit(0))
+        return F.when(c.cast("string").try_cast("double") > 1, F.lit(1)).otherwise(F.lit(0))
     raise ValueError(f"unknown label mode {mode!r}; expected one of {LABEL_MODES}")
 
 
@@ -145,4 +145,4 @@ def round_up_pow2(n) -> Column:
     n-1, exact for all positive longs (a log2 form is off at 2^29)."""
     c = _c(n).cast("long")
     return F.when(c <= 1, F.lit(1).cast("long")).otherwise(
-        F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(c - 1))))
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(c - 1))))
