@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from seqforge.plans import q_clean, q_corpus, q_metrics, q_splits  # noqa: F401
+from seqforge.plans import q_clean, q_corpus, q_metrics, q_relate, q_splits  # noqa: F401
 from seqforge.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

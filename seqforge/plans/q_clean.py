@@ -220,7 +220,7 @@ def q_p19(spark, d):
 
 
 @register("p20_required_window", sql=V.with_views("seqs") + f"""
-SELECT max(length(sequence)) AS max_tokens,
+SELECT CAST(max(length(sequence)) AS INTEGER) AS max_tokens,
        CAST(pow(2, ceil(log2(max(length(sequence))))) AS BIGINT) AS window FROM seqs WHERE {_VALID.format(x='sequence')}""")
 def q_p20(spark, d):
     """P20: longest character-token count and the window it needs."""
