@@ -83,14 +83,15 @@ def pair_label_compare(a: DataFrame, b: DataFrame, pep: str, hla: str, label: st
 
 # J4 ------------------------------------------------------------------------
 def dedupe_pairs(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Keep the first row (smallest ``order``) per normalised key.  A
-    ``min_by`` aggregate: partial aggregation map-side, so a hot key never
-    sits whole in one task."""
+    """Keep the first row (smallest ``order``, ties broken by the rest of the
+    row, so the pick is deterministic) per normalised key.  A ``min`` over
+    a struct: partial aggregation map-side, so a hot key never sits whole
+    in one task."""
     d = df.select(*[F.upper(F.trim(F.col(k))).alias(k) if i == 0 else F.trim(F.col(k)).alias(k)
                     for i, k in enumerate(keys)],
                   F.struct(*[c for c in df.columns if c not in keys]).alias("_row"), F.col(order).alias("_o"))
-    first = d.groupBy(*keys).agg(F.min_by("_row", "_o").alias("_row"))
-    return first.select(*keys, "_row.*")
+    first = d.groupBy(*keys).agg(F.min(F.struct("_o", "_row")).alias("_m"))
+    return first.select(*keys, "_m._row.*")
 
 
 # J5 ------------------------------------------------------------------------

@@ -109,9 +109,10 @@ def q_j3(spark, d):
 
 
 @register("j4_dedupe_pairs", sql=V.with_views(extra=[("li", _LI_SQL)]) + """
-SELECT antigen, tcr, arg_min(label, l_linenumber) AS label, min(l_linenumber) AS l_linenumber FROM (
-  SELECT upper(trim(antigen)) AS antigen, trim(split_part(tcr, ';', 1)) AS tcr, label, l_linenumber FROM li)
-GROUP BY antigen, tcr""")
+SELECT antigen, tcr, label, l_linenumber FROM (
+  SELECT *, row_number() OVER (PARTITION BY antigen, tcr ORDER BY l_linenumber, label) AS rn FROM (
+    SELECT upper(trim(antigen)) AS antigen, trim(split_part(tcr, ';', 1)) AS tcr, label, l_linenumber FROM li))
+WHERE rn = 1""")
 def q_j4(spark, d):
     """First line item per (antigen, order) pair."""
     li = _li_pairs(spark, d).withColumn("tcr", F.split_part("tcr", F.lit(";"), F.lit(1)))
