@@ -200,7 +200,7 @@ def _ordered(pos: DataFrame, key_cols: list[str]) -> DataFrame:
     """Positions back into one ordered array per key (a shuffle by key; each
     group is one row's positions, bounded by that row's length)."""
     return pos.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("_i", "tok", "hop"))).alias("_arr"))
+        F.sort_array(F.collect_list(F.struct("_i", "tok", "hop"))).alias("_arr"))
 
 
 def tokenize_fmfcm(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame) -> DataFrame:
@@ -238,6 +238,6 @@ def tokenize_pair(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFra
                .select(*key_cols, F.posexplode("_p").alias("_side", "_part")))
     tk = tokenize_fmfm if method == "fmfm" else tokenize_fmfcm
     per = tk(sides, "_part", [*key_cols, "_side"], vocab_z)
-    both = per.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("_side", "tokens"))).alias("_s"))
+    both = per.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("_side", "tokens"))).alias("_s"))
     return both.select(*key_cols, F.concat(F.col("_s")[0]["tokens"], F.array(F.lit(GAP)),
                                            F.col("_s")[1]["tokens"]).alias("tokens"))

@@ -47,7 +47,7 @@ def lookup_alleles(df: DataFrame, key_cols: list[str], cell: str, lookup: DataFr
     hits = parts.join(l1, "_k1", "left").join(l2, "_k2", "left") \
                 .withColumn("_hit", F.coalesce("_h1", "_h2"))
     per_row = hits.groupBy(*key_cols).agg(
-        F.array_sort(F.collect_list(F.struct("_p", "_hit"))).alias("_h"))
+        F.sort_array(F.collect_list(F.struct("_p", "_hit"))).alias("_h"))
     joined_seq = per_row.select(*key_cols, F.array_join(
         F.filter(F.transform("_h", lambda x: x["_hit"]), lambda s: s.isNotNull() & (s != "")), ";")
         .alias("hla_sequence"))

@@ -254,7 +254,7 @@ def shuffle(df: DataFrame, key_cols: list[str], seed: int = 42) -> DataFrame:
 def split_overlap(df: DataFrame, key_cols: list[str], split_col: str = "split") -> DataFrame:
     """Keys present in more than one split, with the sorted split names.
     The per-key set is bounded by the number of splits."""
-    return (df.groupBy(*key_cols).agg(F.array_sort(F.collect_set(split_col)).alias("_s"))
+    return (df.groupBy(*key_cols).agg(F.sort_array(F.collect_set(split_col)).alias("_s"))
               .filter(F.size("_s") > 1)
               .select(*key_cols, F.array_join("_s", ",").alias("splits"),
                       F.size("_s").alias("n_splits")))
