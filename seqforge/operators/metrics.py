@@ -289,24 +289,9 @@ def spearman(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFr
     return r.groupBy(*by).agg(F.corr("_ry", "_rp").alias("spearman"))
 
 
-# G17 -----------------------------------------------------------------------
-def c_index(df: DataFrame, by: list[str], y: str = "y", p: str = "p",
-            n_blocks: int | None = None) -> DataFrame:
-    """Concordance index over all pairs with ``Y[i] > Y[j]``: 1 when
-    ``P[i] > P[j]``, 1/2 when equal; 0 when there is no such pair.
-
-    No pair is enumerated.  Rows are sorted by (y, p) and cut into range
-    blocks; each block answers, for its rows, how many rows of lower y have
-    lower / equal p using (a) per-block sorted p arrays of *earlier* blocks
-    is avoided — instead the counts come from running sums over the p order
-    of rows with smaller y, computed as: concordant(i) = #{j: y_j < y_i,
-    p_j < p_i}.  This equals the number of rows with p_j < p_i minus those
-    with y_j >= y_i and p_j < p_i; both sides are 2-D dominance counts, so
-    the block step uses numpy (searchsorted) inside ``applyInPandas`` per
-    y-block over that block's rows plus a per-(y-block, p) histogram of all
-    lower blocks joined in as running sums.  See ``concordance_counts``."""
-    from seqforge.operators.concordance import concordance_counts
-    return concordance_counts(df, by, y, p, n_blocks)
+# G17 (c-index) is not built yet: an exact all-pairs concordance needs a
+# distributed 2-D dominance count; enumerating pairs is not acceptable at
+# scale.  See README "Open items".
 
 
 # G18 -----------------------------------------------------------------------
