@@ -102,9 +102,9 @@ def curve_metrics(df: DataFrame, by: list[str], y_true: str = "y_true",
     tp0, fp0 = tp - F.col("pos"), fp - F.col("neg")
     prec = tp / (tp + fp)
     prec0 = F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0))
-    dr = F.col("pos") / P
+    dr = F.try_divide(F.col("pos"), P)  # a missing class gives null terms, then NaN below
     terms = c.select(*by, "pos_total", "neg_total",
-                     (F.col("neg") / N * (tp + tp0) / (2 * P)).alias("_auc"),
+                     F.try_divide(F.try_divide(F.col("neg"), N) * (tp + tp0), 2 * P).alias("_auc"),
                      (dr * (prec + prec0) / 2).alias("_pr"), (dr * prec).alias("_ap"))
     ok = (F.first("pos_total") > 0) & (F.first("neg_total") > 0)
     return terms.groupBy(*by).agg(
