@@ -353,3 +353,11 @@ SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws(chr(31),
 def q_g24(spark, d):
     """Order-free fingerprint of the sequence table."""
     return G.dataset_fingerprint(V.seqs(spark, d), ["doc_id", "sequence"])
+
+
+@register("g17_c_index")
+def q_g17(spark, d):
+    """Concordance index of price vs quantity per line number, over all
+    pairs of the whole table (no SQL oracle: the all-pairs SQL is quadratic;
+    checked against brute force on small inputs in tests)."""
+    return _r6(G.c_index(V.reg(spark, d), ["l_linenumber"]), ["c_index"])

@@ -128,3 +128,22 @@ def test_fold_report_single_fold_sd_zero(spark):
     m = spark.createDataFrame([(1, 0.8)], "fold int, auc double")
     rows = {r.fold: r.auc for r in G.fold_report(m, "fold", ["auc"], ddof=1).collect()}
     assert rows == {"1": 0.8, "avg": 0.8, "sd": 0.0}
+
+
+def test_c_index_matches_brute_force(spark):
+    import random
+    rnd = random.Random(7)
+    rows = [(g, float(rnd.randint(0, 6)), float(rnd.randint(0, 9))) for g in (1, 2) for _ in range(60)]
+    rows += [(3, 1.0, 1.0)]  # a group without any pair
+    df = spark.createDataFrame(rows, "g int, y double, p double")
+    got = {r.g: (r.n_pairs, r.c_index) for r in G.c_index(df, ["g"]).collect()}
+    for grp in (1, 2, 3):
+        pts = [(y, p) for g, y, p in rows if g == grp]
+        num = pairs = 0
+        for yi, pi in pts:
+            for yj, pj in pts:
+                if yi > yj:
+                    pairs += 1
+                    num += 1.0 if pi > pj else (0.5 if pi == pj else 0.0)
+        assert got[grp][0] == pairs
+        assert abs(got[grp][1] - (num / pairs if pairs else 0.0)) < 1e-12
