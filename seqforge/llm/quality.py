@@ -40,6 +40,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def words_of(text: Column) -> Column:
+    return F.array_remove(F.split(text, SPACES), "")
+
+
 def short(word: Column) -> Column:
     return (F.length(word) <= SHORT) & (word != "")
 
@@ -100,7 +104,7 @@ def features(docs: DataFrame, common: DataFrame, lang_col: str, text_col: str) -
     of the language's common words and of its other short words (_hist)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.join(common.withColumnRenamed("ref_lang", "_lang"), lang_of(lang_col) == F.col("_lang"), "left").drop("_lang")
-    out = out.withColumn("_rest", F.regexp_replace(text, r"[a-z]+", "")).withColumn("_w", F.array_remove(F.split(text, SPACES), ""))
+    out = out.withColumn("_rest", F.regexp_replace(text, r"[a-z]+", "")).withColumn("_w", words_of(text))
     out = out.withColumn("_g", repeat_hashes(F.col("_w")))
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     rest = F.col("_rest")
