@@ -45,8 +45,8 @@ b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGH
 win AS (SELECT DISTINCT item_id, n, array_to_string(w[p:p + n - 1], ' ') AS s
   FROM (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) AS u(p)),
 sizes AS (SELECT DISTINCT n FROM win),
-at AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM t, sizes, unnest(range(1, len(w) - n + 2)) AS u(p)),
-found AS (SELECT doc_id, p, at.n, item_id FROM at JOIN win ON at.n = win.n AND at.s = win.s),
+occ AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM t, sizes, unnest(range(1, len(w) - n + 2)) AS u(p)),
+found AS (SELECT doc_id, p, occ.n, item_id FROM occ JOIN win ON occ.n = win.n AND occ.s = win.s),
 hit AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM found) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id)
