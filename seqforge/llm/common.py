@@ -17,7 +17,7 @@ from seqforge.session import ensure_checkpoint_dir
 
 #: The whitespace that separates words: blank and 0x09-0x0D.
 SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 U64 = np.uint64
 
 

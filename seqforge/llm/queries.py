@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqforge.llm import decontaminate, mixing, quality, simhash, substring_dedup
+from seqforge.llm import classifier, decontaminate, mixing, quality, simhash, substring_dedup, warc
 from seqforge.llm.common import table
 
 
@@ -22,12 +22,21 @@ def op5_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark, sf_dir):
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_quality_classifier(spark, sf_dir):
+    return classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_simhash, op3_quality_rules, op5_mixing, op7_decontaminate)}
+    op1_substring_dedup, op2_simhash, op3_quality_rules, op5_mixing, op6_warc, op7_decontaminate,
+    op10_quality_classifier)}
 
 SQL = {
     "op1_substring_dedup": r"""
@@ -39,6 +48,13 @@ lost AS (SELECT doc_id, list(q) AS q FROM gone GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(len(q), 0)::BIGINT AS n_removed,
   sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(q, []), i)), ' ')) AS kept_sha256
 FROM t LEFT JOIN lost USING (doc_id)""",
+    "op6_warc": """
+WITH t AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM t)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+FROM m""",
     "op7_decontaminate": r"""
 WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
