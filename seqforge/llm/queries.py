@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqforge.llm import classifier, decontaminate, mixing, quality, simhash, substring_dedup, warc
+from seqforge.llm import classifier, decontaminate, html_text, mixing, quality, simhash, substring_dedup, warc
 from seqforge.llm.common import table
 
 
@@ -30,13 +30,17 @@ def op7_decontaminate(spark, sf_dir):
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html_text(spark, sf_dir):
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark, sf_dir):
     return classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_simhash, op3_quality_rules, op5_mixing, op6_warc, op7_decontaminate,
-    op10_quality_classifier)}
+    op8_html_text, op10_quality_classifier)}
 
 SQL = {
     "op1_substring_dedup": r"""
