@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from seqforge.llm import classifier, decontaminate, html_text, mixing, quality, simhash, substring_dedup, warc
+from seqforge.llm import classifier, ctw, decontaminate, html_text, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
 from seqforge.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_quality_rules(spark, sf_dir):
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_ctw(spark, sf_dir):
+    return ctw.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -34,13 +38,18 @@ def op8_html_text(spark, sf_dir):
     return html_text.digest(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_classifier(spark, sf_dir):
     return classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_substring_dedup, op2_simhash, op3_quality_rules, op5_mixing, op6_warc, op7_decontaminate,
-    op8_html_text, op10_quality_classifier)}
+    op1_substring_dedup, op2_simhash, op3_quality_rules, op4_ctw, op5_mixing, op6_warc, op7_decontaminate,
+    op8_html_text, op9_suffix_dedup,
+    op10_quality_classifier)}
 
 SQL = {
     "op1_substring_dedup": r"""

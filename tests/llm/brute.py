@@ -116,3 +116,18 @@ def repeated_bytes(rows, size):
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((i, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
     return out
+
+
+def unigram(rows):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score)"""
+    import math
+    import zlib
+    seen = Counter()
+    toks = [[*words((t or "").encode().lower().decode()), None] for _, t in rows]
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    for w, h in zip(toks, held):
+        if not h:
+            seen.update(w)
+    n, v = sum(seen.values()), len(seen)
+    return [(i, h, len(w), sum(seen[x] > 0 for x in w), n, sum(math.log10((seen[x] + 1) / (n + v + 1)) for x in w))
+            for (i, _), w, h in zip(rows, toks, held)]
