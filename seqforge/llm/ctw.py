@@ -20,6 +20,7 @@ their distinct tokens to one task per hash range, which answers the counts.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql import types as T
 
 from seqforge.llm import common as C
 
-DEPTH = 4
+DEPTH = 6
 MAX_GRAMS = 1 << 20
 END = 0xFF  # in no UTF-8 text: it ends a text and fills the context before it
 #: Distinct grams that a task holds before it sends them.
@@ -64,6 +65,11 @@ def gram_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (key << BYTE) | seq[at], first
 
 
+def gram_of(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The grams with their contexts cut to ``depth`` bytes."""
+    return ((keys >> C.U64(8 * (DEPTH - depth + 1))) << BYTE) | (keys & C.U64(255))
+
+
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     k = keys[order]
@@ -184,8 +190,9 @@ class Tree:
     def __init__(self, levels: dict):
         self.levels = levels
 
-    def bits(self, keys: np.ndarray) -> np.ndarray:
-        """Code length in bits of the last byte of each gram."""
+    def bits(self, keys: np.ndarray, top: int = DEPTH) -> np.ndarray:
+        """Code length in bits of the last byte of each gram, from contexts of
+        ``top`` bytes at most."""
         byte = keys & C.U64(255)
         total = np.zeros(len(keys))
         for k in range(8):
@@ -194,7 +201,7 @@ class Tree:
             left = np.ones(len(keys))
             mixed = np.zeros(len(keys))
             live = np.ones(len(keys), bool)
-            for depth in range(DEPTH + 1):
+            for depth in range(top + 1):
                 table, estimate, stop = self.levels[depth]
                 want = ((keys >> C.U64(8 * (DEPTH - depth + 1))) << BYTE) | node
                 at = np.minimum(np.searchsorted(table, want), max(len(table) - 1, 0))
@@ -205,7 +212,7 @@ class Tree:
                 live = here
                 one[here] = estimate[at[here]]
                 w = np.where(here, stop[at], 1.0) if len(table) else np.ones(len(keys))
-                if depth == DEPTH:
+                if depth == top:
                     w = np.ones(len(keys))
                 mixed[here] += left[here] * w[here] * one[here]
                 left[here] *= 1 - w[here]
@@ -220,15 +227,13 @@ def _grams(least: int, upper):
             for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 k, c = C.unpack_sorted(keys), np.frombuffer(counts, np.int64)
                 levels = subtree(k, c, least)[0]
-                bits = Tree({**upper.value, **{d: x for d, *x in levels}}).bits(k).astype(np.float32)
-                if least > 1:  # only what the tree tells apart is sent
-                    _, at = np.unique(k >> BYTE, return_inverse=True)
-                    own = np.bincount(at, c)[at] >= least
-                    k, bits = k[own], bits[own]
-                yield pa.RecordBatch.from_pydict({"depth": pa.array([-1, *[d for d, *_ in levels]], pa.int32()),
-                                                  "node": [k.tobytes(), *[x[1].tobytes() for x in levels]],
-                                                  "one": [bits.tobytes(), *[x[2].tobytes() for x in levels]],
-                                                  "stop": [b"", *[x[3].tobytes() for x in levels]]})
+                tree = Tree({**upper.value, **{d: x for d, *x in levels}})
+                for depth, *x in levels:
+                    g, _ = np.unique(gram_of(k, depth), return_index=True)
+                    g = g[np.isin(g >> BYTE, x[0] >> BYTE)]
+                    bits = tree.bits(((g >> BYTE) << C.U64(8 * (DEPTH - depth + 1))) | (g & C.U64(255)), depth).astype(np.float32)
+                    yield pa.RecordBatch.from_pydict({"depth": pa.array([depth, -depth], pa.int32()), "node": [x[0].tobytes(), g.tobytes()],
+                                                      "one": [x[1].tobytes(), bits.tobytes()], "stop": [x[2].tobytes(), b""]})
     return run
 
 
@@ -258,64 +263,98 @@ def train(docs: DataFrame, text_col: str = "text", max_grams: int = MAX_GRAMS) -
         z, o, s = (np.bincount(at, x, len(node)) for x in (z, o, weighted))
     sent = spark.sparkContext.broadcast(upper)
     rows = grams.select("keys", "counts").mapInArrow(_grams(least, sent), "depth int, node binary, one binary, stop binary").collect()
-    model = {"levels": dict(upper)}
-    for depth in range(-1, DEPTH + 1):
-        if depth in upper:
-            continue
-        own = [r for r in rows if r["depth"] == depth]
-        node, one, stop = (np.concatenate([np.frombuffer(r[k], t) for r in own] or [np.zeros(0, t)]) for k, t in (("node", C.U64), ("one", np.float32), ("stop", np.float32)))
-        order = np.argsort(node)
-        if depth < 0:
-            model["grams"], model["bits"] = node[order], one[order]
-        else:
-            model["levels"][depth] = node[order], one[order], stop[order]
+    model = {"name": uuid.uuid4().hex, "levels": dict(upper), "grams": {}}
+    for depth in range(DEPTH, 1, -1):
+        for kind in (depth, -depth):
+            own = [r for r in rows if r["depth"] == kind]
+            node, one, stop = (np.concatenate([np.frombuffer(r[k], t) for r in own] or [np.zeros(0, t)]) for k, t in (("node", C.U64), ("one", np.float32), ("stop", np.float32)))
+            order = np.argsort(node)
+            if kind > 0:
+                model["levels"][depth] = node[order], one[order], stop[order]
+            else:
+                model["grams"][depth] = node[order], one[order]
     return model
 
 
-class Scorer:
-    """Code lengths of grams: a hash table of those in the tree, the tree for others."""
+class Lookup:
+    """Open-addressing hash table from 64-bit keys to floats."""
 
-    def __init__(self, model: dict):
-        self.tree = Tree(model["levels"])
-        keys, bits = model["grams"], model["bits"]
-        self.shift = C.U64(64 - max(4, int(2 * len(keys) + 1).bit_length()))
-        size = 1 << (64 - int(self.shift))
-        self.mask = size - 1
-        self.keys = np.full(size, ~C.U64(0))
-        self.bits = np.zeros(size, np.float32)
+    EMPTY = ~C.U64(0)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, int(2 * len(keys) + 1).bit_length())
+        self.shift, self.mask = C.U64(65 - size.bit_length()), size - 1
+        self.keys, self.values = np.full(size, self.EMPTY), np.zeros(size, np.float32)
         live, at = np.arange(len(keys)), self.slot(keys)
         while len(live):
-            free = self.keys[at] == ~C.U64(0)
+            free = self.keys[at] == self.EMPTY
             self.keys[at[free]] = keys[live[free]]
             done = self.keys[at] == keys[live]
-            self.bits[at[done]] = bits[live[done]]
+            self.values[at[done]] = values[live[done]]
             live, at = live[~done], (at[~done] + 1) & self.mask
 
-    def slot(self, keys):
+    def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * C.U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(values, found)"""
         at = self.slot(keys)
-        found = self.keys[at]
-        out = self.bits[at].astype(np.float64)
-        live = np.flatnonzero((found != keys) & (found != ~C.U64(0)))
-        missing = [np.flatnonzero(found == ~C.U64(0))]
+        here = self.keys[at]
+        hit = here == keys
+        out = self.values[at]
+        live = np.flatnonzero(~hit & (here != self.EMPTY))
         at = at[live]
         while len(live):
             at = (at + 1) & self.mask
-            found = self.keys[at]
-            hit = found == keys[live]
-            out[live[hit]] = self.bits[at[hit]]
-            none = found == ~C.U64(0)
-            missing.append(live[none])
-            live, at = live[~(hit | none)], at[~(hit | none)]
-        missing = np.concatenate(missing)
-        if len(missing):
-            uniq, where = np.unique(keys[missing], return_inverse=True)
-            out[missing] = self.tree.bits(uniq)[where]
+            here = self.keys[at]
+            got = here == keys[live]
+            out[live[got]] = self.values[at[got]]
+            hit[live[got]] = True
+            go = ~got & (here != self.EMPTY)
+            live, at = live[go], at[go]
+        return out, hit
+
+
+class Scorer:
+    """Code lengths of grams.  A gram that the tree has is looked up; one whose
+    context it does not have is looked up with a shorter context; only a byte
+    that a known context never had before it walks the tree."""
+
+    def __init__(self, model: dict):
+        self.tree = Tree(model["levels"])
+        self.grams = {d: Lookup(*x) for d, x in model["grams"].items()}
+        self.contexts = {d: Lookup(u, np.zeros(len(u))) for d, (g, _) in model["grams"].items() if d > 2 for u in [np.unique(g >> BYTE)]}
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out, walk = np.zeros(len(keys)), []
+        live = np.arange(len(keys))
+        for depth in range(DEPTH, 1, -1):
+            g = gram_of(keys[live], depth)
+            bits, hit = self.grams[depth].find(g)
+            out[live[hit]] = bits[hit]
+            live, g = live[~hit], g[~hit]
+            if depth > 2:
+                known = self.contexts[depth].find(g >> BYTE)[1]
+                walk.append(live[known])
+                live = live[~known]
+        walk = np.concatenate([*walk, live])
+        if len(walk):
+            uniq, at = np.unique(keys[walk], return_inverse=True)
+            out[walk] = self.tree.bits(uniq)[at]
         return out
 
 
+MADE: dict = {}
+
+
+def scorer_of(model: dict) -> Scorer:
+    """The worker's scorer: made once and kept for the tasks that follow."""
+    if model["name"] not in MADE:
+        MADE.clear()
+        MADE[model["name"]] = Scorer(model)
+    return MADE[model["name"]]
+
+
 # ---------------------------------------------------------------- unigram base and scores
 
 def _tokens(texts):
@@ -354,11 +393,8 @@ def _answer(key, t):
 
 
 def _score(model, ranges, distinct, tokens, text_col, schema):
-    cache: dict = {}
-
     def run(key, t, answers):
-        scorer = cache.setdefault("scorer", None) or cache.setdefault("made", Scorer(model.value))
-        cache["scorer"] = scorer
+        scorer = scorer_of(model.value)
         data, offs, codes, first = _tokens(t.column(text_col))
         uniq, at = np.unique(codes, return_inverse=True)
         cut = C.hash_ranges(uniq, ranges)
