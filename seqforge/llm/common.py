@@ -3,6 +3,7 @@ vectorised tokenising and hashing, connected components, shared tables."""
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 
@@ -84,6 +85,16 @@ def with_chunk(df: DataFrame, id_col: str, text_col: str, target: int = CHUNK_BY
 
 # ---------------------------------------------------------------- bytes and words
 
+def release() -> None:
+    """Give freed memory back to the system: a worker goes through many chunks,
+    and what it holds is not Spark's to use."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; a null counts as empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -158,11 +169,17 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INV = pow(BASE, -1, 1 << 64)
 
 
+POWERS: dict = {}
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, U64)
-    if n:
+    """base^0 ... base^(n-1); kept between calls."""
+    p = POWERS.get(base)
+    if p is None or len(p) < n:
+        p = np.full(max(n, 2), base, U64)
         p[0] = 1
-    return np.cumprod(p, dtype=U64)
+        p = POWERS[base] = np.cumprod(p, dtype=U64)
+    return p[:n]
 
 
 def rolling(codes: np.ndarray):

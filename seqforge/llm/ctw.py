@@ -31,10 +31,11 @@ from pyspark.sql import types as T
 from seqforge.llm import common as C
 
 DEPTH = 6
-MAX_GRAMS = 1 << 20
+MAX_GRAMS = 1 << 19
 END = 0xFF  # in no UTF-8 text: it ends a text and fills the context before it
 #: Distinct grams that a task holds before it sends them.
-HELD = 1 << 22
+HELD = 1 << 20
+PIECE = 1 << 17
 BYTE = C.U64(8)
 LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
 FOLDED = C.BYTE_CODES[C.LOWER]
@@ -51,18 +52,16 @@ def gram_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     size = np.diff(offs)
     shift = DEPTH * (np.arange(n) + 1) + np.arange(n)
     seq = np.full(len(data) + n * (DEPTH + 1), END, np.uint8)
-    place = np.arange(len(data)) + np.repeat(shift, size)
-    seq[place] = C.LOWER[data]
-    first = offs + np.append(np.arange(n), n)
-    is_symbol = np.ones(len(seq), bool)
+    seq[np.arange(len(data)) + np.repeat(shift, size)] = C.LOWER[data]
+    # runs of bytes with the newest highest: of 2, then 4, then DEPTH = 6
+    two = (seq[1:].astype(C.U64) << BYTE) | seq[:-1]
+    four = (two[2:] << C.U64(16)) | two[:-2]
+    six = (four[2:] << C.U64(16)) | two[:-4]
+    key = (six[:-1] << BYTE) | seq[DEPTH:] if len(six) else np.zeros(0, C.U64)
+    # the windows whose last byte is a filler belong to no text
     begin = offs[:-1] + shift - DEPTH
-    for k in range(DEPTH):
-        is_symbol[begin + k] = False
-    at = np.flatnonzero(is_symbol)
-    key = np.zeros(len(at), C.U64)
-    for k in range(1, DEPTH + 1):
-        key = (key << BYTE) | seq[at - k]
-    return (key << BYTE) | seq[at], first
+    filler = (begin[1:, None] + np.arange(DEPTH) - DEPTH).ravel()
+    return np.delete(key, filler), offs + np.append(np.arange(n), n)
 
 
 def gram_of(keys: np.ndarray, depth: int) -> np.ndarray:
@@ -277,20 +276,22 @@ def train(docs: DataFrame, text_col: str = "text", max_grams: int = MAX_GRAMS) -
 
 
 class Lookup:
-    """Open-addressing hash table from 64-bit keys to floats."""
+    """Open-addressing hash table from 64-bit keys to floats (or a set)."""
 
     EMPTY = ~C.U64(0)
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(4, int(2 * len(keys) + 1).bit_length())
+    def __init__(self, keys: np.ndarray, values: np.ndarray | None):
+        size = 1 << max(4, (len(keys) + len(keys) // 2).bit_length())
         self.shift, self.mask = C.U64(65 - size.bit_length()), size - 1
-        self.keys, self.values = np.full(size, self.EMPTY), np.zeros(size, np.float32)
+        self.keys = np.full(size, self.EMPTY)
+        self.values = np.zeros(size if values is not None else 0, np.float32)
         live, at = np.arange(len(keys)), self.slot(keys)
         while len(live):
             free = self.keys[at] == self.EMPTY
             self.keys[at[free]] = keys[live[free]]
             done = self.keys[at] == keys[live]
-            self.values[at[done]] = values[live[done]]
+            if values is not None:
+                self.values[at[done]] = values[live[done]]
             live, at = live[~done], (at[~done] + 1) & self.mask
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
@@ -301,14 +302,15 @@ class Lookup:
         at = self.slot(keys)
         here = self.keys[at]
         hit = here == keys
-        out = self.values[at]
+        out = self.values[at] if len(self.values) else np.zeros(len(keys), np.float32)
         live = np.flatnonzero(~hit & (here != self.EMPTY))
         at = at[live]
         while len(live):
             at = (at + 1) & self.mask
             here = self.keys[at]
             got = here == keys[live]
-            out[live[got]] = self.values[at[got]]
+            if len(self.values):
+                out[live[got]] = self.values[at[got]]
             hit[live[got]] = True
             go = ~got & (here != self.EMPTY)
             live, at = live[go], at[go]
@@ -323,9 +325,13 @@ class Scorer:
     def __init__(self, model: dict):
         self.tree = Tree(model["levels"])
         self.grams = {d: Lookup(*x) for d, x in model["grams"].items()}
-        self.contexts = {d: Lookup(u, np.zeros(len(u))) for d, (g, _) in model["grams"].items() if d > 2 for u in [np.unique(g >> BYTE)]}
+        self.contexts = {d: Lookup(u, None) for d, (g, _) in model["grams"].items() if d > 2 for u in [np.unique(g >> BYTE)]}
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """In pieces that stay in the processor's cache."""
+        return np.concatenate([self.piece(keys[i:i + PIECE]) for i in range(0, len(keys), PIECE)] or [np.zeros(0)])
+
+    def piece(self, keys: np.ndarray) -> np.ndarray:
         out, walk = np.zeros(len(keys)), []
         live = np.arange(len(keys))
         for depth in range(DEPTH, 1, -1):
@@ -367,6 +373,7 @@ def _tokens(texts):
 
 def _offer(ranges: int, text_col: str):
     def run(key, t):
+        C.release()
         _, _, codes, first = _tokens(t.column(text_col))
         learn = np.repeat(~np.asarray(t.column("_held")), np.diff(first))
         uniq, at = np.unique(codes, return_inverse=True)
@@ -394,6 +401,7 @@ def _answer(key, t):
 
 def _score(model, ranges, distinct, tokens, text_col, schema):
     def run(key, t, answers):
+        C.release()
         scorer = scorer_of(model.value)
         data, offs, codes, first = _tokens(t.column(text_col))
         uniq, at = np.unique(codes, return_inverse=True)

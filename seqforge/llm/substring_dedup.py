@@ -44,6 +44,7 @@ def _emit(window: int, buckets: int, id_col: str, text_col: str):
     schema = pa.schema([("_range", pa.int32()), ("_chunk", pa.int32()), ("packed", pa.binary())])
 
     def run(key, t):
+        C.release()
         *_, h = _windows(t.column(text_col), t.column(id_col), window)
         h = np.unique(h)
         cut = C.hash_ranges(h, buckets)
@@ -71,6 +72,7 @@ def _count(key, t):
 
 def _apply(window: int, buckets: int, id_col: str, text_col: str, out_schema: pa.Schema):
     def run(key, t, answers):
+        C.release()
         ids = t.column(id_col)
         data, starts, ends, first, at, doc, h = _windows(t.column(text_col), ids, window)
         uniq, inverse = np.unique(h, return_inverse=True)

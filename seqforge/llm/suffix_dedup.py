@@ -37,9 +37,11 @@ from seqforge.llm import common as C
 ADDED = ["n_bytes", "n_removed", "n_spans", "removed", "kept", "kept_sha256"]
 POS_BITS = 24
 #: Positions handled at once; below 2^POS_BITS.
-PIECE = 1 << 20
+PIECE = 1 << 19
 Q = 8
-BLOCK = 1 << 18
+BLOCK = 1 << 16
+#: Text of segments that one suffix array is built over.
+SORT_BYTES = 1 << 18
 
 
 def anchors(roll, n: int, size: int, gram: int) -> np.ndarray:
@@ -97,6 +99,7 @@ class Segments:
 
 def _offer(size, gram, ranges, text_col):
     def run(key, t):
+        C.release()
         s = Segments(*C.column_bytes(t.column(text_col)), size, gram)
         cut = C.hash_ranges(s.keys, ranges)
         full = np.flatnonzero(np.diff(cut))
@@ -147,6 +150,7 @@ def _codes(s: Segments, ranges: int, answers) -> np.ndarray:
 
 def _send(size, gram, ranges, text_col):
     def run(key, t, answers):
+        C.release()
         s = Segments(*C.column_bytes(t.column(text_col)), size, gram)
         cut = C.hash_ranges(s.keys, ranges)
         e = np.flatnonzero(_codes(s, ranges, answers) & 2)
@@ -165,8 +169,9 @@ def suffix_array(data: np.ndarray, stop: np.ndarray, starts: np.ndarray, depth:
     for j in range(Q):
         p = np.minimum(at + j, n - 1)
         gram = (gram << C.U64(8)) | np.where(at + j < stop, data[p], 0).astype(C.U64)
-    order = np.lexsort((np.minimum(stop - at, Q), gram))
-    same = (gram[order[1:]] == gram[order[:-1]]) & (np.minimum(stop - at, Q)[order[1:]] == np.minimum(stop - at, Q)[order[:-1]])
+    left = np.minimum(stop - at, Q)
+    order = np.lexsort((left, gram))
+    same = (gram[order[1:]] == gram[order[:-1]]) & (left[order[1:]] == left[order[:-1]])
     head = np.append(True, ~same)
     bucket = np.empty(n, np.int64)
     bucket[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0)) + 1
@@ -214,26 +219,46 @@ def repeated_starts(data, stop, starts, size) -> np.ndarray:
 
 def _sort(size):
     def run(key, t):
-        texts, chunk, entry = t.column("text").to_pylist(), t.column("_chunk").to_pylist(), t.column("entry").to_pylist()
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([len(x) for x in texts])
-        begin = ends - [len(x) for x in texts]
-        stop = np.repeat(ends, [len(x) for x in texts])
-        starts = np.flatnonzero(np.arange(len(data)) + size <= stop)
-        hit = repeated_starts(data, stop, starts, size)
-        owner = np.searchsorted(ends, hit, side="right")
-        out = []
-        for i, a, z in zip(*np.unique(owner, return_index=True), np.append(np.unique(owner, return_index=True)[1][1:], len(owner))):
-            p = hit[a:z] - begin[i]
-            cut = np.flatnonzero(np.diff(p) > 1) + 1
-            out.append((chunk[i], entry[i], np.stack([p[np.append(0, cut)], p[np.append(cut - 1, len(p) - 1)]], 1).ravel().tolist()))
-        return pa.table({"_chunk": pa.array([x[0] for x in out], pa.int32()), "_range": pa.nulls(len(out), pa.int32()), "codes": pa.nulls(len(out), pa.binary()),
-                         "entry": pa.array([x[1] for x in out], pa.int64()), "runs": pa.array([x[2] for x in out], pa.list_(pa.int32()))})
+        C.release()
+        out = [[], [], []]
+        for part in whole_keys(t):
+            texts = part.column("text").to_pylist()
+            chunk, entry = part.column("_chunk").to_pylist(), part.column("entry").to_pylist()
+            length = np.array([len(x) for x in texts])
+            ends = np.cumsum(length)
+            data, stop = np.frombuffer(b"".join(texts), np.uint8), np.repeat(ends, length)
+            hit = repeated_starts(data, stop, np.flatnonzero(np.arange(len(data)) + size <= stop), size)
+            owner = np.searchsorted(ends, hit, side="right")
+            own, cut = np.unique(owner, return_index=True)
+            for i, p in zip(own.tolist(), np.split(hit, cut[1:])):
+                p = p - (ends[i] - length[i])
+                gap = np.flatnonzero(np.diff(p) > 1) + 1
+                out[0].append(chunk[i])
+                out[1].append(entry[i])
+                out[2].append(np.stack([p[np.append(0, gap)], p[np.append(gap - 1, len(p) - 1)]], 1).ravel().tolist())
+        n = len(out[0])
+        return pa.table({"_chunk": pa.array(out[0], pa.int32()), "_range": pa.nulls(n, pa.int32()), "codes": pa.nulls(n, pa.binary()),
+                         "entry": pa.array(out[1], pa.int64()), "runs": pa.array(out[2], pa.list_(pa.int32()))})
     return run
 
 
+def whole_keys(t: pa.Table):
+    """Parts of the table that hold all rows of their keys, with about
+    ``SORT_BYTES`` of text each (one key at least)."""
+    t = t.sort_by("key").combine_chunks()
+    keys = np.asarray(t.column("key"))
+    ends = np.cumsum(np.asarray(pa.compute.binary_length(t.column("text"))))
+    last = np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) if len(keys) else []
+    at = base = 0
+    for i in last:
+        if ends[i] - base >= SORT_BYTES or i == len(keys) - 1:
+            yield t.slice(at, i + 1 - at)
+            at, base = i + 1, ends[i]
+
+
 def _apply(size, gram, ranges, text_col, schema, with_bytes):
     def run(key, t, answers):
+        C.release()
         data, offs = C.column_bytes(t.column(text_col))
         s = Segments(data, offs, size, gram)
         codes = _codes(s, ranges, answers)
