@@ -13,3 +13,11 @@ IGNORE_INDEX = -100
 # Structure tags and their default masking rates (coil, helix, strand).
 STRUCTURE_RATES = {"C": 0.4, "H": 0.15, "E": 0.15}
 # -----------------------------------------------------------------------------
+
+# The steps that bring an allele name to HLA-X*NN:NN, in order.
+ALLELE_STEPS = (
+    (r"^([ABC])(\d{2})(\d{2})\z", "HLA-$1*$2:$3"),
+    (r"^([ABC]\*\d{2}:\d{2})", "HLA-$1"),
+    (r"(?s)^(HLA-[ABC]\*\d{2}:\d{2}).*\z", "$1"),
+    (r"^HLA-([ABC])(\d{2})(\d{2})\z", "HLA-$1*$2:$3"),
+)

@@ -6,24 +6,38 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from seqforge.functions.alphabet import GAP, RESIDUES
+from seqforge.functions.alphabet import ALLELE_STEPS, GAP, RESIDUES
+from seqforge.functions.scalar import STRIP
+
+STRIPPED = f"regexp_replace(s, r'{STRIP}', '')"
 
 FUNCTIONS = {
-    "sf_is_valid_sequence": ("s STRING", "BOOLEAN", f"coalesce(s RLIKE '^[{RESIDUES}]+$', false)"),
+    "sf_label_gt1": ("s STRING", "INT", "CASE WHEN try_cast(s AS DOUBLE) > 1 THEN 1 ELSE 0 END"),
+    "sf_normalize_allele": ("s STRING", "STRING", None),
+    "sf_is_valid_sequence": ("s STRING", "BOOLEAN", f"coalesce(s RLIKE r'^[{RESIDUES}]+\\z', false)"),
     "sf_parse_label_strict": ("s STRING", "INT",
-                              "CASE WHEN lower(trim(s)) IN ('0', '1') THEN CAST(lower(trim(s)) AS INT) END"),
+                              f"CASE WHEN lower({STRIPPED}) IN ('0', '1') THEN CAST(lower({STRIPPED}) AS INT) END"),
     "sf_is_labeled": ("s STRING", "BOOLEAN", "s IS NOT NULL AND lower(s) <> 'unknown'"),
-    "sf_label_digits": ("s STRING", "INT",
-                        "CASE WHEN s RLIKE '^[0-9]+$' THEN coalesce(try_cast(s AS INT), 0) ELSE 0 END"),
-    "sf_normalize_peptide": ("s STRING", "STRING", "replace(upper(trim(coalesce(s, ''))), ' ', '')"),
+    "sf_label_digits": ("s STRING", "BIGINT",
+                        "CASE WHEN s RLIKE r'^[0-9]+\\z' THEN coalesce(try_cast(s AS BIGINT), 0L) ELSE 0L END"),
+    "sf_normalize_peptide": ("s STRING", "STRING", f"replace(upper(coalesce({STRIPPED}, '')), ' ', '')"),
     "sf_pad_right": ("s STRING, n INT", "STRING",
                      f"CASE WHEN length(s) < n THEN rpad(s, n, '{GAP}') ELSE s END"),
     "sf_label_from_id": ("s STRING", "INT", "coalesce(try_cast(split_part(s, '|', 2) AS INT), -1)"),
 }
 
 
+def allele_body() -> str:
+    """The steps of ``normalize_allele`` as SQL text."""
+    body = f"replace(upper(coalesce({STRIPPED}, '')), ' ', '')"
+    for pattern, to in ALLELE_STEPS:
+        body = f"regexp_replace({body}, r'{pattern}', '{to}')"
+    return body
+
+
 def register_functions(spark: SparkSession) -> list[str]:
     """Create (or replace) the temporary SQL functions; returns their names."""
     for name, (args, ret, body) in FUNCTIONS.items():
+        body = body or allele_body()
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {ret} RETURN {body}")
     return list(FUNCTIONS)

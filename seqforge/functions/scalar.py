@@ -6,13 +6,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from seqforge.functions.alphabet import GAP, RESIDUES
+from seqforge.functions.alphabet import ALLELE_STEPS, GAP, RESIDUES
+
+STRIP = r"^\s+|\s+\z"
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c) -> Column:
+    """Without leading and trailing blanks, tabs and line breaks."""
+    return F.regexp_replace(_c(c), STRIP, "")
+
+
 # P5 ------------------------------------------------------------------------
 LABEL_MODES = ("digits_else_zero", "strict01", "is_labeled", "gt1")
 
@@ -29,9 +36,9 @@ def parse_label(col, mode: str = "strict01") -> Column:
     c = _c(col)
     if mode == "digits_else_zero":
         s = c.cast("string")
-        return F.when(s.rlike(r"^[0-9]+\z"), F.coalesce(s.try_cast("int"), F.lit(0))).otherwise(F.lit(0))
+        return F.when(s.rlike(r"^[0-9]+\z"), F.coalesce(s.try_cast("bigint"), F.lit(0))).otherwise(F.lit(0).cast("bigint"))
     if mode == "strict01":
-        s = F.lower(F.trim(c.cast("string")))
+        s = F.lower(strip(c.cast("string")))
         return F.when(s.isin("0", "1"), s.cast("int"))
     if mode == "is_labeled":
         return c.isNotNull() & (F.lower(c.cast("string")) != "unknown")
@@ -58,7 +65,7 @@ def is_valid_sequence(col, gap: bool = False) -> Column:
 # P10 -----------------------------------------------------------------------
 def normalize_peptide(col) -> Column:
     """trim, upper, remove blanks; null -> ''."""
-    return F.replace(F.upper(F.trim(F.coalesce(_c(col), F.lit("")))), F.lit(" "), F.lit(""))
+    return F.replace(F.upper(strip(F.coalesce(_c(col), F.lit("")))), F.lit(" "), F.lit(""))
 
 
 # P11 -----------------------------------------------------------------------
@@ -67,25 +74,17 @@ def normalize_allele(col) -> Column:
     short form ``A0201`` expands; a bare ``A*02:01…`` gets the ``HLA-`` prefix;
     a name with more fields is cut to two; ``HLA-B5801`` expands; anything
     else is returned upper-cased without blanks.  null/blank -> ''."""
-    s0 = F.replace(F.upper(F.trim(F.coalesce(_c(col), F.lit("")))), F.lit(" "), F.lit(""))
-    s1 = F.when(s0.rlike(r"^[ABC]\d{4}\z"),
-                F.concat(F.lit("HLA-"), F.substr(s0, F.lit(1), F.lit(1)), F.lit("*"),
-                         F.substr(s0, F.lit(2), F.lit(2)), F.lit(":"), F.substr(s0, F.lit(4), F.lit(2))))\
-          .otherwise(s0)
-    s2 = F.when(~s1.startswith("HLA-") & s1.rlike(r"^[ABC]\*\d{2}:\d{2}"),
-                F.concat(F.lit("HLA-"), s1)).otherwise(s1)
-    four = F.regexp_extract(s2, r"^(HLA-[ABC]\*\d{2}:\d{2})", 1)
-    short = F.regexp_replace(s2, r"^HLA-([ABC])(\d{2})(\d{2})$", "HLA-$1*$2:$3")
-    return (F.when(four != "", four)
-             .when(s2.rlike(r"^HLA-[ABC]\d{4}\z"), short)
-             .otherwise(s2))
+    s0 = F.replace(F.upper(strip(F.coalesce(_c(col), F.lit("")))), F.lit(" "), F.lit(""))
+    for pattern, to in ALLELE_STEPS:
+        s0 = F.regexp_replace(s0, pattern, to)
+    return s0
 
 
 # P12 -----------------------------------------------------------------------
 def split_multi(col) -> Column:
     """Parts of a multi-valued cell split on ``; , | /`` runs or blank runs,
     empty parts dropped (explode the result for one row per part)."""
-    s = F.trim(F.coalesce(_c(col), F.lit("")))
+    s = strip(F.coalesce(_c(col), F.lit("")))
     return F.filter(F.split(s, r"[;,|/]+|\s+"), lambda x: x != "")
 
 

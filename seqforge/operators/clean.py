@@ -10,6 +10,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqforge.functions.scalar import strip
+
 from seqforge.functions.scalar import is_valid_sequence, round_up_pow2
 
 
@@ -28,7 +30,7 @@ def normalize_columns(df: DataFrame, aliases: dict[str, str] | None = None,
     if missing:
         raise ValueError(f"missing columns {missing}; have {d.columns}")
     strings = {f.name for f in d.schema.fields if f.dataType.simpleString() == "string"}
-    return d.select(*[F.trim(F.col(c)).alias(c) if trim and c in strings else F.col(c) for c in need])
+    return d.select(*[strip(F.col(c)).alias(c) if trim and c in strings else F.col(c) for c in need])
 
 
 # P2 ------------------------------------------------------------------------
@@ -74,7 +76,7 @@ def clean_with_rejects(df: DataFrame, cols: list[str], max_len: int = 34):
     ``(kept, rejected, counts)``: three lazy plans over one tagged plan;
     ``rejected`` keeps its ``reject_reason`` (invalid rows before too-long
     rows when ordered by it) and ``counts`` has one row per outcome."""
-    d = df.select(*[F.trim(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+    d = df.select(*[strip(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
     invalid = ~_all_valid(cols)
     lens = [F.length(c) for c in cols]
     too_long = (F.greatest(*lens) if len(lens) > 1 else lens[0]) > max_len
@@ -98,7 +100,7 @@ def drop_blank_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Drop rows whose trimmed key is empty or null."""
     cond = F.lit(True)
     for k in keys:
-        cond = cond & (F.length(F.trim(F.col(k))) > 0)
+        cond = cond & (F.length(strip(F.col(k))) > 0)
     return df.filter(cond)
 
 

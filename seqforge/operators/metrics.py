@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqforge.functions.scalar import strip
+
 from seqforge.functions.alphabet import IGNORE_INDEX, RESIDUES
 from seqforge.operators.ranking import running
 
@@ -26,7 +28,7 @@ def _div0(a: Column, b: Column) -> Column:
 def label_summary(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame:
     """n_pos, n_neg, n (labelled), positive rate (0 when empty) and the
     number of labels that are not 0/1, from text or numeric labels."""
-    s = F.lower(F.trim(F.col(label).cast("string")))
+    s = F.lower(strip(F.col(label).cast("string")))
     n_pos = F.count_if(s == "1")
     n_neg = F.count_if(s == "0")
     return (df.groupBy(*(by or [])).agg(n_pos.alias("n_pos"), n_neg.alias("n_neg"),
@@ -396,19 +398,26 @@ def class_weights(df: DataFrame, label: str = "y_true", mode: str = "ratio") ->
 
 
 # G20 -----------------------------------------------------------------------
-def running_average(df: DataFrame, key: str, value: str, n: str | None = None) -> DataFrame:
+def exact(c, scale: int):
+    """A value as a decimal of ``scale`` digits; one with more digits raises."""
+    d = c.cast(f"decimal(38,{scale})")
+    return F.when(d.cast("double") == c.cast("double"), d).when(c.isNotNull(), F.raise_error(F.lit(f"a value has more than {scale} decimals")))
+
+
+def running_average(df: DataFrame, key: str, value: str, n: str | None = None, scale: int = 6) -> DataFrame:
     """Per key: total of value*n, count of n, average (the meter).  Totals
-    are exact decimal sums, so they do not depend on the task split."""
+    are exact decimal sums, so they do not depend on the task split; values
+    with more than ``scale`` decimals are refused."""
     cnt = F.col(n) if n else F.lit(1)
-    return df.groupBy(key).agg(F.sum((F.col(value) * cnt).cast("decimal(38,6)")).cast("double").alias("total"),
+    return df.groupBy(key).agg(F.sum(exact(F.col(value), scale) * cnt).cast("double").alias("total"),
                                F.sum(cnt).cast("long").alias("count")) \
              .withColumn("average", F.col("total") / F.col("count"))
 
 
-def cumulative_average(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
+def cumulative_average(df: DataFrame, key: str, order: str, value: str, scale: int = 6) -> DataFrame:
     """Running average along ``order`` per key (range-bucketed windows,
     exact decimal running sums)."""
-    d = df.withColumn("_one", F.lit(1)).withColumn("_v", F.col(value).cast("decimal(38,6)"))
+    d = df.withColumn("_one", F.lit(1)).withColumn("_v", exact(F.col(value), scale))
     r = running(d, [key], [F.col(order)], sums=("_v", "_one"))
     return r.withColumn("running_avg", F.col("cum__v").cast("double") / F.col("cum__one")) \
             .drop("_one", "_v", "cum__one", "_one_total", "cum__v", "_v_total")
@@ -418,7 +427,9 @@ def cumulative_average(df: DataFrame, key: str, order: str, value: str) -> DataF
 def best_epoch(df: DataFrame, by: list[str], epoch: str, metric_cols: list[str]) -> DataFrame:
     """Score = mean of the first five metrics that are not NaN (-1 if none);
     per group the first epoch with the strictly greatest score wins."""
-    cols = metric_cols[:5]
+    if len(metric_cols) > 5:
+        raise ValueError("the score is a mean of five metrics at most")
+    cols = metric_cols
     ok = [F.when(~F.isnan(F.col(c)) & F.col(c).isNotNull(), F.col(c)) for c in cols]
     n_ok = sum((F.when(o.isNotNull(), 1).otherwise(0) for o in ok), F.lit(0))
     tot = sum((F.coalesce(o, F.lit(0.0)) for o in ok), F.lit(0.0))

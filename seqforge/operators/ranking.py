@@ -11,9 +11,13 @@ task holds about ``rows / buckets`` rows whatever the group sizes are.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqforge.session import ensure_checkpoint_dir
+
 
 def hash_key(seed, *cols) -> Column:
     """Deterministic shuffle key: ``md5('<seed>:<col1>:<col2>…')`` (hex).
@@ -69,13 +73,20 @@ def running(df: DataFrame, part_cols: list[str], order: list, *, sums=(), maxes=
     maxima (``runmax_<c>``) along ``order`` within ``part_cols``.
 
     The rows are range-partitioned on ``(part_cols, order)``; the partition
-    index is then an order-preserving bucket.  Bucket aggregates (a small
-    table) give each bucket its offset; the final window is per
+    index is then an order-preserving bucket.  Rows and bucket numbers are
+    written once to the shared folder: the cut points of a range exchange are
+    sampled anew by every plan that holds one, so only stored numbers are the
+    same for the totals, the rows and any later attempt.  Bucket aggregates (a
+    small table) give each bucket its offset; the final window is per
     ``(group, bucket)``, so no task holds a whole group.  With
     ``inclusive=False`` the current row is left out (a lag-style value)."""
     nb = n_buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/running-{uuid.uuid4().hex}"
     d = df.repartitionByRange(nb, *part_cols, *order_cols).withColumn("_bk", F.spark_partition_id())
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
     per = d.groupBy(*part_cols, "_bk").agg(
         *[F.sum(c).alias(f"_bs_{c}") for c in sums], *[F.max(c).alias(f"_bm_{c}") for c in maxes])
     before = Window.partitionBy(*part_cols).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)

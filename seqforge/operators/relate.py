@@ -10,12 +10,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqforge.functions.scalar import strip
+
 from seqforge.functions.scalar import normalize_allele, normalize_peptide, split_multi
 from seqforge.operators.ranking import running
 
 
 def _nospace_upper(c):
-    return F.replace(F.upper(F.trim(F.coalesce(c, F.lit("")))), F.lit(" "), F.lit(""))
+    return F.replace(F.upper(strip(F.coalesce(c, F.lit("")))), F.lit(" "), F.lit(""))
 
 
 # J1 ------------------------------------------------------------------------
@@ -24,7 +26,7 @@ def allele_reference(ref: DataFrame, allele: str, seq: str, order: str) -> DataF
     upper-case name and by its normalised name; for a key given several
     times the later row (by ``order``; the normalised key after the raw one
     within a row) wins.  Rows with a blank name or sequence are skipped."""
-    r = ref.select(F.trim(F.col(allele)).alias("_a"), F.trim(F.col(seq)).alias("_s"), F.col(order).alias("_o")) \
+    r = ref.select(strip(F.col(allele)).alias("_a"), strip(F.col(seq)).alias("_s"), F.col(order).alias("_o")) \
            .filter((F.length("_a") > 0) & (F.length("_s") > 0))
     keys = r.select(_nospace_upper(F.col("_a")).alias("key"), "_s", "_o", F.lit(0).alias("_k")) \
             .unionByName(r.select(_nospace_upper(normalize_allele(F.col("_a"))).alias("key"), "_s", "_o",
@@ -60,7 +62,7 @@ def lookup_alleles(df: DataFrame, key_cols: list[str], cell: str, lookup: DataFr
 # J2 ------------------------------------------------------------------------
 def _prepared_pairs(df: DataFrame, pep: str, hla: str) -> DataFrame:
     return (df.select(normalize_peptide(F.col(pep)).alias(pep), F.explode_outer(split_multi(F.col(hla))).alias(hla))
-              .withColumn(hla, F.trim(F.coalesce(F.col(hla), F.lit(""))))
+              .withColumn(hla, strip(F.coalesce(F.col(hla), F.lit(""))))
               .filter((F.col(pep) != "") & (F.col(hla) != "")).distinct())
 
 
@@ -76,7 +78,7 @@ def pair_label_compare(a: DataFrame, b: DataFrame, pep: str, hla: str, label: st
     (m x n rows for a key with m and n rows).  Peptides are upper-cased and
     trimmed, sequences trimmed, on both sides."""
     def prep(df, out):
-        return df.select(F.upper(F.trim(F.col(pep))).alias(pep), F.trim(F.col(hla)).alias(hla),
+        return df.select(F.upper(strip(F.col(pep))).alias(pep), strip(F.col(hla)).alias(hla),
                          F.col(label).alias(out))
     return prep(a, "label_A").join(prep(b, "label_B"), [pep, hla], "inner")
 
@@ -87,7 +89,7 @@ def dedupe_pairs(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     row, so the pick is deterministic) per normalised key.  A ``min`` over
     a struct: partial aggregation map-side, so a hot key never sits whole
     in one task."""
-    d = df.select(*[F.upper(F.trim(F.col(k))).alias(k) if i == 0 else F.trim(F.col(k)).alias(k)
+    d = df.select(*[F.upper(strip(F.col(k))).alias(k) if i == 0 else strip(F.col(k)).alias(k)
                     for i, k in enumerate(keys)],
                   F.struct(*[c for c in df.columns if c not in keys]).alias("_row"), F.col(order).alias("_o"))
     first = d.groupBy(*keys).agg(F.min(F.struct("_o", "_row")).alias("_m"))
@@ -137,5 +139,5 @@ def drop_rows(df: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
 def drop_missing_sequence(df: DataFrame, col: str, label: int | None = None, label_col: str = "label"):
     """Drop rows with a null or blank looked-up sequence; optionally attach
     a constant label."""
-    out = df.filter(F.col(col).isNotNull() & (F.length(F.trim(F.col(col))) > 0))
+    out = df.filter(F.col(col).isNotNull() & (F.length(strip(F.col(col))) > 0))
     return out.withColumn(label_col, F.lit(label)) if label is not None else out

@@ -52,7 +52,7 @@ def q_p4(spark, d):
 
 @register("p5_parse_label", sql=V.with_views("pairs") + """
 SELECT row_key,
-  CASE WHEN regexp_full_match(label, '[0-9]+') THEN coalesce(TRY_CAST(label AS INTEGER), 0) ELSE 0 END AS digits,
+  CASE WHEN regexp_full_match(label, '[0-9]+') THEN coalesce(TRY_CAST(label AS BIGINT), 0) ELSE 0 END AS digits,
   CASE WHEN lower(trim(label)) IN ('0', '1') THEN CAST(lower(trim(label)) AS INTEGER) END AS strict01,
   (label IS NOT NULL AND lower(label) <> 'unknown') AS is_labeled,
   CASE WHEN TRY_CAST(label AS DOUBLE) > 1 THEN 1 ELSE 0 END AS gt1 FROM pairs""")

@@ -178,13 +178,13 @@ _IDX = "[" + ", ".join(f"'{t}'" for t in _FIXED) + "]"
 
 
 @register("t11_encode_fixed", sql=V.with_views("seqs", extra=[("windows", _WIN_SQL)]) + f"""
-SELECT doc_id, k, array_to_string(list_resize(list_concat([24], ids, [23]), 64, 20), ',') AS input_ids,
+SELECT doc_id, k, array_to_string(list_resize(list_concat([24], ids, [23]), 514, 20), ',') AS input_ids,
        CAST(len(ids) + 2 AS INTEGER) AS n_attended
-FROM (SELECT doc_id, k, list_transform(string_split(substr("window", 1, 62), ''),
+FROM (SELECT doc_id, k, list_transform(string_split("window", ''),
         lambda c: coalesce(list_position({_IDX}, c) - 1, 22)) AS ids FROM windows)""")
 def q_t11(spark, d):
-    """[CLS] chars [SEP] ids padded to 64 with the attention length."""
-    e = T.encode_fixed(T.tokenize_chars("window"), 64)
+    """[CLS] chars [SEP] ids of whole windows, padded to L + 2, with the attention length."""
+    e = T.encode_fixed(T.tokenize_chars("window"), L + 2)
     w = _windows(spark, d).select("doc_id", "k", e.alias("enc"))
     return w.select("doc_id", "k", F.array_join("enc.input_ids", ",").alias("input_ids"),
                     F.aggregate("enc.attention_mask", F.lit(0), lambda a, x: a + x).alias("n_attended"))

@@ -29,7 +29,7 @@ def q_w1(spark, d):
 @register("u1_sql_functions", sql=V.with_views("pairs") + """
 SELECT row_key, CASE WHEN lower(trim(label)) IN ('0', '1') THEN CAST(lower(trim(label)) AS INTEGER) END AS strict01,
        (label IS NOT NULL AND lower(label) <> 'unknown') AS labeled,
-       CASE WHEN regexp_full_match(label, '[0-9]+') THEN coalesce(TRY_CAST(label AS INTEGER), 0) ELSE 0 END AS digits,
+       CASE WHEN regexp_full_match(label, '[0-9]+') THEN coalesce(TRY_CAST(label AS BIGINT), 0) ELSE 0 END AS digits,
        upper(replace(trim(coalesce(antigen, '')), ' ', '')) AS antigen_norm,
        CASE WHEN length(tcr) < 8 THEN rpad(tcr, 8, '-') ELSE tcr END AS tcr_padded,
        regexp_full_match(antigen, '[ACDEFGHIKLMNPQRSTVWY]+') AS valid,

@@ -13,13 +13,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqforge.operators.metrics import exact
+
 
 def windowed_meter(stream: DataFrame, ts: str, key: str, value: str, window: str = "1 hour",
-                   watermark: str = "2 hours") -> DataFrame:
+                   watermark: str = "2 hours", scale: int = 6) -> DataFrame:
     """Streaming ``(window_start, key, total, count)`` per event-time window."""
     s = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     return (s.groupBy(F.window(ts, window).alias("w"), key)
-             .agg(F.sum(F.col(value).cast("decimal(38,6)")).alias("total"), F.count(F.lit(1)).alias("count"))
+             .agg(F.sum(exact(F.col(value), scale)).alias("total"), F.count(F.lit(1)).alias("count"))
              .select(F.col("w.start").alias("window_start"), key, "total", "count"))
 
 
