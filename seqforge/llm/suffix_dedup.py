@@ -19,7 +19,11 @@ anywhere else.  Sorting every suffix of the corpus is not needed for that:
    share ``size`` bytes, compared exactly, are repeated.
 
 A passage that a third of all documents share is one segment per chunk in step
-2 and one segment in all in step 3.
+2 and one segment in all in step 3.  A gram with more than ``MANY`` different
+segments (a common line in ever other surroundings) would still gather them in
+one task: the windows of its segments are counted instead by the hash of their
+``size`` bytes, each chunk sending each hash once, which is as exact but for
+hash collisions and needs no group.
 """
 
 from __future__ import annotations
@@ -42,6 +46,8 @@ Q = 8
 BLOCK = 1 << 16
 #: Text of segments that one suffix array is built over.
 SORT_BYTES = 1 << 18
+#: Different segments of one gram that meet in a suffix array.
+MANY = 64
 
 
 def anchors(roll, n: int, size: int, gram: int) -> np.ndarray:
@@ -67,7 +73,7 @@ class Segments:
 
     def __init__(self, data, offs, size, gram):
         self.data, self.size = data, size
-        roll = C.rolling(C.BYTE_CODES[data])
+        self.roll = roll = C.rolling(C.BYTE_CODES[data])
         anchor = anchors(roll, len(data), size, gram)
         docs = np.flatnonzero(np.diff(offs) >= size)
         first, last = [], []
@@ -92,6 +98,14 @@ class Segments:
         self.sample = order[new]  # one segment of each entry
         self.twice = np.bincount(self.entry, minlength=len(self.keys)) > 1
 
+    def windows(self, entries: np.ndarray):
+        """(hash, segment, start) of each window of the segments of ``entries``."""
+        at = np.flatnonzero(np.isin(self.entry, entries))
+        n = self.last[at] - self.first[at] + 1
+        seg = np.repeat(at, n)
+        start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + self.first[seg]
+        return C.range_hash(self.roll, start, start + self.size), seg, start
+
     def text(self, entry: int) -> bytes:
         s = self.sample[entry]
         return self.data[self.first[s]:self.last[s] + self.size].tobytes()
@@ -112,28 +126,32 @@ def _offer(size, gram, ranges, text_col):
     return run
 
 
-def _answer(key, t):
-    """Per entry of a chunk: 1 if its segment is repeated, 2 if it has to send it."""
-    t = t.sort_by("_chunk")
-    keys = [C.unpack_sorted(x) for x in t.column("keys").to_pylist()]
-    cut = np.cumsum([0, *map(len, keys)])
-    k = np.concatenate(keys)
-    body = np.concatenate([np.frombuffer(x, C.U64) for x in t.column("bodies").to_pylist()])
-    twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) for x, y in zip(t.column("twice").to_pylist(), keys)]).astype(bool)
-    order = np.lexsort((np.arange(len(k)), body, k))
-    ks, bs = k[order], body[order]
-    new_key = np.append(True, ks[1:] != ks[:-1])
-    new = new_key | np.append(True, bs[1:] != bs[:-1])
-    group = np.cumsum(new) - 1
-    repeated = np.bincount(group) > 1
-    np.logical_or.at(repeated, group, twice[order])
-    kinds = np.bincount((np.cumsum(new_key) - 1)[new])  # different segments of each key
-    several = kinds[np.cumsum(new_key) - 1] > 1
-    code = np.empty(len(k), np.uint8)
-    code[order] = repeated[group] + 2 * (several & new)
-    return pa.table({"_chunk": t.column("_chunk").cast(pa.int32()), "_range": pa.array([key[0].as_py()] * len(keys), pa.int32()),
-                     "codes": pa.array([code[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                     "entry": pa.nulls(len(keys), pa.int64()), "runs": pa.nulls(len(keys), pa.list_(pa.int32()))})
+def _answer(most: int):
+    """Per entry of a chunk: 1 if its segment is repeated, plus 2 if it has to
+    send it, plus 4 if its gram has too many segments for a suffix array."""
+    def run(key, t):
+        C.release()
+        t = t.sort_by("_chunk")
+        keys = [C.unpack_sorted(x) for x in t.column("keys").to_pylist()]
+        cut = np.cumsum([0, *map(len, keys)])
+        k = np.concatenate(keys)
+        body = np.concatenate([np.frombuffer(x, C.U64) for x in t.column("bodies").to_pylist()])
+        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) for x, y in zip(t.column("twice").to_pylist(), keys)]).astype(bool)
+        order = np.lexsort((np.arange(len(k)), body, k))
+        ks, bs = k[order], body[order]
+        new_key = np.append(True, ks[1:] != ks[:-1])
+        new = new_key | np.append(True, bs[1:] != bs[:-1])
+        group = np.cumsum(new) - 1
+        repeated = np.bincount(group) > 1
+        np.logical_or.at(repeated, group, twice[order])
+        kinds = np.bincount((np.cumsum(new_key) - 1)[new])  # different segments of each key
+        kinds = kinds[np.cumsum(new_key) - 1]
+        code = np.empty(len(k), np.uint8)
+        code[order] = repeated[group] + 2 * ((kinds > 1) & new) + 4 * (kinds > most)
+        return pa.table({"_chunk": t.column("_chunk").cast(pa.int32()), "_range": pa.array([key[0].as_py()] * len(keys), pa.int32()),
+                         "codes": pa.array([code[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
+                         "entry": pa.nulls(len(keys), pa.int64()), "runs": pa.nulls(len(keys), pa.list_(pa.int32()))})
+    return run
 
 
 ANSWER = "_chunk int, _range int, codes binary, entry long, runs array<int>"
@@ -142,8 +160,8 @@ ANSWER = "_chunk int, _range int, codes binary, entry long, runs array<int>"
 def _codes(s: Segments, ranges: int, answers) -> np.ndarray:
     cut = C.hash_ranges(s.keys, ranges)
     code = np.zeros(len(s.keys), np.uint8)
-    for r, x in zip(answers.column("_range").to_pylist(), answers.column("codes").to_pylist()):
-        if x is not None:
+    for r, x, e in zip(answers.column("_range").to_pylist(), answers.column("codes").to_pylist(), answers.column("entry").to_pylist()):
+        if x is not None and e is None:
             code[cut[r]:cut[r + 1]] = np.frombuffer(x, np.uint8)
     return code
 
@@ -153,13 +171,28 @@ def _send(size, gram, ranges, text_col):
         C.release()
         s = Segments(*C.column_bytes(t.column(text_col)), size, gram)
         cut = C.hash_ranges(s.keys, ranges)
-        e = np.flatnonzero(_codes(s, ranges, answers) & 2)
+        code = _codes(s, ranges, answers)
+        e = np.flatnonzero(code & 6 == 2)
+        h, twice, full, bound = _hot(s, code, ranges)
+        hot = [C.pack_sorted(h[bound[i]:bound[i + 1]]) + np.packbits(twice[bound[i]:bound[i + 1]]).tobytes() for i in full]
+        part = np.append(np.searchsorted(cut, e, side="right") - 1, full)
         return pa.table({
-            "_range": pa.array(np.searchsorted(cut, e, side="right") - 1, pa.int32()), "_chunk": pa.array([key[0].as_py()] * len(e), pa.int32()),
-            "entry": pa.array(e, pa.int64()), "key": pa.array(s.keys[e].view(np.int64)), "text": pa.array([s.text(i) for i in e.tolist()], pa.binary())})
+            "_range": pa.array(part, pa.int32()), "_chunk": pa.array([key[0].as_py()] * len(part), pa.int32()),
+            "entry": pa.array(np.append(e, -1 - np.diff(bound)[full]), pa.int64()), "key": pa.array(np.append(s.keys[e].view(np.int64), np.zeros(len(full), np.int64))),
+            "text": pa.array([*[s.text(i) for i in e.tolist()], *hot], pa.binary())})
     return run
 
 
+def _hot(s: Segments, code: np.ndarray, ranges: int):
+    """Distinct window hashes of the chunk's segments of crowded grams, which
+    of them it has twice, the ranges that have any, and their bounds."""
+    h = np.sort(s.windows(np.flatnonzero(code & 6 == 6))[0])
+    new = np.append(True, h[1:] != h[:-1])[:len(h)]
+    twice = np.bincount(np.cumsum(new) - 1) > 1 if len(h) else np.zeros(0, bool)
+    bound = C.hash_ranges(h[new], ranges)
+    return h[new], twice, np.flatnonzero(np.diff(bound)), bound
+
+
 def suffix_array(data: np.ndarray, stop: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """``starts`` in the order of the first ``depth`` bytes (at least) of their
     suffixes, which end at ``stop``; by bucket-pointer refinement."""
@@ -221,7 +254,9 @@ def _sort(size):
     def run(key, t):
         C.release()
         out = [[], [], []]
-        for part in whole_keys(t):
+        crowded = pa.compute.less(t.column("entry"), 0)
+        bits = _count_hot(t.filter(crowded))
+        for part in whole_keys(t.filter(pa.compute.invert(crowded))):
             texts = part.column("text").to_pylist()
             chunk, entry = part.column("_chunk").to_pylist(), part.column("entry").to_pylist()
             length = np.array([len(x) for x in texts])
@@ -236,12 +271,29 @@ def _sort(size):
                 out[0].append(chunk[i])
                 out[1].append(entry[i])
                 out[2].append(np.stack([p[np.append(0, gap)], p[np.append(gap - 1, len(p) - 1)]], 1).ravel().tolist())
-        n = len(out[0])
-        return pa.table({"_chunk": pa.array(out[0], pa.int32()), "_range": pa.nulls(n, pa.int32()), "codes": pa.nulls(n, pa.binary()),
-                         "entry": pa.array(out[1], pa.int64()), "runs": pa.array(out[2], pa.list_(pa.int32()))})
+        n, m = len(out[0]), len(bits)
+        return pa.table({"_chunk": pa.array([*out[0], *[c for c, _ in bits]], pa.int32()), "_range": pa.array([*[None] * n, *[key[0].as_py()] * m], pa.int32()),
+                         "codes": pa.array([*[None] * n, *[x for _, x in bits]], pa.binary()), "entry": pa.array([*out[1], *[-1] * m], pa.int64()),
+                         "runs": pa.array([*out[2], *[None] * m], pa.list_(pa.int32()))})
     return run
 
 
+def _count_hot(t) -> list[tuple[int, bytes]]:
+    """(chunk, bits): which window hashes of a chunk occur twice in all."""
+    size = [-1 - x for x in t.column("entry").to_pylist()]
+    raw = t.column("text").to_pylist()
+    if not raw:
+        return []
+    h = np.concatenate([C.unpack_sorted(x[:8 * n]) for x, n in zip(raw, size)])
+    twice = np.concatenate([np.unpackbits(np.frombuffer(x[8 * n:], np.uint8), count=n) for x, n in zip(raw, size)]).astype(bool)
+    _, at, many = np.unique(h, return_inverse=True, return_counts=True)
+    hit = many[at] > 1
+    own = np.zeros(len(many), bool)
+    np.logical_or.at(own, at, twice)
+    hit |= own[at]
+    return [(c, np.packbits(x).tobytes()) for c, x in zip(t.column("_chunk").to_pylist(), np.split(hit, np.cumsum(size)[:-1]))]
+
+
 def whole_keys(t: pa.Table):
     """Parts of the table that hold all rows of their keys, with about
     ``SORT_BYTES`` of text each (one key at least)."""
@@ -269,11 +321,20 @@ def _apply(size, gram, ranges, text_col, schema, with_bytes):
         order = np.argsort(s.entry, kind="stable")
         by = np.searchsorted(s.entry[order], np.arange(len(s.keys) + 1))
         for e, runs in zip(answers.column("entry").to_pylist(), answers.column("runs").to_pylist()):
-            if e is not None and not codes[e] & 1:
+            if e is not None and e >= 0 and not codes[e] & 1:
                 base = s.first[order[by[e]:by[e + 1]]]
                 for a, z in zip(runs[::2], runs[1::2]):
                     lo.append(base + a)
                     hi.append(base + z)
+        distinct, _, _, bound = _hot(s, codes, ranges)
+        again = np.zeros(len(distinct), bool)
+        for r, x, e in zip(answers.column("_range").to_pylist(), answers.column("codes").to_pylist(), answers.column("entry").to_pylist()):
+            if e == -1:
+                again[bound[r]:bound[r + 1]] = np.unpackbits(np.frombuffer(x, np.uint8), count=bound[r + 1] - bound[r])
+        if len(distinct):
+            h, _, start = s.windows(np.flatnonzero(codes & 6 == 6))
+            lo.append(start[again[np.searchsorted(distinct, h)]])
+            hi.append(lo[-1])
         lo, hi = np.concatenate(lo), np.concatenate(hi)
         gone = C.covered(lo, hi - lo + size, len(data))
         new = {k: [] for k in ADDED}
@@ -292,7 +353,7 @@ def _apply(size, gram, ranges, text_col, schema, with_bytes):
     return run
 
 
-def suffix_dedup(docs: DataFrame, size: int = 400, with_bytes: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, size: int = 400, with_bytes: bool = True, many: int = MANY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every byte covered by a string of ``size`` bytes that also starts
     anywhere else, in this document or another (all copies go).
 
@@ -312,7 +373,7 @@ def suffix_dedup(docs: DataFrame, size: int = 400, with_bytes: bool = True, id_c
                         T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("removed", span),
                         T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
     offers = dealt.groupBy("_chunk").applyInArrow(_offer(size, gram, ranges, text_col), "_range int, _chunk int, keys binary, bodies binary, twice binary")
-    codes = offers.groupBy("_range").applyInArrow(_answer, ANSWER)
+    codes = offers.groupBy("_range").applyInArrow(_answer(many), ANSWER)
     sent = dealt.groupBy("_chunk").cogroup(codes.groupBy("_chunk")).applyInArrow(
         _send(size, gram, ranges, text_col), "_range int, _chunk int, entry long, key long, text binary")
     sorted_ = sent.groupBy("_range").applyInArrow(_sort(size), ANSWER)
