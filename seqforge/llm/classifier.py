@@ -2,13 +2,13 @@
 follow-the-regularised-leader updates and scored as sparse dot products.
 
 Tokens are runs of letters, digits and non-ASCII bytes, and single marks.
-Unigrams and bigrams are hashed into 2^20 slots with values 1 + ln(count),
+Unigrams and bigrams are hashed into 2^18 slots with values 1 + ln(count),
 scaled to unit length; the share of repeated bigrams (in tenths) and a bias
 have slots of their own.  Only the text is an input.
 
 Training reads a bounded sample of the labelled rows (``MAX_ROWS``, chosen by a
 hash of the id), dealt to ``SHARDS`` tasks.  In each epoch every shard goes on
-from the mean of all shards' states; states have a fixed size (8 MB a shard).
+from the mean of all shards' states; states have a fixed size (2 MB a shard).
 Scoring is one pass of tasks over all documents.
 """
 
@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from seqforge.llm import common as C
 
-SLOTS = 1 << 20
+SLOT_BITS = 18
+SLOTS = 1 << SLOT_BITS
 LEVELS = 11
 BIAS = SLOTS + LEVELS
 SIZE = BIAS + 1
@@ -56,15 +57,20 @@ def sparse(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     doc = np.repeat(np.arange(n), np.diff(first))
     at, at_doc = C.window_starts(first, 2)
     pairs = C.mix(codes[at] * C.U64(3) + C.mix(codes[at + 1])) if len(at) else np.zeros(0, C.U64)
-    slot = np.concatenate([codes >> C.U64(44), pairs >> C.U64(44)]).astype(np.int64)
+    slot = np.concatenate([codes, pairs]) >> C.U64(64 - SLOT_BITS)
+    slot = slot.astype(np.int64)
     owner = np.concatenate([doc, at_doc])
     key, count = np.unique(owner * SLOTS + slot, return_counts=True)
     owner, slot = key // SLOTS, key % SLOTS
     value = 1 + np.log(count)
     norm = np.sqrt(np.bincount(owner, value * value, minlength=n))
     value = value / norm[owner]
-    whole, n_pairs = np.unique(np.stack([at_doc.astype(C.U64), pairs], 1), axis=0, return_counts=True) if len(at) else (np.zeros((0, 2), C.U64), np.zeros(0))
-    again = np.bincount(whole[:, 0].astype(np.int64), n_pairs - 1, minlength=n) / np.maximum(np.bincount(at_doc, minlength=n), 1)
+    # a document's distinct bigrams: its number above 44 bits of their hashes
+    whole = np.sort((at_doc.astype(C.U64) << C.U64(44)) | (pairs >> C.U64(20)))
+    new = whole[np.append(True, whole[1:] != whole[:-1])[:len(whole)]] >> C.U64(44)
+    n_pairs = np.bincount(at_doc, minlength=n)
+    again = 1 - np.bincount(new.astype(np.int64), minlength=n) / np.maximum(n_pairs, 1)
+    again = np.where(n_pairs > 0, again, 0.0)
     side = np.arange(n)
     owner = np.concatenate([owner, side, side])
     slot = np.concatenate([slot, SLOTS + np.floor(again * 10).astype(np.int64), np.full(n, BIAS)])
@@ -124,6 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     for _ in range(EPOCHS):
         state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
         done = rows.groupBy("shard").applyInArrow(_epoch(state), "rows long, z binary, n binary").collect()
+        state.destroy()
         share = np.array([r["rows"] for r in done], float)
         if not share.sum():
             break
