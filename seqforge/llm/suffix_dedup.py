@@ -85,7 +85,8 @@ class Segments:
         none = np.zeros(0, np.int64)
         self.first, self.last = (np.concatenate(x) if x else none for x in (first, last))
         at = anchor[self.first]
-        key = C.range_hash(roll, at, at + gram)
+        # anchors have the smallest hashes: hashed once more they spread over all ranges
+        key = C.mix(C.range_hash(roll, at, at + gram) + C.U64(0x9E3779B97F4A7C15))
         body = C.mix(C.range_hash(roll, self.first, self.last + size) + (at - self.first).astype(C.U64))
         both = np.empty(len(at), dtype=[("key", C.U64), ("body", C.U64)])
         both["key"], both["body"] = key, body
