@@ -36,6 +36,8 @@ END = 0xFF  # in no UTF-8 text: it ends a text and fills the context before it
 #: Distinct grams that a task holds before it sends them.
 HELD = 1 << 20
 PIECE = 1 << 17
+#: Bytes of text whose grams or words a task makes at once.
+BLOCK = 1 << 20
 BYTE = C.U64(8)
 LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
 FOLDED = C.BYTE_CODES[C.LOWER]
@@ -64,6 +66,25 @@ def gram_keys(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.delete(key, filler), offs + np.append(np.arange(n), n)
 
 
+def gram_blocks(batches, text_col: str):
+    """(row, keys, first) of the texts, about ``BLOCK`` bytes at a time; a longer
+    text comes in pieces of one row, each with the contexts of the piece before
+    it, only the last with the end."""
+    row = 0
+    for b in C.batch_blocks(batches, text_col, BLOCK):
+        data, offs = C.column_bytes(b.column(text_col))
+        if b.num_rows > 1 or len(data) <= BLOCK:
+            yield row, *gram_keys(data, offs)
+        else:
+            for at in range(0, len(data), BLOCK):
+                back = min(at, DEPTH)
+                part = data[at - back:at + BLOCK]
+                keys, _ = gram_keys(part, np.array([0, len(part)]))
+                keys = keys[back:len(keys) - (at + BLOCK < len(data))]
+                yield row, keys, np.array([0, len(keys)])
+        row += b.num_rows
+
+
 def gram_of(keys: np.ndarray, depth: int) -> np.ndarray:
     """The grams with their contexts cut to ``depth`` bytes."""
     return ((keys >> C.U64(8 * (DEPTH - depth + 1))) << BYTE) | (keys & C.U64(255))
@@ -93,8 +114,7 @@ def _count(text_col: str, parts: int):
                 "part": pa.array(full, pa.int32()),
                 "keys": pa.array([C.pack_sorted(k[order[cut[i]:cut[i + 1]]]) for i in full], pa.binary()),
                 "counts": pa.array([c[order[cut[i]:cut[i + 1]]].tobytes() for i in full], pa.binary())})
-        for b in C.batch_blocks(batches, text_col):
-            keys, _ = gram_keys(*C.column_bytes(b.column(text_col)))
+        for _, keys, _ in gram_blocks(batches, text_col):
             held.append(np.unique(keys, return_counts=True))
             if sum(len(k) for k, _ in held) > HELD:
                 k, c = summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
@@ -363,18 +383,21 @@ def scorer_of(model: dict) -> Scorer:
 
 # ---------------------------------------------------------------- unigram base and scores
 
-def _tokens(texts):
+def _tokens(t, text_col: str):
     """(hash of each token, first): the words of each text and then one end."""
-    data, offs = C.column_bytes(texts)
-    starts, ends, first = C.spans_of_words(data, offs, C.SPACE)
-    words = C.word_codes(data, starts, ends, FOLDED)
-    return data, offs, np.insert(words, first[1:], END_TOKEN), first + np.arange(len(first))
+    codes, sizes = [np.zeros(0, C.U64)], [np.zeros(1, np.int64)]
+    for b in C.batch_blocks([t], text_col, BLOCK):
+        data, offs = C.column_bytes(b.column(text_col))
+        starts, ends, first = C.spans_of_words(data, offs, C.SPACE)
+        codes.append(np.insert(C.word_codes(data, starts, ends, FOLDED), first[1:], END_TOKEN))
+        sizes.append(np.diff(first) + 1)
+    return np.concatenate(codes), np.cumsum(np.concatenate(sizes))
 
 
 def _offer(ranges: int, text_col: str):
     def run(key, t):
         C.release()
-        _, _, codes, first = _tokens(t.column(text_col))
+        codes, first = _tokens(t, text_col)
         learn = np.repeat(~np.asarray(t.column("_held")), np.diff(first))
         uniq, at = np.unique(codes, return_inverse=True)
         n = np.bincount(at, learn, minlength=len(uniq)).astype(np.uint32)
@@ -403,7 +426,7 @@ def _score(model, ranges, distinct, tokens, text_col, schema):
     def run(key, t, answers):
         C.release()
         scorer = scorer_of(model.value)
-        data, offs, codes, first = _tokens(t.column(text_col))
+        codes, first = _tokens(t, text_col)
         uniq, at = np.unique(codes, return_inverse=True)
         cut = C.hash_ranges(uniq, ranges)
         n = np.zeros(len(uniq), np.int64)
@@ -413,10 +436,13 @@ def _score(model, ranges, distinct, tokens, text_col, schema):
         new = {"n_tokens": n_tokens, "train_tokens": np.full(len(n_tokens), tokens)}
         new["n_known"] = np.add.reduceat((n[at] > 0).astype(np.int64), first[:-1]) if len(n_tokens) else n_tokens
         new["base_score"] = (np.add.reduceat(np.log10(n[at] + 1.0), first[:-1]) if len(n_tokens) else np.zeros(0)) - n_tokens * math.log10(tokens + distinct + 1)
-        keys, begin = gram_keys(data, offs)
-        bits = np.add.reduceat(scorer(keys), begin[:-1]) if len(n_tokens) else np.zeros(0)
+        bits, size = np.zeros(len(n_tokens)), np.zeros(len(n_tokens), np.int64)
+        for row, keys, begin in gram_blocks([t], text_col):
+            own = slice(row, row + len(begin) - 1)
+            bits[own] += np.add.reduceat(scorer(keys), begin[:-1])
+            size[own] += np.diff(begin)
         new["score"] = -bits * math.log10(2)
-        new["bits_per_byte"] = bits / np.diff(begin)
+        new["bits_per_byte"] = bits / size
         cols = [t.column(f.name) if f.name in t.column_names else pa.array(new[f.name], f.type) for f in schema]
         return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
     return run
