@@ -7,11 +7,13 @@ the product of its children's, which gives each context's posterior weight of
 stopping there; a prediction mixes the estimates of all depths with these.
 
 Training counts grams (context and next byte) of all training texts in Spark:
-partial counts per task, summed per subtree of the two newest bytes, so every
-subtree is weighted in one task; what lies above is 256 x 255 nodes at most.
-The trained tree is sent to the scoring tasks: ``MAX_GRAMS`` bounds its size
-by leaving contexts of fewer than a power of two occurrences to their parents
-(all counts still enter them).  Scoring is one pass over the texts.
+partial counts per task, summed in parts by the hash of the context's newest
+four bytes (so a part's share has no hot context), and each shorter length from
+the one above it.  The trained tree is sent to the scoring tasks: ``MAX_GRAMS``
+bounds its size by leaving contexts of fewer than a power of two occurrences to
+their parents (all counts still enter them).  What is kept of all lengths meets
+by its two newest bytes, so every subtree is weighted in one task; what lies
+above is 256 x 255 nodes at most.  Scoring is one pass over the texts.
 
 The unigram base needs the count of every token: chunks of documents send
 their distinct tokens to one task per hash range, which answers the counts.
@@ -34,7 +36,7 @@ DEPTH = 6
 MAX_GRAMS = 1 << 19
 END = 0xFF  # in no UTF-8 text: it ends a text and fills the context before it
 #: Distinct grams that a task holds before it sends them.
-HELD = 1 << 20
+HELD = 3 << 20
 PIECE = 1 << 17
 #: Bytes of text whose grams or words a task makes at once.
 BLOCK = 1 << 20
@@ -97,52 +99,98 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[head], np.add.reduceat(counts[order], head) if len(head) else counts[:0]
 
 
-def _count(text_col: str, parts: int):
-    low = C.U64(8 * (DEPTH - 1))
+def packed(keys: np.ndarray, counts: np.ndarray, near: np.ndarray, parts: int, depth: int) -> pa.RecordBatch:
+    """Grams in ascending order, one row per part by the hash of ``near``."""
+    part = (C.mix(near) % C.U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(cut))
+    return pa.RecordBatch.from_pydict({
+        "part": pa.array(full, pa.int32()), "depth": pa.array(np.full(len(full), depth), pa.int32()),
+        "keys": pa.array([C.pack_sorted(keys[order[cut[i]:cut[i + 1]]]) for i in full], pa.binary()),
+        "counts": pa.array([counts[order[cut[i]:cut[i + 1]]].tobytes() for i in full], pa.binary())})
+
+
+GRAMS = "part int, depth int, keys binary, counts binary"
+
 
+def by_newest(keys: np.ndarray, counts: np.ndarray, parts: int, depth: int) -> pa.RecordBatch:
+    return packed(keys, counts, keys >> C.U64(8 * (1 + max(depth - 4, 0))), parts, depth)
+
+
+def _count(text_col: str, parts: int):
     def run(batches):
         held: list = []
-
-        def flush():
-            k, c = summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-            held.clear()
-            part = (C.mix(k >> low) % C.U64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cut = np.searchsorted(part[order], np.arange(parts + 1))
-            full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_pydict({
-                "part": pa.array(full, pa.int32()),
-                "keys": pa.array([C.pack_sorted(k[order[cut[i]:cut[i + 1]]]) for i in full], pa.binary()),
-                "counts": pa.array([c[order[cut[i]:cut[i + 1]]].tobytes() for i in full], pa.binary())})
         for _, keys, _ in gram_blocks(batches, text_col):
             held.append(np.unique(keys, return_counts=True))
             if sum(len(k) for k, _ in held) > HELD:
-                k, c = summed(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-                held[:] = [(k, c)]
-                if len(k) > HELD // 2:
-                    yield from flush()
+                held[:] = [summed(*map(np.concatenate, zip(*held)))]
+                if len(held[0][0]) > HELD // 2:
+                    yield by_newest(*held.pop(), parts, DEPTH)
         if held:
-            yield from flush()
+            yield by_newest(*summed(*map(np.concatenate, zip(*held))), parts, DEPTH)
+        C.release()
+    return run
+
+
+def _shorter(depth: int, parts: int):
+    """Grams of ``depth`` bytes of context from those of one byte more."""
+    def run(batches):
+        for b in batches:
+            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
+                yield by_newest(*summed(parent_of(C.unpack_sorted(keys)), np.frombuffer(counts, np.int64)), parts, depth)
     return run
 
 
 def _total(key, t):
+    C.release()
     k, c = summed(np.concatenate([C.unpack_sorted(x) for x in t.column("keys").to_pylist()]),
                   np.concatenate([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()]))
-    ctx = k >> BYTE
-    _, at, n = np.unique(ctx, return_inverse=True, return_counts=True)
-    seen = np.bincount(at, c)
-    sizes = np.bincount(np.log2(seen).astype(np.int64), n, minlength=64).astype(np.int64)
+    _, at, n = np.unique(k >> BYTE, return_inverse=True, return_counts=True)
+    sizes = np.bincount(np.log2(np.bincount(at, c)).astype(np.int64), n, minlength=64).astype(np.int64)
     return pa.table({"part": [key[0].as_py()], "keys": [C.pack_sorted(k)], "counts": [c.tobytes()], "sizes": [sizes.tolist()]},
                     schema=pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.list_(pa.int64()))]))
 
 
+def _keep(depth: int, least: int, parts: int):
+    """The grams of contexts of ``least`` occurrences and more (all of depth
+    2), by their two newest bytes."""
+    def run(batches):
+        for b in batches:
+            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
+                k, c = C.unpack_sorted(keys), np.frombuffer(counts, np.int64)
+                if depth > 2:
+                    _, at = np.unique(k >> BYTE, return_inverse=True)
+                    many = np.bincount(at, c)[at] >= least
+                    k, c = k[many], c[many]
+                yield packed(k, c, k >> C.U64(8 * (depth - 1)), parts, depth)
+    return run
+
+
+def _gather(key, t):
+    """All kept grams of a subtree: one list of keys and counts per depth, deepest first."""
+    rows = {"part": [key[0].as_py()], "keys": [[]], "counts": [[]]}
+    for depth in range(DEPTH, 1, -1):
+        own = t.filter(pa.compute.equal(t.column("depth"), depth))
+        k, c = summed(np.concatenate([C.unpack_sorted(x) for x in own.column("keys").to_pylist()] or [np.zeros(0, C.U64)]),
+                      np.concatenate([np.frombuffer(x, np.int64) for x in own.column("counts").to_pylist()] or [np.zeros(0, np.int64)]))
+        rows["keys"][0].append(C.pack_sorted(k))
+        rows["counts"][0].append(c.tobytes())
+    return pa.table(rows, schema=pa.schema([("part", pa.int32()), ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))]))
+
+
+def _subtrees(batches):
+    for b in batches:
+        for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
+            yield [(C.unpack_sorted(k), np.frombuffer(c, np.int64)) for k, c in zip(keys, counts)]
+
+
 # ---------------------------------------------------------------- tree
 
-def level(keys: np.ndarray, counts: np.ndarray, depth: int):
-    """(node keys, zeros, ones) of the contexts of ``depth`` bytes; a node key is
-    the context above the decision's place in the byte (1 to 255)."""
-    ctx = keys >> C.U64(8 * (DEPTH - depth + 1))
+def level(keys: np.ndarray, counts: np.ndarray):
+    """(node keys, zeros, ones) of the grams' contexts; a node key is the
+    context above the decision's place in the byte (1 to 255)."""
+    ctx = keys >> BYTE
     byte = keys & C.U64(255)
     node = np.concatenate([(ctx << BYTE) | C.U64(1 << k) | (byte >> C.U64(8 - k)) for k in range(8)])
     bit = np.concatenate([(byte >> C.U64(7 - k)) & C.U64(1) for k in range(8)]).astype(bool)
@@ -167,17 +215,12 @@ def weigh(zeros, ones, below):
     return all_, np.exp(own - all_)
 
 
-def subtree(keys: np.ndarray, counts: np.ndarray, least: int):
+def subtree(grams: list):
     """Nodes of depth DEPTH to 2, deepest first: (depth, node, one's estimate,
     stop weight); and what depth 1 needs: (node, zeros, ones, children's sum)."""
     out, below = [], None
-    for depth in range(DEPTH, 1, -1):
-        k, c = keys, counts
-        if depth > 2 and least > 1:
-            _, at = np.unique(keys >> C.U64(8 * (DEPTH - depth + 1)), return_inverse=True)
-            many = np.bincount(at, counts)[at] >= least
-            k, c = keys[many], counts[many]
-        node, zeros, ones = level(k, c, depth)
+    for depth, (keys, counts) in zip(range(DEPTH, 1, -1), grams):
+        node, zeros, ones = level(keys, counts)
         total = np.zeros(len(node))
         child = np.zeros(len(node), bool)
         if below is not None:
@@ -194,13 +237,9 @@ def subtree(keys: np.ndarray, counts: np.ndarray, least: int):
     return out, (up, np.bincount(at, zeros, len(up)), np.bincount(at, ones, len(up)), np.bincount(at, below[1], len(up)))
 
 
-def _upper(least: int):
-    def run(batches):
-        for b in batches:
-            for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                node, z, o, s = subtree(C.unpack_sorted(keys), np.frombuffer(counts, np.int64), least)[1]
-                yield pa.RecordBatch.from_pydict({k: [x.tobytes()] for k, x in zip(("node", "zeros", "ones", "below"), (node, z, o, s))})
-    return run
+def _upper(batches):
+    for grams in _subtrees(batches):
+        yield pa.RecordBatch.from_pydict({k: [x.tobytes()] for k, x in zip(("node", "zeros", "ones", "below"), subtree(grams)[1])})
 
 
 class Tree:
@@ -240,19 +279,15 @@ class Tree:
         return total
 
 
-def _grams(least: int, upper):
+def _grams(upper):
     def run(batches):
-        for b in batches:
-            for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                k, c = C.unpack_sorted(keys), np.frombuffer(counts, np.int64)
-                levels = subtree(k, c, least)[0]
-                tree = Tree({**upper.value, **{d: x for d, *x in levels}})
-                for depth, *x in levels:
-                    g, _ = np.unique(gram_of(k, depth), return_index=True)
-                    g = g[np.isin(g >> BYTE, x[0] >> BYTE)]
-                    bits = tree.bits(((g >> BYTE) << C.U64(8 * (DEPTH - depth + 1))) | (g & C.U64(255)), depth).astype(np.float32)
-                    yield pa.RecordBatch.from_pydict({"depth": pa.array([depth, -depth], pa.int32()), "node": [x[0].tobytes(), g.tobytes()],
-                                                      "one": [x[1].tobytes(), bits.tobytes()], "stop": [x[2].tobytes(), b""]})
+        for grams in _subtrees(batches):
+            levels = subtree(grams)[0]
+            tree = Tree({**upper.value, **{d: x for d, *x in levels}})
+            for (depth, *x), (g, _) in zip(levels, grams):
+                bits = tree.bits(((g >> BYTE) << C.U64(8 * (DEPTH - depth + 1))) | (g & C.U64(255)), depth).astype(np.float32)
+                yield pa.RecordBatch.from_pydict({"depth": pa.array([depth, -depth], pa.int32()), "node": [x[0].tobytes(), g.tobytes()],
+                                                  "one": [x[1].tobytes(), bits.tobytes()], "stop": [x[2].tobytes(), b""]})
     return run
 
 
@@ -260,17 +295,26 @@ def train(docs: DataFrame, text_col: str = "text", max_grams: int = MAX_GRAMS) -
     """The weighted tree of all texts of ``docs``: levels, and the code length
     of every gram it has."""
     spark = docs.sparkSession
-    parts = C.partitions_of(spark)
-    counts = docs.select(text_col).mapInArrow(_count(text_col, parts), "part int, keys binary, counts binary")
-    grams = C.stored(counts.groupBy("part").applyInArrow(_total, "part int, keys binary, counts binary, sizes array<long>"), "grams")
-    sizes = grams.select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
+    parts, few = C.n_chunks(docs, text_col)[0], C.partitions_of(spark)
+    counts = docs.select(text_col).mapInArrow(_count(text_col, parts), GRAMS)
+    grams = {}
+    for depth in range(DEPTH, 1, -1):
+        if depth < DEPTH:
+            counts = grams[depth + 1].select("keys", "counts").mapInArrow(_shorter(depth, parts), GRAMS)
+        grams[depth] = C.stored(counts.groupBy("part").applyInArrow(_total, "part int, keys binary, counts binary, sizes array<long>"), "grams")
+    sizes = grams[DEPTH].select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
     least, held = 1, 0
     for r in sorted(sizes, key=lambda r: -r["level"]):
         held += r["n"]
         if held > max_grams:
             least = 1 << (r["level"] + 1)
             break
-    rows = grams.select("keys", "counts").mapInArrow(_upper(least), "node binary, zeros binary, ones binary, below binary").collect()
+    kept = None
+    for depth, df in grams.items():
+        df = df.select("keys", "counts").mapInArrow(_keep(depth, least, few), GRAMS)
+        kept = df if kept is None else kept.unionByName(df)
+    kept = C.stored(kept.groupBy("part").applyInArrow(_gather, "part int, keys array<binary>, counts array<binary>"), "subtrees")
+    rows = kept.select("keys", "counts").mapInArrow(_upper, "node binary, zeros binary, ones binary, below binary").collect()
     node = np.concatenate([np.frombuffer(r["node"], C.U64) for r in rows] or [np.zeros(0, C.U64)])
     node, at = np.unique(node, return_inverse=True)
     z, o, s = (np.bincount(at, np.concatenate([np.frombuffer(r[k]) for r in rows] or [np.zeros(0)]), len(node)) for k in ("zeros", "ones", "below"))
@@ -281,7 +325,7 @@ def train(docs: DataFrame, text_col: str = "text", max_grams: int = MAX_GRAMS) -
         node, at = np.unique(parent_of(node), return_inverse=True)
         z, o, s = (np.bincount(at, x, len(node)) for x in (z, o, weighted))
     sent = spark.sparkContext.broadcast(upper)
-    rows = grams.select("keys", "counts").mapInArrow(_grams(least, sent), "depth int, node binary, one binary, stop binary").collect()
+    rows = kept.select("keys", "counts").mapInArrow(_grams(sent), "depth int, node binary, one binary, stop binary").collect()
     model = {"name": uuid.uuid4().hex, "levels": dict(upper), "grams": {}}
     for depth in range(DEPTH, 1, -1):
         for kind in (depth, -depth):
