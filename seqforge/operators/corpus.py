@@ -1,16 +1,20 @@
 """Corpus preparation: windows, n-grams, vocabularies, tokenizers, encoding.
 
 Every function maps DataFrame -> DataFrame.  Per-row work stays in Catalyst
-expressions (``transform``, ``sequence``, ``substring``); the only shuffles
-are the vocabulary aggregation (partial + final hash aggregate) and the
-position-level joins of the frequency tokenizers.
+expressions (``transform``, ``sequence``, ``substring``) or, for gram counts
+and the frequency tokenizers, in Arrow batch functions; the only shuffle is
+the vocabulary aggregation (counts per batch, then a hash aggregate).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
+from seqforge.functions import arrow as A
 from seqforge.functions.alphabet import CLS, GAP, PAD, RESIDUES, SEP, SPECIALS, UNK
 
 
@@ -80,13 +84,39 @@ def ngrams(df: DataFrame, col: str = "sequence", sizes=(2, 3)) -> DataFrame:
 
 
 # T4 ------------------------------------------------------------------------
+def _count_grams(col: str, sizes):
+    """Distinct grams of each block of rows with their counts.  A gram's id is
+    the rank of (id of its first letters, last letter), so any size fits."""
+    def run(batches):
+        for b in A.blocks(batches, col):
+            data, start, first, points = A.letters(b.column(col))
+            ends = np.repeat(first[1:], np.diff(first))
+            alphabet, code = np.unique(points, return_inverse=True)
+            ids = code
+            for size in range(1, max(sizes) + 1):
+                if size > 1:
+                    ids = ids[:len(code) - size + 1] * len(alphabet) + code[size - 1:]
+                    _, ids = np.unique(ids, return_inverse=True)
+                at = np.flatnonzero(np.arange(len(ids)) + size <= ends[:len(ids)])
+                if size not in sizes or not len(at):
+                    if not len(ids):
+                        break
+                    continue
+                seen, where = np.unique(ids[at], return_index=True)
+                count = np.bincount(ids[at])[seen] * sizes.count(size)
+                at = at[where]
+                tokens = A.string_lists(data, start, at, np.full(len(at), size), np.arange(len(at) + 1)).flatten()
+                yield pa.RecordBatch.from_arrays([tokens, pa.array(count, pa.int64())], names=["token", "n"])
+    return run
+
+
 def build_vocab(df: DataFrame, col: str = "sequence", sizes=(2, 3)) -> DataFrame:
     """``(idx, token, frequency)``: corpus counts, most frequent first, ties by
-    token.  The count is a two-phase hash aggregate (map-side partial counts);
-    only the distinct tokens (bounded by alphabet^max(sizes)) reach the final
-    ranking window, so the single ordered window sees a bounded table."""
-    counts = (df.select(F.explode(ngram_array(col, sizes)).alias("token"))
-                .groupBy("token").agg(F.count(F.lit(1)).alias("frequency")))
+    token.  Each block of rows counts its grams before the shuffle; only the
+    distinct tokens (bounded by alphabet^max(sizes)) reach the final ranking
+    window, so the single ordered window sees a bounded table."""
+    part = df.select(F.col(col).alias("_s")).mapInArrow(_count_grams("_s", list(sizes)), "token string, n long")
+    counts = part.groupBy("token").agg(F.sum("n").alias("frequency"))
     w = Window.orderBy(F.desc("frequency"), F.asc("token"))
     return counts.select((F.row_number().over(w) - 1).cast("int").alias("idx"), "token", "frequency")
 
@@ -164,80 +194,109 @@ def corpus_size(windows: DataFrame, max_len: int) -> DataFrame:
 
 
 # T8 / T9 / T10 --------------------------------------------------------------
-def choose_tokens(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame) -> DataFrame:
-    """Per position of ``col``: the frequency-chosen token and its length.
-
-    Candidates at position i are the 2- and 3-gram starting there (one
-    candidate near the end).  Their ``freq_z`` (0 when unseen) decide: the
-    last character is always single; a zero sum of the candidates' values
-    emits the single character; otherwise the highest value wins, ties to
-    the shorter token.  Positions are exploded from linear-time arrays
-    (chars and lookahead n-grams) and the vocabulary — bounded by the
-    alphabet — is broadcast-joined twice.  Returns ``(*keys, _i, tok, hop)``."""
-    s = F.col(col)
-    z = F.arrays_zip(F.split(s, "").alias("ch"),
-                     F.regexp_extract_all(s, F.lit("(?s)(?=(.{2}))"), 1).alias("g2"),
-                     F.regexp_extract_all(s, F.lit("(?s)(?=(.{3}))"), 1).alias("g3"))
-    # the length is computed before the generator: written next to it,
-    # Catalyst would evaluate it once per exploded row (quadratic)
-    pos = (df.select(*key_cols, z.alias("_zs")).select(*key_cols, F.size("_zs").alias("_n"), "_zs")
-             .select(*key_cols, "_n", F.posexplode("_zs").alias("_i", "_z"))
-             .select(*key_cols, "_n", "_i", F.col("_z.ch").alias("ch"), F.col("_z.g2").alias("g2"),
-                     F.col("_z.g3").alias("g3")))
-    v = vocab_z.select("token", F.col("freq_z").cast("double").alias("z"))
-    pos = (pos.join(F.broadcast(v.withColumnRenamed("token", "g2").withColumnRenamed("z", "z2")), "g2", "left")
-              .join(F.broadcast(v.withColumnRenamed("token", "g3").withColumnRenamed("z", "z3")), "g3", "left"))
-    z2 = F.coalesce(F.col("z2"), F.lit(0.0))
-    z3 = F.coalesce(F.col("z3"), F.lit(0.0))
-    total = F.when(F.col("g3").isNull(), z2).otherwise(z2 + z3)
-    single = (F.col("_i") == F.col("_n") - 1) | F.col("g2").isNull() | (total == 0)
-    tok = (F.when(single, F.col("ch")).when(F.col("g3").isNull(), F.col("g2"))
-            .when(z3 > z2, F.col("g3")).otherwise(F.col("g2")))
-    return pos.select(*key_cols, "_i", tok.alias("tok"), F.length(tok).alias("hop"))
-
-
-def _ordered(pos: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Positions back into one ordered array per key (a shuffle by key; each
-    group is one row's positions, bounded by that row's length)."""
-    return pos.groupBy(*key_cols).agg(
-        F.sort_array(F.collect_list(F.struct("_i", "tok", "hop"))).alias("_arr"))
-
-
-def tokenize_fmfcm(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame) -> DataFrame:
-    """The frequency choice at every position, step 1 (overlapping).
-    Unseen tokens count 0 (the reference raises)."""
-    arr = _ordered(choose_tokens(df, col, key_cols, vocab_z), key_cols)
-    return arr.select(*key_cols, F.transform("_arr", lambda x: x["tok"]).alias("tokens"))
-
-
-def _walk(arr: Column) -> Column:
-    """Greedy left-to-right walk: from position 0 take the chosen token and
-    jump by its length."""
-    init = F.struct(F.lit(0).alias("nxt"), F.array().cast("array<string>").alias("toks"))
-    return F.aggregate(arr, init, lambda acc, x: F.when(
-        x["_i"] == acc["nxt"],
-        F.struct((x["_i"] + x["hop"]).alias("nxt"), F.concat(acc["toks"], F.array(x["tok"])).alias("toks")))
-        .otherwise(acc))["toks"]
-
-
-def tokenize_fmfm(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame) -> DataFrame:
+def vocab_tables(vocab_z: DataFrame, sizes=(2, 3), alphabet: str = RESIDUES) -> dict[int, np.ndarray]:
+    """``freq_z`` of all grams of each size over ``alphabet`` (0 when unseen),
+    by the gram's number in base ``len(alphabet)``.  At most one row per such
+    gram reaches the driver; a vocabulary token of these sizes with another
+    letter, or listed twice, is an error."""
+    sizes = sorted(set(sizes))
+    bound = sum(len(alphabet) ** s for s in sizes)
+    rows = (vocab_z.filter(F.length("token").isin(sizes))
+            .select("token", F.col("freq_z").cast("double").alias("z")).limit(bound + 1).collect())
+    code = {c: i for i, c in enumerate(alphabet)}
+    tables, seen = {s: np.zeros(len(alphabet) ** s) for s in sizes}, set()
+    for r in rows:
+        if r.token in seen or not set(r.token) <= code.keys():
+            raise ValueError(f"vocabulary token twice or with a letter outside the alphabet: {r.token!r}")
+        seen.add(r.token)
+        at = 0
+        for c in r.token:
+            at = at * len(alphabet) + code[c]
+        tables[len(r.token)][at] = r.z or 0.0
+    return tables
+
+
+def choose(points: np.ndarray, first: np.ndarray, tables: dict[int, np.ndarray], alphabet: str) -> np.ndarray:
+    """Length of the token chosen at every letter.  Candidates are the grams
+    of each size that end within the row; their ``freq_z`` (0 when unseen)
+    decide: the last letter is always single; a zero sum of the candidates'
+    values gives the single letter; otherwise the highest value wins, ties go
+    to the shorter token."""
+    n = len(points)
+    code = np.full(max(n and int(points.max()) + 1, 256), -1)
+    code[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
+    code = np.append(code[points], np.full(max(tables), -1))
+    left = np.repeat(first[1:], np.diff(first)) - np.arange(n)
+    total, best, hop = np.zeros(n), np.full(n, -np.inf), np.ones(n, np.int64)
+    for size, table in tables.items():
+        known, at = np.ones(n, bool), np.zeros(n, np.int64)
+        for j in range(size):
+            known &= code[j:j + n] >= 0
+            at = at * len(alphabet) + code[j:j + n]
+        z = np.where(known, table[np.where(known, at, 0)], 0.0)
+        fits = left >= size
+        total += np.where(fits, z, 0.0)
+        better = fits & (z > best)
+        best[better], hop[better] = z[better], size
+    return np.where((left == 1) | (total == 0), 1, hop)
+
+
+def walk(hop: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Letters where a token starts if each row is walked from its first
+    letter by the chosen lengths (all rows step together)."""
+    taken = np.zeros(len(hop), bool)
+    at, end = first[:-1], first[1:]
+    while True:
+        live = at < end
+        if not live.any():
+            return np.flatnonzero(taken)
+        at, end = at[live], end[live]
+        taken[at] = True
+        at = at + hop[at]
+
+
+def _tokenize(df: DataFrame, col: str, key_cols: list[str], tables: dict[int, np.ndarray], alphabet: str,
+              overlap: bool, pair: bool = False) -> DataFrame:
+    def run(batches):
+        for b in A.blocks(batches, "_text"):
+            text = b.column(b.num_columns - 1)
+            data, start, first, points = A.letters(text)
+            rows = first
+            if pair:
+                gap = np.flatnonzero(points == ord(GAP))
+                bad = np.diff(np.searchsorted(gap, first)) != 1
+                if bad.any():
+                    raise ValueError(f"expected one hyphen: {text[int(np.argmax(bad))]}")
+                first = np.sort(np.concatenate([first, gap, gap + 1]))
+            hop = choose(points, first, tables, alphabet)
+            at = np.arange(len(hop)) if overlap else walk(hop, first)
+            tokens = A.string_lists(data, start, at, hop[at], np.searchsorted(at, rows), np.asarray(text.is_null()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], tokens], names=[*key_cols, "tokens"])
+    src = df.select(*key_cols, F.col(col).alias("_text"))
+    out = ST.StructType([*src.schema.fields[:-1], ST.StructField("tokens", ST.ArrayType(ST.StringType()))])
+    return src.mapInArrow(run, out)
+
+
+def tokenize_fmfcm(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame, sizes=(2, 3),
+                   alphabet: str = RESIDUES) -> DataFrame:
+    """``(*keys, tokens)``, the frequency choice at every position, step 1
+    (overlapping).  Unseen tokens count 0 (the reference raises).  A null text
+    has null tokens, an empty one none.  Map-only."""
+    return _tokenize(df, col, key_cols, vocab_tables(vocab_z, sizes, alphabet), alphabet, overlap=True)
+
+
+def tokenize_fmfm(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame, sizes=(2, 3),
+                  alphabet: str = RESIDUES) -> DataFrame:
     """Forward maximum-frequency matching — the same choice, then jump
     by the chosen token's length."""
-    arr = _ordered(choose_tokens(df, col, key_cols, vocab_z), key_cols)
-    return arr.select(*key_cols, _walk(F.col("_arr")).alias("tokens"))
+    return _tokenize(df, col, key_cols, vocab_tables(vocab_z, sizes, alphabet), alphabet, overlap=False)
 
 
 def tokenize_pair(df: DataFrame, col: str, key_cols: list[str], vocab_z: DataFrame,
-                  method: str = "fmfm") -> DataFrame:
+                  method: str = "fmfm", sizes=(2, 3), alphabet: str = RESIDUES) -> DataFrame:
     """``a-b`` split at the hyphen, both sides tokenized, a ``-`` token
     between them.  Anything but exactly one hyphen fails the job."""
-    parts = F.split(F.col(col), "-", -1)
-    sides = (df.select(*key_cols, F.when(F.size(parts) == 2, parts).otherwise(
-                F.raise_error(F.concat(F.lit("expected one hyphen: "), F.col(col))).cast("array<string>"))
-                .alias("_p"))
-               .select(*key_cols, F.posexplode("_p").alias("_side", "_part")))
-    tk = tokenize_fmfm if method == "fmfm" else tokenize_fmfcm
-    per = tk(sides, "_part", [*key_cols, "_side"], vocab_z)
-    both = per.groupBy(*key_cols).agg(F.sort_array(F.collect_list(F.struct("_side", "tokens"))).alias("_s"))
-    return both.select(*key_cols, F.concat(F.col("_s")[0]["tokens"], F.array(F.lit(GAP)),
-                                           F.col("_s")[1]["tokens"]).alias("tokens"))
+    if method not in ("fmfm", "fmfcm"):
+        raise ValueError(method)
+    return _tokenize(df, col, key_cols, vocab_tables(vocab_z, sizes, alphabet), alphabet,
+                     overlap=method == "fmfcm", pair=True)

@@ -3,16 +3,20 @@
 Every draw is a hash of ``(seed, row key, position, purpose)``: one md5
 per row gives a 32-bit row seed, and a cheap integer mix of (row seed,
 position, purpose) gives each draw, so results are reproducible and
-independent of partitioning.  Positions are exploded so the per-position
-arithmetic runs in whole-stage codegen, then collected back per row (one
-shuffle by row key; a group is one row's positions, bounded by the window).
+independent of partitioning.  All draws of a row need that row only, so
+M1-M3 are map-only Arrow batch functions.  Id lists have no null entries;
+a row whose ids (or structure) are null has null results.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
+from seqforge.functions import arrow as A
 from seqforge.functions.alphabet import CLS, IGNORE_INDEX, MASK, PAD, RESIDUES, SEP, SPECIALS, STRUCTURE_RATES
 
 
@@ -34,17 +38,17 @@ def row_seed(seed, key: Column) -> Column:
     return F.conv(F.substr(h, F.lit(1), F.lit(8)), 16, 10).cast("long")
 
 
-def mix(rs: Column, i: Column, purpose: int) -> Column:
+def mix(rs: np.ndarray, i: np.ndarray, purpose: int) -> np.ndarray:
     """32-bit integer hash of (row seed, position, purpose): add, then two
     xor-shift-multiply rounds.  Every product stays below 2^63, so plain
-    long arithmetic is exact (no overflow) in Spark and in DuckDB."""
-    x = F.pmod(rs + i.cast("long") * 40503 + purpose * 1000003, F.lit(M32))
+    long arithmetic is exact (no overflow) here and in SQL."""
+    x = (rs + i * 40503 + purpose * 1000003) % M32
     for _ in range(2):
-        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * 73244475, F.lit(M32))
-    return x.bitwiseXOR(F.shiftright(x, 16))
+        x = ((x ^ (x >> 16)) * 73244475) % M32
+    return x ^ (x >> 16)
 
 
-def uniform(rs: Column, i: Column, purpose: int) -> Column:
+def uniform(rs: np.ndarray, i: np.ndarray, purpose: int) -> np.ndarray:
     return mix(rs, i, purpose) / float(M32)
 
 
@@ -56,22 +60,32 @@ def row_key(*cols: str) -> Column:
     return F.concat_ws("/", *[F.col(c).cast("string") for c in cols])
 
 
-def _positions(df: DataFrame, keys: list[str], rs: Column, **arrays: Column) -> DataFrame:
-    """One row per array position: ``(*keys, rs, i, <name>...)``.  The
-    per-position arithmetic that follows runs in whole-stage codegen
-    (lambdas inside ``transform`` are interpreted and far slower)."""
-    z = F.arrays_zip(*[v.alias(k) for k, v in arrays.items()])
-    return (df.select(*keys, rs.alias("rs"), z.alias("_z"))
-              .select(*keys, "rs", F.posexplode("_z").alias("i", "_e"))
-              .select(*keys, "rs", "i", *[F.col(f"_e.{k}").alias(k) for k in arrays]))
+def _by_row(df: DataFrame, keys: list[str], seed, columns: dict[str, str], added: dict[str, ST.DataType], work) -> DataFrame:
+    """``keys`` and the ``added`` columns that ``work`` makes of each block of
+    rows; it gets the Arrow columns by name, the row seeds and is map-only."""
+    src = df.select(*keys, row_seed(seed, row_key(*keys)).alias("_rs"), *[F.col(c).alias(n) for n, c in columns.items()])
 
+    def run(batches):
+        for b in A.blocks(batches, next(iter(columns))):
+            got = dict(zip(b.schema.names[len(keys):], b.columns[len(keys):]))
+            new = work(got, got["_rs"].to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:len(keys)], *new], names=[*keys, *added])
+    return src.mapInArrow(run, ST.StructType([*src.schema.fields[:len(keys)], *[ST.StructField(n, t) for n, t in added.items()]]))
 
-def _collect(pos: DataFrame, keys: list[str], **fields: Column) -> DataFrame:
-    """Back to one row per key: arrays of ``fields`` in position order
-    (one shuffle by key; a group is one row's positions)."""
-    s = F.struct(F.col("i"), *[v.alias(k) for k, v in fields.items()])
-    g = pos.groupBy(*keys).agg(F.sort_array(F.collect_list(s)).alias("_a"))
-    return g.select(*keys, *[F.col(f"_a.{k}").alias(k) for k in fields])
+
+def _places(bounds: np.ndarray, rs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row seed, position in its row) of every list entry."""
+    size = np.diff(bounds)
+    return np.repeat(rs, size), np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)
+
+
+IDS = ST.ArrayType(ST.IntegerType())
+
+
+def _masked(x, chosen, value, bounds, null) -> list[pa.Array]:
+    ids = np.where(chosen, value, x).astype(np.int32)
+    labels = np.where(chosen, x, IGNORE_INDEX).astype(np.int32)
+    return [A.lists(ids, bounds, null), A.lists(labels, bounds, null)]
 
 
 # M1 ------------------------------------------------------------------------
@@ -83,18 +97,21 @@ def mask_uniform(df: DataFrame, ids: str, keys: list[str], p: float = 0.15, seed
     where chosen and -100 elsewhere."""
     sp = special_ids(hyphen)
     nv = vocab_size(hyphen)
-    pos = _positions(df, keys, row_seed(seed, row_key(*keys)), x=F.col(ids))
-    rs, i, x = F.col("rs"), F.col("i"), F.col("x")
-    chosen = (~x.isin(sp[CLS], sp[SEP], sp[PAD])) & (uniform(rs, i, SEL) < p)
-    r = uniform(rs, i, HOW)
-    rnd = F.floor(uniform(rs, i, RND) * nv).cast("int")
-    new = F.when(~chosen, x).when(r < 0.8, F.lit(sp[MASK])).when(r < 0.9, rnd).otherwise(x)
-    return _collect(pos, keys, masked_ids=new, labels=F.when(chosen, x).otherwise(F.lit(IGNORE_INDEX)))
+
+    def work(cols, seeds):
+        x, bounds = A.list_values(cols["_ids"])
+        rs, i = _places(bounds, seeds)
+        chosen = ~np.isin(x, [sp[CLS], sp[SEP], sp[PAD]]) & (uniform(rs, i, SEL) < p)
+        r = uniform(rs, i, HOW)
+        rnd = np.floor(uniform(rs, i, RND) * nv)
+        value = np.where(r < 0.8, sp[MASK], np.where(r < 0.9, rnd, x))
+        return _masked(x, chosen, value, bounds, np.asarray(cols["_ids"].is_null()))
+    return _by_row(df, keys, seed, {"_ids": ids}, {"masked_ids": IDS, "labels": IDS}, work)
 
 
 # M2 ------------------------------------------------------------------------
 def mask_by_structure(df: DataFrame, ids: str, ss: str, keys: list[str], rates=None, seed: int = 0,
-                      offset: int = 1) -> DataFrame:
+                      offset: int = 1, carry: bool = False) -> DataFrame:
     """``(*keys, mask, mask_pos)``: one boolean per id position and the
     chosen id positions (ascending), chosen by structure — for each tag
     exactly ``floor(n_tag * rate)`` of the tag's positions, without
@@ -102,27 +119,37 @@ def mask_by_structure(df: DataFrame, ids: str, ss: str, keys: list[str], rates=N
     never chosen.  The structure is cut to the id length first;
     ``offset=1`` aligns structure position i with id position i+1 (after
     ``[CLS]``); ``offset=0`` reproduces the reference (it can mask
-    ``[CLS]``).  Ranks per (row, tag) use a window whose partitions are one
-    row's positions of one tag."""
+    ``[CLS]``).  ``carry`` adds the ids and the structure, so that M3 and M4
+    need no join."""
     rates = rates or STRUCTURE_RATES
-    rate_of = F.create_map(*[x for t, r in rates.items() for x in (F.lit(t), F.lit(r))])
-    n_ids = F.size(ids)
-    base = df.select(*keys, F.slice(F.split(F.col(ss), ""), 1, n_ids).alias("_ch"), n_ids.alias("_n"))
-    pos = _positions(base, keys + ["_n"], row_seed(seed, row_key(*keys)), tag=F.col("_ch"))
-    pos = pos.withColumn("h", mix(F.col("rs"), F.col("i"), ORDER))
-    w = Window.partitionBy(*keys, "tag")
-    rk = F.row_number().over(w.orderBy("h", "i"))
-    k = F.floor(F.count(F.lit(1)).over(w) * F.coalesce(F.try_element_at(rate_of, F.col("tag")), F.lit(0.0)))
-    pos = pos.withColumn("f", (rk <= k) & (F.col("i") + offset < F.col("_n"))) \
-             .withColumn("i", F.col("i") + offset)
-    g = _collect(pos, keys + ["_n"], f=F.col("f"))
-    # id positions before the structure (offset) and after its end are False
-    mask = F.concat(F.array_repeat(F.lit(False), F.lit(offset)), F.col("f"))
-    mask = F.concat(F.slice(mask, 1, F.col("_n")),
-                    F.array_repeat(F.lit(False), F.greatest(F.lit(0), F.col("_n") - F.size(mask))))
-    g = g.withColumn("mask", mask)
-    g = g.withColumn("mask_pos", F.filter(F.transform("mask", lambda f, i: F.when(f, i)), lambda v: v.isNotNull()))
-    return g.drop("f", "_n")
+
+    def work(cols, seeds):
+        no = np.asarray(cols["_ids"].is_null()) | np.asarray(cols["_ss"].is_null())
+        x, bounds = A.list_values(cols["_ids"])
+        n = np.diff(bounds)
+        _, _, first, tag = A.letters(cols["_ss"])
+        row = np.repeat(np.arange(len(n)), np.diff(first))
+        i = np.arange(len(tag)) - first[row]
+        inside = i < n[row]
+        row, i, tag = row[inside], i[inside], tag[inside]
+        order = np.lexsort((i, mix(seeds[row], i, ORDER), tag, row))
+        row, i, tag = row[order], i[order], tag[order]
+        head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (tag[1:] != tag[:-1]))[:len(row)])
+        count = np.diff(np.append(head, len(row)))
+        rate = np.zeros(len(head))
+        for t, r in rates.items():
+            rate[tag[head] == ord(t)] = r
+        rank = np.arange(len(row)) - np.repeat(head, count)
+        hit = (rank < np.repeat(np.floor(count * rate), count)) & (i + offset < n[row])
+        mask = np.zeros(bounds[-1], bool)
+        mask[bounds[row[hit]] + i[hit] + offset] = True
+        at = np.flatnonzero(mask)
+        own = np.searchsorted(at, bounds)
+        pos = (at - np.repeat(bounds[:-1], np.diff(own))).astype(np.int32)
+        return [*([cols["_ids"], cols["_ss"]] if carry else []), A.lists(mask, bounds, no), A.lists(pos, own, no)]
+    kept = {ids: df.schema[ids].dataType, ss: df.schema[ss].dataType} if carry else {}
+    return _by_row(df, keys, seed, {"_ids": ids, "_ss": ss},
+                   {**kept, "mask": ST.ArrayType(ST.BooleanType()), "mask_pos": IDS}, work)
 
 
 # M3 ------------------------------------------------------------------------
@@ -138,16 +165,26 @@ def corrupt(df: DataFrame, ids: str, mask: str, keys: list[str], seed: int = 0,
     nv = vocab_size(hyphen)
     if mode not in ("80_10_10", "as_reference"):
         raise ValueError(mode)
-    pos = _positions(df, keys, row_seed(seed, row_key(*keys)), x=F.col(ids), m=F.col(mask))
-    rs, i, x, m = F.col("rs"), F.col("i"), F.col("x"), F.col("m")
-    r = uniform(rs, i, MASKDRAW)
-    rnd = F.floor(uniform(rs, i, RND) * nv).cast("int")
-    if mode == "80_10_10":
-        v = F.when(r < 0.8, F.lit(sp[MASK])).when(r < 0.9, rnd).otherwise(x)
-    else:
-        v = F.when(uniform(rs, i, SWAP) < 0.5, rnd).when(r < 0.8, F.lit(sp[MASK])).otherwise(x)
-    return _collect(pos, keys, masked_ids=F.when(m, v).otherwise(x),
-                    labels=F.when(m, x).otherwise(F.lit(IGNORE_INDEX)))
+
+    def work(cols, seeds):
+        x, bounds = A.list_values(cols["_ids"])
+        m, ends = A.list_values(cols["_mask"])
+        no = np.asarray(cols["_ids"].is_null()) | np.asarray(cols["_mask"].is_null())
+        if not no.any() and not np.array_equal(bounds, ends):
+            raise ValueError("ids and mask must have the same length")
+        chosen = np.zeros(len(x), bool)
+        if len(m):
+            live = ~np.repeat(no, np.diff(bounds))
+            chosen[live] = m[~np.repeat(no, np.diff(ends))]
+        rs, i = _places(bounds, seeds)
+        r = uniform(rs, i, MASKDRAW)
+        rnd = np.floor(uniform(rs, i, RND) * nv)
+        if mode == "80_10_10":
+            value = np.where(r < 0.8, sp[MASK], np.where(r < 0.9, rnd, x))
+        else:
+            value = np.where(uniform(rs, i, SWAP) < 0.5, rnd, np.where(r < 0.8, sp[MASK], x))
+        return _masked(x, chosen, value, bounds, no)
+    return _by_row(df, keys, seed, {"_ids": ids, "_mask": mask}, {"masked_ids": IDS, "labels": IDS}, work)
 
 
 # M4 ------------------------------------------------------------------------

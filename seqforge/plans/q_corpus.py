@@ -34,6 +34,9 @@ _NGRAM_SQL = ('SELECT substr("window", i, 2) AS token FROM windows, '
               'UNION ALL SELECT substr("window", i, 3) AS token FROM windows, '
               'range(1, length("window") - 1) t(i)')
 
+_RAW_SQL = (f"SELECT substr(sequence, i, 2) AS token FROM seqs, range(1, length(sequence)) t(i) WHERE {_VALID} "
+            f"UNION ALL SELECT substr(sequence, i, 3) AS token FROM seqs, range(1, length(sequence) - 1) t(i) WHERE {_VALID}")
+
 _VOCAB_SQL = ("SELECT CAST(row_number() OVER (ORDER BY frequency DESC, token) - 1 AS INTEGER) AS idx, "
               "token, frequency FROM (SELECT token, count(*) AS frequency FROM grams GROUP BY token)")
 
@@ -68,13 +71,13 @@ def _windows(spark, d):
 
 
 def _vocab_z(spark, d):
-    return T.normalize_vocab(T.build_vocab(_windows(spark, d), "window"))
+    return T.normalize_vocab(T.build_vocab(valid_seqs(spark, d)))
 
 
 _ZVOCAB_SQL = ("SELECT token, CASE WHEN stddev_pop(frequency) OVER w > 0 THEN (frequency - avg(frequency) OVER w) "
                "/ stddev_pop(frequency) OVER w ELSE 0.0 END AS freq_z FROM vocab "
                "WINDOW w AS (PARTITION BY length(token))")
-_TOK_VIEWS = [("windows", _WIN_SQL), ("grams", _NGRAM_SQL), ("vocab", _VOCAB_SQL), ("zv", _ZVOCAB_SQL)]
+_TOK_VIEWS = [("windows", _WIN_SQL), ("grams", _RAW_SQL), ("vocab", _VOCAB_SQL), ("zv", _ZVOCAB_SQL)]
 
 _CHOICE_SQL = """SELECT doc_id, k, i, CASE
     WHEN i = n - 1 OR g2 IS NULL OR (CASE WHEN g3 IS NULL THEN z2 ELSE z2 + z3 END) = 0 THEN ch
@@ -108,11 +111,10 @@ def q_t3(spark, d):
     return g.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_grams"), F.count_distinct("gram").alias("n_distinct"))
 
 
-@register("t4_build_vocab", sql=V.with_views("seqs", extra=[("windows", _WIN_SQL), ("grams", _NGRAM_SQL)])
-          + _VOCAB_SQL)
+@register("t4_build_vocab", sql=V.with_views("seqs", extra=[("grams", _RAW_SQL)]) + _VOCAB_SQL)
 def q_t4(spark, d):
-    """T4: the full n-gram vocabulary with frequency ranks."""
-    return T.build_vocab(_windows(spark, d), "window")
+    """T4: the full n-gram vocabulary of the sequences with frequency ranks."""
+    return T.build_vocab(valid_seqs(spark, d))
 
 
 @register("t5_normalize_vocab", sql=V.with_views("seqs", extra=_TOK_VIEWS[:3]) + """
@@ -124,7 +126,7 @@ def q_t5(spark, d):
     return _vocab_z(spark, d).select("idx", "token", "frequency", F.round("freq_z", 6).alias("freq_z"))
 
 
-_FIXED = [("-" if False else c) for c in S.RESIDUES] + ["$", ".", "?", "|", "*"]
+_FIXED = [*S.RESIDUES, "$", ".", "?", "|", "*"]
 
 
 @register("t6_token_index", sql=V.with_views("seqs", extra=_TOK_VIEWS) + """
@@ -144,10 +146,13 @@ def q_t7(spark, d):
     return _windows(spark, d).select("doc_id", "k", S.space_join(T.tokenize_chars("window")).alias("tokens"))
 
 
-@register("t8_tokenize_fmfm", sql=(V.with_views("seqs", extra=_TOK_VIEWS + [
+_WALK_VIEWS = [
     ("ch", _CHOICE_SQL), ("hops", "SELECT doc_id, k, i, tok, length(tok) AS hop FROM ch"),
     ("walk", "SELECT doc_id, k, 0 AS i FROM windows UNION ALL SELECT w.doc_id, w.k, w.i + h.hop FROM walk w "
-             "JOIN hops h ON h.doc_id = w.doc_id AND h.k = w.k AND h.i = w.i")])
+             "JOIN hops h ON h.doc_id = w.doc_id AND h.k = w.k AND h.i = w.i")]
+
+
+@register("t8_tokenize_fmfm", sql=(V.with_views("seqs", extra=_TOK_VIEWS + _WALK_VIEWS)
     .replace("WITH ", "WITH RECURSIVE ", 1) + """
 SELECT h.doc_id, h.k, string_agg(h.tok, ' ' ORDER BY h.i) AS tokens
 FROM walk w JOIN hops h ON h.doc_id = w.doc_id AND h.k = w.k AND h.i = w.i GROUP BY h.doc_id, h.k"""))
@@ -165,7 +170,17 @@ def q_t9(spark, d):
     return t.select("doc_id", "k", S.space_join("tokens").alias("tokens"))
 
 
-@register("t10_tokenize_pair")
+# both sides as windows of their own: k * 2 is the window, k * 2 + 1 its reverse
+_PAIR_VIEWS = [("one", _WIN_SQL), *_TOK_VIEWS[1:], (
+    "windows", 'SELECT doc_id, k * 2 AS k, "window" FROM one UNION ALL SELECT doc_id, k * 2 + 1 AS k, reverse("window") FROM one')]
+
+
+@register("t10_tokenize_pair", sql=(V.with_views("seqs", extra=_PAIR_VIEWS + _WALK_VIEWS)
+    .replace("WITH ", "WITH RECURSIVE ", 1) + """
+SELECT doc_id, CAST(k // 2 AS INTEGER) AS k, string_agg(tokens, ' - ' ORDER BY k) AS tokens FROM (
+  SELECT h.doc_id, h.k, string_agg(h.tok, ' ' ORDER BY h.i) AS tokens
+  FROM walk w JOIN hops h ON h.doc_id = w.doc_id AND h.k = w.k AND h.i = w.i GROUP BY h.doc_id, h.k)
+GROUP BY doc_id, k // 2"""))
 def q_t10(spark, d):
     """Each window paired with its reverse (``w-reverse(w)``), both
     sides tokenized with a ``-`` token between."""

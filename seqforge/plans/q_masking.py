@@ -104,8 +104,7 @@ FROM mp""")
 
 
 def _m3(spark, d, mode):
-    m = M.mask_by_structure(_encoded(spark, d), "ids", "ssw", ["doc_id", "k"], seed=0)
-    m = m.join(_encoded(spark, d), ["doc_id", "k"])
+    m = M.mask_by_structure(_encoded(spark, d), "ids", "ssw", ["doc_id", "k"], seed=0, carry=True)
     c = M.corrupt(m, "ids", "mask", ["doc_id", "k"], seed=0, mode=mode)
     return c.select("doc_id", "k", F.array_join("masked_ids", ",").alias("masked_ids"),
                     F.array_join("labels", ",").alias("labels"))
@@ -130,6 +129,6 @@ FROM (SELECT mask_pos, unnest(string_split(ssw, '')[1:len(ids)]) AS tag,
              unnest(range(0, len(string_split(ssw, '')[1:len(ids)]))) AS i FROM mp) GROUP BY tag""")
 def q_m4(spark, d):
     """M4: per structure tag, positions, masked positions and rate."""
-    m = M.mask_by_structure(_encoded(spark, d), "ids", "ssw", ["doc_id", "k"], seed=0)
-    r = M.mask_report(m.join(_encoded(spark, d), ["doc_id", "k"]), "ssw", "mask")
+    m = M.mask_by_structure(_encoded(spark, d), "ids", "ssw", ["doc_id", "k"], seed=0, carry=True)
+    r = M.mask_report(m, "ssw", "mask")
     return r.withColumn("rate", F.round("rate", 6))
