@@ -147,3 +147,75 @@ def test_c_index_matches_brute_force(spark):
                     num += 1.0 if pi > pj else (0.5 if pi == pj else 0.0)
         assert got[grp][0] == pairs
         assert abs(got[grp][1] - (num / pairs if pairs else 0.0)) < 1e-12
+
+
+VOCAB = {"AC": 1.5, "CD": -1.5, "ACD": 1.5, "CDE": 2.0, "DE": 0.25, "EEE": -0.5}
+
+
+def _choose(s, i, sizes):
+    if i == len(s) - 1:
+        return s[i]
+    best, total = None, 0.0
+    for n in sizes:
+        if i + n <= len(s):
+            z = VOCAB.get(s[i:i + n], 0.0)
+            total += z
+            if best is None or z > best[0]:
+                best = z, s[i:i + n]
+    return best[1] if best and total != 0 else s[i]
+
+
+def _walk(s, sizes):
+    out, i = [], 0
+    while i < len(s):
+        out.append(_choose(s, i, sizes))
+        i += len(out[-1])
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(2, 3), (2,), (3,)])
+def test_frequency_tokenizers_match_brute_force(spark, sizes):
+    texts = ["ACDEACD", "A", "", "CDE", "ACXDE", "AÄCD", "DEEEEACDE", "AC" * 40]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id int, s string")
+    vocab = spark.createDataFrame(list(VOCAB.items()), "token string, freq_z double")
+    got = {r.id: r.tokens for r in T.tokenize_fmfm(df, "s", ["id"], vocab, sizes).collect()}
+    over = {r.id: r.tokens for r in T.tokenize_fmfcm(df, "s", ["id"], vocab, sizes).collect()}
+    assert got == {**{i: _walk(t, sizes) for i, t in enumerate(texts)}, len(texts): None}
+    assert over == {**{i: [_choose(t, j, sizes) for j in range(len(t))] for i, t in enumerate(texts)}, len(texts): None}
+    pair = spark.createDataFrame([(1, "ACD-CDE"), (2, "-A")], "id int, s string")
+    both = {r.id: r.tokens for r in T.tokenize_pair(pair, "s", ["id"], vocab, sizes=sizes).collect()}
+    assert both == {1: _walk("ACD", sizes) + ["-"] + _walk("CDE", sizes), 2: ["-", "A"]}
+
+
+def test_tokenizers_reject_bad_input(spark):
+    vocab = spark.createDataFrame([("AÄ", 1.0)], "token string, freq_z double")
+    with pytest.raises(ValueError):
+        T.vocab_tables(vocab)
+    bad = spark.createDataFrame([(1, "AC-D-E")], "id int, s string")
+    good = spark.createDataFrame(list(VOCAB.items()), "token string, freq_z double")
+    with pytest.raises(Exception, match="expected one hyphen"):
+        T.tokenize_pair(bad, "s", ["id"], good).collect()
+
+
+def test_build_vocab_counts_every_gram(spark):
+    from collections import Counter
+    texts = ["ACDAC", "", "A", "ÄCDA", "ACD" * 30, None]
+    want = Counter(t[i:i + n] for t in texts if t for n in (1, 2, 4) for i in range(len(t) - n + 1))
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = {r.token: r.frequency for r in T.build_vocab(df, "s", (1, 2, 4)).collect()}
+    assert got == dict(want)
+
+
+def test_masking_of_null_empty_and_short_rows(spark):
+    rows = [(1, [24, 3, 4, 5, 23], "CCH"), (2, None, "CC"), (3, [], ""), (4, [24, 1], "CCCCCCCCCC"), (5, [24, 1, 23], None)]
+    df = spark.createDataFrame(rows, "id long, ids array<int>, ss string")
+    m = M.mask_by_structure(df, "ids", "ss", ["id"], rates={"C": 1.0}, carry=True)
+    got = {r.id: (r.mask, r.mask_pos) for r in m.collect()}
+    assert got[1] == ([False, True, True, False, False], [1, 2])
+    assert got[2] == got[5] == (None, None)
+    assert got[3] == ([], []) and got[4] == ([False, True], [1])
+    c = {r.id: (r.masked_ids, r.labels) for r in M.corrupt(m, "ids", "mask", ["id"]).collect()}
+    assert c[2] == c[5] == (None, None) and c[3] == ([], [])
+    assert c[1][1] == [-100, 3, 4, -100, -100] and c[4][1] == [-100, 1]
+    u = {r.id: r.labels for r in M.mask_uniform(df, "ids", ["id"], p=1.0).collect()}
+    assert u[1] == [-100, 3, 4, 5, -100] and u[2] is None and u[3] == []
