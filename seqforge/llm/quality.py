@@ -157,7 +157,10 @@ def quality_rules(docs: DataFrame, keep_text: bool = True, lang_col: str = "lang
     out = out.withColumn("word_distance", F.when((in_hist >= MIN_WORDS) & (F.col("ref_words") >= MIN_REFERENCE_WORDS), let(
         in_hist, lambda n: array_js_distance(F.transform("_hist", lambda x: x / n), F.col("shares")))))
     fits = F.coalesce(F.col("class_distance") <= MAX_CLASS_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & fits).select(*names, *ADDED)
+    # one expression: a conjunction would be taken apart by a filter on it, and its
+    # first part computed from the text below the join, once for each mention
+    kept = F.forall(F.array(~F.col("base_failed"), fits), lambda x: x)
+    return out.withColumn("kept", kept).select(*names, *ADDED)
 
 
 def digest(docs: DataFrame) -> DataFrame:
