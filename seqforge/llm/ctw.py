@@ -8,12 +8,11 @@ stopping there; a prediction mixes the estimates of all depths with these.
 
 Training counts grams (context and next byte) of all training texts in Spark:
 partial counts per task, summed in parts by the hash of the context's newest
-four bytes (so a part's share has no hot context), and each shorter length from
-the one above it.  The trained tree is sent to the scoring tasks: ``MAX_GRAMS``
-bounds its size by leaving contexts of fewer than a power of two occurrences to
-their parents (all counts still enter them).  What is kept of all lengths meets
-by its two newest bytes, so every subtree is weighted in one task; what lies
-above is 256 x 255 nodes at most.  Scoring is one pass over the texts.
+``NEAR`` bytes, so a part has whole subtrees and weights them by itself; every
+counted context takes part.  What lies above are the contexts of 0 to 2 bytes,
+256^2 x 255 nodes at most, which are sent to all tasks.  The trained tree grows
+with the input and stays in its parts: chunks of documents send their distinct
+grams to the parts, which answer the code length of each.
 
 The unigram base needs the count of every token: chunks of documents send
 their distinct tokens to one task per hash range, which answers the counts.
@@ -22,7 +21,6 @@ their distinct tokens to one task per hash range, which answers the counts.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +31,17 @@ from pyspark.sql import types as T
 from seqforge.llm import common as C
 
 DEPTH = 6
-MAX_GRAMS = 1 << 19
+#: A part of the tree has all contexts that share so many newest bytes.
+NEAR = 3
 END = 0xFF  # in no UTF-8 text: it ends a text and fills the context before it
 #: Distinct grams that a task holds before it sends them.
 HELD = 3 << 20
-PIECE = 1 << 17
 #: Bytes of text whose grams or words a task makes at once.
 BLOCK = 1 << 20
 BYTE = C.U64(8)
 LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
+#: lgamma(n + 0.5) and lgamma(n + 1) of small counts.
+SMALL = [LGAMMA(np.arange(1 << 12) + x).astype(float) for x in (0.5, 1.0)]
 FOLDED = C.BYTE_CODES[C.LOWER]
 END_TOKEN = C.mix(np.array([END], np.uint64))[0]
 ADDED = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
@@ -87,11 +87,6 @@ def gram_blocks(batches, text_col: str):
         row += b.num_rows
 
 
-def gram_of(keys: np.ndarray, depth: int) -> np.ndarray:
-    """The grams with their contexts cut to ``depth`` bytes."""
-    return ((keys >> C.U64(8 * (DEPTH - depth + 1))) << BYTE) | (keys & C.U64(255))
-
-
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     k = keys[order]
@@ -99,25 +94,22 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return k[head], np.add.reduceat(counts[order], head) if len(head) else counts[:0]
 
 
-def packed(keys: np.ndarray, counts: np.ndarray, near: np.ndarray, parts: int, depth: int) -> pa.RecordBatch:
-    """Grams in ascending order, one row per part by the hash of ``near``."""
-    part = (C.mix(near) % C.U64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
+def by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, cut): ascending grams in the order of their parts, and its bounds."""
+    part = (C.mix(keys >> C.U64(8 * (DEPTH + 1 - NEAR))) % C.U64(parts)).astype(np.int64)
+    return np.argsort(part, kind="stable"), np.append(0, np.cumsum(np.bincount(part, minlength=parts)))
+
+
+def packed(keys: np.ndarray, counts: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Ascending grams, one row per part."""
+    order, cut = by_part(keys, parts)
     full = np.flatnonzero(np.diff(cut))
     return pa.RecordBatch.from_pydict({
-        "part": pa.array(full, pa.int32()), "depth": pa.array(np.full(len(full), depth), pa.int32()),
+        "part": pa.array(full, pa.int32()),
         "keys": pa.array([C.pack_sorted(keys[order[cut[i]:cut[i + 1]]]) for i in full], pa.binary()),
         "counts": pa.array([counts[order[cut[i]:cut[i + 1]]].tobytes() for i in full], pa.binary())})
 
 
-GRAMS = "part int, depth int, keys binary, counts binary"
-
-
-def by_newest(keys: np.ndarray, counts: np.ndarray, parts: int, depth: int) -> pa.RecordBatch:
-    return packed(keys, counts, keys >> C.U64(8 * (1 + max(depth - 4, 0))), parts, depth)
-
-
 def _count(text_col: str, parts: int):
     def run(batches):
         held: list = []
@@ -126,82 +118,61 @@ def _count(text_col: str, parts: int):
             if sum(len(k) for k, _ in held) > HELD:
                 held[:] = [summed(*map(np.concatenate, zip(*held)))]
                 if len(held[0][0]) > HELD // 2:
-                    yield by_newest(*held.pop(), parts, DEPTH)
+                    yield packed(*held.pop(), parts)
         if held:
-            yield by_newest(*summed(*map(np.concatenate, zip(*held))), parts, DEPTH)
+            yield packed(*summed(*map(np.concatenate, zip(*held))), parts)
         C.release()
     return run
 
 
-def _shorter(depth: int, parts: int):
-    """Grams of ``depth`` bytes of context from those of one byte more."""
-    def run(batches):
-        for b in batches:
-            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                yield by_newest(*summed(parent_of(C.unpack_sorted(keys)), np.frombuffer(counts, np.int64)), parts, depth)
+def _total(few: int):
+    """The grams of a part with their counts, and what its subtrees give to the
+    contexts of two bytes, by the hash of these."""
+    def run(key, t):
+        C.release()
+        k, c = summed(np.concatenate([C.unpack_sorted(x) for x in t.column("keys").to_pylist()]),
+                      np.concatenate([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()]))
+        grams = chain(k, c)
+        node, zeros, ones, below = (np.concatenate(x) for x in zip(*(subtree(grams, bit)[1] for bit in range(8))))
+        _, at, n = np.unique(k >> BYTE, return_inverse=True, return_counts=True)
+        sizes = np.bincount(np.log2(np.bincount(at, c)).astype(np.int64), n, minlength=64).astype(np.int64)
+        slot = (C.mix(node >> BYTE) % C.U64(few)).astype(np.int64)
+        up = [{"slot": int(i), **{n: x[slot == i].tobytes() for n, x in zip(SUMS, (node, zeros, ones, below))}} for i in np.unique(slot)]
+        return pa.Table.from_pylist([{"part": key[0].as_py(), "keys": C.pack_sorted(k), "counts": c.tobytes(), "sizes": sizes.tolist(), "up": up}],
+                                    schema=PART)
     return run
 
 
-def _total(key, t):
-    C.release()
-    k, c = summed(np.concatenate([C.unpack_sorted(x) for x in t.column("keys").to_pylist()]),
-                  np.concatenate([np.frombuffer(x, np.int64) for x in t.column("counts").to_pylist()]))
-    _, at, n = np.unique(k >> BYTE, return_inverse=True, return_counts=True)
-    sizes = np.bincount(np.log2(np.bincount(at, c)).astype(np.int64), n, minlength=64).astype(np.int64)
-    return pa.table({"part": [key[0].as_py()], "keys": [C.pack_sorted(k)], "counts": [c.tobytes()], "sizes": [sizes.tolist()]},
-                    schema=pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.list_(pa.int64()))]))
-
-
-def _keep(depth: int, least: int, parts: int):
-    """The grams of contexts of ``least`` occurrences and more (all of depth
-    2), by their two newest bytes."""
-    def run(batches):
-        for b in batches:
-            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-                k, c = C.unpack_sorted(keys), np.frombuffer(counts, np.int64)
-                if depth > 2:
-                    _, at = np.unique(k >> BYTE, return_inverse=True)
-                    many = np.bincount(at, c)[at] >= least
-                    k, c = k[many], c[many]
-                yield packed(k, c, k >> C.U64(8 * (depth - 1)), parts, depth)
-    return run
+SUMS = ("node", "zeros", "ones", "below")
+UP = pa.struct([("slot", pa.int32()), *[(n, pa.binary()) for n in SUMS]])
+PART = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("sizes", pa.list_(pa.int64())), ("up", pa.list_(UP))])
 
 
-def _gather(key, t):
-    """All kept grams of a subtree: one list of keys and counts per depth, deepest first."""
-    rows = {"part": [key[0].as_py()], "keys": [[]], "counts": [[]]}
-    for depth in range(DEPTH, 1, -1):
-        own = t.filter(pa.compute.equal(t.column("depth"), depth))
-        k, c = summed(np.concatenate([C.unpack_sorted(x) for x in own.column("keys").to_pylist()] or [np.zeros(0, C.U64)]),
-                      np.concatenate([np.frombuffer(x, np.int64) for x in own.column("counts").to_pylist()] or [np.zeros(0, np.int64)]))
-        rows["keys"][0].append(C.pack_sorted(k))
-        rows["counts"][0].append(c.tobytes())
-    return pa.table(rows, schema=pa.schema([("part", pa.int32()), ("keys", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary()))]))
+def added_up(lists: dict) -> list:
+    """Sums by node of the parts' lists."""
+    node = np.concatenate([np.frombuffer(x, C.U64) for x in lists["node"]] or [np.zeros(0, C.U64)])
+    node, at = np.unique(node, return_inverse=True)
+    return [node, *(np.bincount(at, np.concatenate([np.frombuffer(x) for x in lists[n]] or [np.zeros(0)]), len(node)) for n in SUMS[1:])]
 
 
-def _subtrees(batches):
-    for b in batches:
-        for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
-            yield [(C.unpack_sorted(k), np.frombuffer(c, np.int64)) for k, c in zip(keys, counts)]
+def _add_up(key, t):
+    sums = added_up({n: t.column(n).to_pylist() for n in SUMS})
+    return pa.table({n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(SUMS, sums)})
 
 
 # ---------------------------------------------------------------- tree
 
-def level(keys: np.ndarray, counts: np.ndarray):
-    """(node keys, zeros, ones) of the grams' contexts; a node key is the
-    context above the decision's place in the byte (1 to 255)."""
-    ctx = keys >> BYTE
-    byte = keys & C.U64(255)
-    node = np.concatenate([(ctx << BYTE) | C.U64(1 << k) | (byte >> C.U64(8 - k)) for k in range(8)])
-    bit = np.concatenate([(byte >> C.U64(7 - k)) & C.U64(1) for k in range(8)]).astype(bool)
-    uniq, at = np.unique(node, return_inverse=True)
-    many = np.tile(counts, 8).astype(float)
-    return uniq, np.bincount(at, many * ~bit, minlength=len(uniq)), np.bincount(at, many * bit, minlength=len(uniq))
+def log_gamma(counts: np.ndarray, half: bool) -> np.ndarray:
+    """lgamma of whole counts + 0.5 (half) or + 1."""
+    table = SMALL[not half]
+    out = table[np.minimum(counts, len(table) - 1).astype(np.int64)]
+    big = np.flatnonzero(counts >= len(table))
+    out[big] = LGAMMA(counts[big] + (0.5 if half else 1.0)).astype(float)
+    return out
 
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    g = lambda x: LGAMMA(x).astype(float)
-    return g(zeros + 0.5) + g(ones + 0.5) - g(zeros + ones + 1) - math.log(math.pi)
+    return log_gamma(zeros, True) + log_gamma(ones, True) - log_gamma(zeros + ones, False) - math.log(math.pi)
 
 
 def parent_of(node: np.ndarray) -> np.ndarray:
@@ -215,214 +186,235 @@ def weigh(zeros, ones, below):
     return all_, np.exp(own - all_)
 
 
-def subtree(grams: list):
-    """Nodes of depth DEPTH to 2, deepest first: (depth, node, one's estimate,
-    stop weight); and what depth 1 needs: (node, zeros, ones, children's sum)."""
+def chain(keys: np.ndarray, counts: np.ndarray) -> list:
+    """(grams, counts, place of each gram of one byte more) of DEPTH to 2 bytes of context."""
+    out = [(keys, counts, None)]
+    for _ in range(DEPTH, 2, -1):
+        up = parent_of(keys)
+        order = np.argsort(up, kind="stable")
+        keys = up[order]
+        new = np.append(True, keys[1:] != keys[:-1])
+        at = np.empty(len(order), np.int64)
+        at[order] = np.cumsum(new) - 1
+        keys, counts = keys[new], np.add.reduceat(counts[order], np.flatnonzero(new))
+        out.append((keys, counts, at))
+    return out
+
+
+def subtree(grams: list, k: int):
+    """Nodes of the decision ``k`` of a byte: for depth DEPTH to 3, deepest
+    first, (node, one's estimate, stop weight, place of the parent, first gram,
+    node of each gram); and what depth 2 needs: (node, zeros, ones, children's
+    sum).  A node is the context above the decision's place in the byte."""
+    flat = []
+    for keys, counts, _ in grams:
+        byte = keys & C.U64(255)
+        node = (keys ^ byte) | C.U64(1 << k) | (byte >> C.U64(8 - k))
+        new = np.append(True, node[1:] != node[:-1])
+        head = np.flatnonzero(new)
+        ones = np.add.reduceat(np.where((byte >> C.U64(7 - k)) & C.U64(1), counts, 0), head)
+        flat.append((node[head], np.add.reduceat(counts, head) - ones, ones, head, np.cumsum(new) - 1))
     out, below = [], None
-    for depth, (keys, counts) in zip(range(DEPTH, 1, -1), grams):
-        node, zeros, ones = level(keys, counts)
-        total = np.zeros(len(node))
-        child = np.zeros(len(node), bool)
-        if below is not None:
-            at = np.searchsorted(node, parent_of(below[0]))
-            np.add.at(total, at, below[1])
-            child[at] = True
-        own = log_kt(zeros, ones)
-        weighted, stop = weigh(zeros, ones, total)
-        # a context without children in the tree is a leaf
-        weighted, stop = np.where(child, weighted, own), np.where(child, stop, 1.0)
-        out.append((depth, node, ((ones + 0.5) / (zeros + ones + 1)).astype(np.float32), stop.astype(np.float32)))
-        below = node, weighted
-    up, at = np.unique(parent_of(below[0]), return_inverse=True)
-    return out, (up, np.bincount(at, zeros, len(up)), np.bincount(at, ones, len(up)), np.bincount(at, below[1], len(up)))
-
-
-def _upper(batches):
-    for grams in _subtrees(batches):
-        yield pa.RecordBatch.from_pydict({k: [x.tobytes()] for k, x in zip(("node", "zeros", "ones", "below"), subtree(grams)[1])})
+    for i, (node, zeros, ones, head, at) in enumerate(flat[:-1]):
+        weighted, stop = (log_kt(zeros, ones), np.ones(len(node))) if below is None else weigh(zeros, ones, below)
+        parent = flat[i + 1][4][grams[i + 1][2][head]]
+        below = np.bincount(parent, weighted, len(flat[i + 1][0]))
+        out.append((node, (ones + 0.5) / (zeros + ones + 1), stop, parent, head, at))
+    node, zeros, ones, *_ = flat[-1]
+    return out, (node, zeros.astype(float), ones.astype(float), below)
+
+
+def upper_of(sums: list) -> dict:
+    """Depths 0 to 2 from the sums of depth 2: their levels, and for each node
+    of depth 2 what the depths so far mix (the probability of a one) and the
+    weight that they leave."""
+    node, z, o, s = sums
+    levels = {}
+    for depth in (2, 1, 0):
+        weighted, stop = weigh(z, o, s)
+        place = np.log2(np.maximum(node & C.U64(255), C.U64(1)).astype(float)).astype(int)
+        levels[depth] = [tuple(x[place == k] for x in (node, (o + 0.5) / (z + o + 1), stop)) for k in range(8)]
+        node, at = np.unique(parent_of(node), return_inverse=True)
+        z, o, s = (np.bincount(at, x, len(node)) for x in (z, o, weighted))
+    state = []
+    for k in range(8):
+        two = levels[2][k][0]
+        mixed, left = np.zeros(len(two)), np.ones(len(two))
+        for depth in range(3):
+            table, one, stop = levels[depth][k]
+            want = two
+            for _ in range(2 - depth):
+                want = parent_of(want)
+            at = np.searchsorted(table, want)
+            mixed, left = mixed + left * stop[at] * one[at], left * (1 - stop[at])
+        state.append((mixed, left))
+    return {"levels": levels, "state": state}
+
+
+def code_lengths(upper: dict, keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Code length in bits of the ``wanted`` ascending grams of a part, given
+    its trained grams.  The nodes of a trained gram are known by their place;
+    any other gram walks the tree."""
+    at = np.searchsorted(keys, wanted)
+    hit = np.zeros(len(wanted), bool)
+    inside = at < len(keys)
+    hit[inside] = keys[at[inside]] == wanted[inside]
+    at, other = at[hit], wanted[~hit]
+    bits, far = np.zeros(len(at)), np.zeros(len(other))
+    grams = chain(keys, counts) if len(keys) else None
+    for k in range(8):
+        tables = {d: x[k] for d, x in upper["levels"].items()}
+        if grams:
+            levels, (node, *_) = subtree(grams, k)
+            place = np.searchsorted(tables[2][0], node)
+            mixed, left = (x[place] for x in upper["state"][k])
+            for depth, (node, one, stop, parent, _, of_gram) in zip(range(3, DEPTH + 1), levels[::-1]):
+                tables[depth] = node, one, stop
+                mixed, left = mixed[parent] + left[parent] * stop * one, left[parent] * (1 - stop)
+            p = mixed[of_gram[at]]
+            bits -= np.log2(np.where((wanted[hit] >> C.U64(7 - k)) & C.U64(1), p, 1 - p))
+        far += walk(tables, other, k)
+    out = np.empty(len(wanted))
+    out[hit], out[~hit] = bits, far
+    return out
+
+
+def walk(tables: dict, keys: np.ndarray, k: int) -> np.ndarray:
+    """Code length in bits of the decision ``k`` of each gram's byte."""
+    byte = keys & C.U64(255)
+    node = C.U64(1 << k) | (byte >> C.U64(8 - k))
+    one, left, mixed = np.full(len(keys), 0.5), np.ones(len(keys)), np.zeros(len(keys))
+    live = np.arange(len(keys))
+    for depth in range(DEPTH + 1):
+        table, estimate, stop = tables.get(depth, (np.zeros(0, C.U64),) * 3)
+        want = ((keys[live] >> C.U64(8 * (DEPTH - depth + 1))) << BYTE) | node[live]
+        at = np.minimum(np.searchsorted(table, want), max(len(table) - 1, 0))
+        here = table[at] == want if len(table) else np.zeros(len(live), bool)
+        # a context that training did not see adds nothing: its parent's estimate stands for it
+        gone = live[~here]
+        mixed[gone] += left[gone] * one[gone]
+        live, at = live[here], at[here]
+        one[live] = estimate[at]
+        w = stop[at] if depth < DEPTH else 1.0
+        mixed[live] += left[live] * w * one[live]
+        left[live] *= 1 - w
+    return -np.log2(np.where((byte >> C.U64(7 - k)) & C.U64(1), mixed, 1 - mixed))
 
 
 class Tree:
-    """Levels 0 to DEPTH: sorted node keys, estimates of a one, stop weights."""
+    """Levels 0 to DEPTH, each with the sorted nodes, estimates of a one and
+    stop weights of the eight decisions."""
 
     def __init__(self, levels: dict):
         self.levels = levels
 
-    def bits(self, keys: np.ndarray, top: int = DEPTH) -> np.ndarray:
-        """Code length in bits of the last byte of each gram, from contexts of
-        ``top`` bytes at most."""
-        byte = keys & C.U64(255)
-        total = np.zeros(len(keys))
-        for k in range(8):
-            node = C.U64(1 << k) | (byte >> C.U64(8 - k))
-            one = np.full(len(keys), 0.5)
-            left = np.ones(len(keys))
-            mixed = np.zeros(len(keys))
-            live = np.ones(len(keys), bool)
-            for depth in range(top + 1):
-                table, estimate, stop = self.levels[depth]
-                want = ((keys >> C.U64(8 * (DEPTH - depth + 1))) << BYTE) | node
-                at = np.minimum(np.searchsorted(table, want), max(len(table) - 1, 0))
-                here = live & (table[at] == want) if len(table) else np.zeros(len(keys), bool)
-                # a context that training did not see adds nothing: its parent's estimate stands for it
-                gone = live & ~here
-                mixed[gone] += left[gone] * one[gone]
-                live = here
-                one[here] = estimate[at[here]]
-                w = np.where(here, stop[at], 1.0) if len(table) else np.ones(len(keys))
-                if depth == top:
-                    w = np.ones(len(keys))
-                mixed[here] += left[here] * w[here] * one[here]
-                left[here] *= 1 - w[here]
-            bit = (byte >> C.U64(7 - k)) & C.U64(1)
-            total -= np.log2(np.where(bit == 1, mixed, 1 - mixed))
-        return total
-
-
-def _grams(upper):
+    def bits(self, keys: np.ndarray) -> np.ndarray:
+        """Code length in bits of the last byte of each gram."""
+        return sum((walk({d: x[k] for d, x in self.levels.items()}, keys, k) for k in range(8)), np.zeros(len(keys)))
+
+
+class Scorer:
+    """Code lengths of any grams, each different one walked once."""
+
+    def __init__(self, model: dict):
+        self.tree = Tree(model["levels"])
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        uniq, at = np.unique(keys, return_inverse=True)
+        return self.tree.bits(uniq)[at]
+
+
+def grow(docs: DataFrame, text_col: str, parts: int) -> tuple[DataFrame, dict]:
+    """(trained grams by part, depths 0 to 2) of all texts of ``docs``."""
+    counts = docs.select(text_col).mapInArrow(_count(text_col, parts), "part int, keys binary, counts binary")
+    grams = C.stored(counts.groupBy("part").applyInArrow(_total(C.partitions_of(docs.sparkSession)),
+        "part int, keys binary, counts binary, sizes array<long>, up array<struct<slot:int,node:binary,zeros:binary,ones:binary,below:binary>>"), "grams")
+    up = grams.select(F.explode("up").alias("up")).select("up.*").groupBy("slot").applyInArrow(
+        _add_up, "node binary, zeros binary, ones binary, below binary").collect()
+    return grams, upper_of(added_up({n: [r[n] for r in up] for n in SUMS}))
+
+
+def _levels(least: int):
+    """The nodes of a part whose contexts have ``least`` occurrences and more."""
     def run(batches):
-        for grams in _subtrees(batches):
-            levels = subtree(grams)[0]
-            tree = Tree({**upper.value, **{d: x for d, *x in levels}})
-            for (depth, *x), (g, _) in zip(levels, grams):
-                bits = tree.bits(((g >> BYTE) << C.U64(8 * (DEPTH - depth + 1))) | (g & C.U64(255)), depth).astype(np.float32)
-                yield pa.RecordBatch.from_pydict({"depth": pa.array([depth, -depth], pa.int32()), "node": [x[0].tobytes(), g.tobytes()],
-                                                  "one": [x[1].tobytes(), bits.tobytes()], "stop": [x[2].tobytes(), b""]})
+        for b in batches:
+            for keys, counts in zip(b.column("keys").to_pylist(), b.column("counts").to_pylist()):
+                grams = chain(C.unpack_sorted(keys), np.frombuffer(counts, np.int64))
+                for k in range(8):
+                    for depth, (node, one, stop, _, head, _), (g, c, _) in zip(range(DEPTH, 2, -1), subtree(grams, k)[0], grams):
+                        _, at = np.unique(g >> BYTE, return_inverse=True)
+                        many = (np.bincount(at, c)[at] >= least)[head]
+                        yield pa.RecordBatch.from_pydict({"depth": pa.array([depth], pa.int32()), "k": pa.array([k], pa.int32()),
+                            **{n: [x[many].tobytes()] for n, x in (("node", node), ("one", one), ("stop", stop))}})
     return run
 
 
-def train(docs: DataFrame, text_col: str = "text", max_grams: int = MAX_GRAMS) -> dict:
-    """The weighted tree of all texts of ``docs``: levels, and the code length
-    of every gram it has."""
-    spark = docs.sparkSession
-    parts, few = C.n_chunks(docs, text_col)[0], C.partitions_of(spark)
-    counts = docs.select(text_col).mapInArrow(_count(text_col, parts), GRAMS)
-    grams = {}
-    for depth in range(DEPTH, 1, -1):
-        if depth < DEPTH:
-            counts = grams[depth + 1].select("keys", "counts").mapInArrow(_shorter(depth, parts), GRAMS)
-        grams[depth] = C.stored(counts.groupBy("part").applyInArrow(_total, "part int, keys binary, counts binary, sizes array<long>"), "grams")
-    sizes = grams[DEPTH].select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
+def train(docs: DataFrame, text_col: str = "text", max_grams: int = 1 << 19) -> dict:
+    """A tree of all texts of ``docs`` that fits one task, for a look at it:
+    contexts of fewer than a power of two occurrences are left out until
+    ``max_grams`` of DEPTH bytes are left.  All counted contexts weigh in
+    first, so the weights do not depend on what is left out.  ``score`` leaves
+    nothing out and does not use it."""
+    grams, upper = grow(docs, text_col, C.n_chunks(docs, text_col)[0])
+    sizes = grams.select(F.posexplode("sizes").alias("level", "n")).groupBy("level").agg(F.sum("n").alias("n")).collect()
     least, held = 1, 0
     for r in sorted(sizes, key=lambda r: -r["level"]):
         held += r["n"]
         if held > max_grams:
             least = 1 << (r["level"] + 1)
             break
-    kept = None
-    for depth, df in grams.items():
-        df = df.select("keys", "counts").mapInArrow(_keep(depth, least, few), GRAMS)
-        kept = df if kept is None else kept.unionByName(df)
-    kept = C.stored(kept.groupBy("part").applyInArrow(_gather, "part int, keys array<binary>, counts array<binary>"), "subtrees")
-    rows = kept.select("keys", "counts").mapInArrow(_upper, "node binary, zeros binary, ones binary, below binary").collect()
-    node = np.concatenate([np.frombuffer(r["node"], C.U64) for r in rows] or [np.zeros(0, C.U64)])
-    node, at = np.unique(node, return_inverse=True)
-    z, o, s = (np.bincount(at, np.concatenate([np.frombuffer(r[k]) for r in rows] or [np.zeros(0)]), len(node)) for k in ("zeros", "ones", "below"))
-    upper = {}
-    for depth in (1, 0):
-        weighted, stop = weigh(z, o, s)
-        upper[depth] = node, ((o + 0.5) / (z + o + 1)).astype(np.float32), stop.astype(np.float32)
-        node, at = np.unique(parent_of(node), return_inverse=True)
-        z, o, s = (np.bincount(at, x, len(node)) for x in (z, o, weighted))
-    sent = spark.sparkContext.broadcast(upper)
-    rows = kept.select("keys", "counts").mapInArrow(_grams(sent), "depth int, node binary, one binary, stop binary").collect()
-    model = {"name": uuid.uuid4().hex, "levels": dict(upper), "grams": {}}
-    for depth in range(DEPTH, 1, -1):
-        for kind in (depth, -depth):
-            own = [r for r in rows if r["depth"] == kind]
-            node, one, stop = (np.concatenate([np.frombuffer(r[k], t) for r in own] or [np.zeros(0, t)]) for k, t in (("node", C.U64), ("one", np.float32), ("stop", np.float32)))
+    rows = grams.select("keys", "counts").mapInArrow(_levels(least), "depth int, k int, node binary, one binary, stop binary").collect()
+    levels = dict(upper["levels"])
+    for depth in range(3, DEPTH + 1):
+        levels[depth] = []
+        for k in range(8):
+            own = [r for r in rows if (r["depth"], r["k"]) == (depth, k)]
+            node, one, stop = (np.concatenate([np.frombuffer(r[n], t) for r in own] or [np.zeros(0, t)]) for n, t in (("node", C.U64), ("one", float), ("stop", float)))
             order = np.argsort(node)
-            if kind > 0:
-                model["levels"][depth] = node[order], one[order], stop[order]
-            else:
-                model["grams"][depth] = node[order], one[order]
-    return model
-
-
-class Lookup:
-    """Open-addressing hash table from 64-bit keys to floats (or a set)."""
-
-    EMPTY = ~C.U64(0)
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray | None):
-        size = 1 << max(4, (len(keys) + len(keys) // 2).bit_length())
-        self.shift, self.mask = C.U64(65 - size.bit_length()), size - 1
-        self.keys = np.full(size, self.EMPTY)
-        self.values = np.zeros(size if values is not None else 0, np.float32)
-        live, at = np.arange(len(keys)), self.slot(keys)
-        while len(live):
-            free = self.keys[at] == self.EMPTY
-            self.keys[at[free]] = keys[live[free]]
-            done = self.keys[at] == keys[live]
-            if values is not None:
-                self.values[at[done]] = values[live[done]]
-            live, at = live[~done], (at[~done] + 1) & self.mask
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * C.U64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(values, found)"""
-        at = self.slot(keys)
-        here = self.keys[at]
-        hit = here == keys
-        out = self.values[at] if len(self.values) else np.zeros(len(keys), np.float32)
-        live = np.flatnonzero(~hit & (here != self.EMPTY))
-        at = at[live]
-        while len(live):
-            at = (at + 1) & self.mask
-            here = self.keys[at]
-            got = here == keys[live]
-            if len(self.values):
-                out[live[got]] = self.values[at[got]]
-            hit[live[got]] = True
-            go = ~got & (here != self.EMPTY)
-            live, at = live[go], at[go]
-        return out, hit
+            levels[depth].append((node[order], one[order], stop[order]))
+    return {"levels": levels}
 
 
-class Scorer:
-    """Code lengths of grams.  A gram that the tree has is looked up; one whose
-    context it does not have is looked up with a shorter context; only a byte
-    that a known context never had before it walks the tree."""
+# ---------------------------------------------------------------- code lengths of a chunk's grams
 
-    def __init__(self, model: dict):
-        self.tree = Tree(model["levels"])
-        self.grams = {d: Lookup(*x) for d, x in model["grams"].items()}
-        self.contexts = {d: Lookup(u, None) for d, (g, _) in model["grams"].items() if d > 2 for u in [np.unique(g >> BYTE)]}
+def distinct(t, text_col: str) -> np.ndarray:
+    """The different grams of the texts, ascending."""
+    held: list = [np.zeros(0, C.U64)]
+    for _, keys, _ in gram_blocks([t], text_col):
+        held.append(np.unique(keys))
+        if sum(map(len, held[1:])) > HELD:
+            held[:] = [np.unique(np.concatenate(held))]
+    return np.unique(np.concatenate(held))
 
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """In pieces that stay in the processor's cache."""
-        return np.concatenate([self.piece(keys[i:i + PIECE]) for i in range(0, len(keys), PIECE)] or [np.zeros(0)])
-
-    def piece(self, keys: np.ndarray) -> np.ndarray:
-        out, walk = np.zeros(len(keys)), []
-        live = np.arange(len(keys))
-        for depth in range(DEPTH, 1, -1):
-            g = gram_of(keys[live], depth)
-            bits, hit = self.grams[depth].find(g)
-            out[live[hit]] = bits[hit]
-            live, g = live[~hit], g[~hit]
-            if depth > 2:
-                known = self.contexts[depth].find(g >> BYTE)[1]
-                walk.append(live[known])
-                live = live[~known]
-        walk = np.concatenate([*walk, live])
-        if len(walk):
-            uniq, at = np.unique(keys[walk], return_inverse=True)
-            out[walk] = self.tree.bits(uniq)[at]
-        return out
-
-
-MADE: dict = {}
-
-
-def scorer_of(model: dict) -> Scorer:
-    """The worker's scorer: made once and kept for the tasks that follow."""
-    if model["name"] not in MADE:
-        MADE.clear()
-        MADE[model["name"]] = Scorer(model)
-    return MADE[model["name"]]
+
+def _ask(parts: int, text_col: str):
+    def run(key, t):
+        C.release()
+        keys = distinct(t, text_col)
+        order, cut = by_part(keys, parts)
+        full = np.flatnonzero(np.diff(cut))
+        return pa.table({"part": pa.array(full, pa.int32()), "_chunk": pa.array([key[0].as_py()] * len(full), pa.int32()),
+                         "keys": pa.array([C.pack_sorted(keys[order[cut[i]:cut[i + 1]]]) for i in full], pa.binary())})
+    return run
+
+
+def _tell(upper):
+    def run(key, asked, own):
+        C.release()
+        if not asked.num_rows:
+            return TOLD.empty_table()
+        lists = [C.unpack_sorted(x) for x in asked.column("keys").to_pylist()]
+        cut = np.cumsum([0, *map(len, lists)])
+        uniq, at = np.unique(np.concatenate(lists), return_inverse=True)
+        keys = np.concatenate([C.unpack_sorted(x) for x in own.column("keys").to_pylist()] or [np.zeros(0, C.U64)])
+        counts = np.concatenate([np.frombuffer(x, np.int64) for x in own.column("counts").to_pylist()] or [np.zeros(0, np.int64)])
+        bits = code_lengths(upper.value, keys, counts, uniq).astype(np.float32)[at]
+        return pa.table({"_chunk": asked.column("_chunk").cast(pa.int32()), "part": asked.column("part").cast(pa.int32()), "bits": pa.array(
+            [np.ascontiguousarray(bits[a:b].view(np.uint8).reshape(-1, 4).T).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())}, schema=TOLD)
+    return run
+
+
+TOLD = pa.schema([("_chunk", pa.int32()), ("part", pa.int32()), ("bits", pa.binary())])
 
 
 # ---------------------------------------------------------------- unigram base and scores
@@ -466,24 +458,31 @@ def _answer(key, t):
                      "distinct": total[0], "tokens": total[1]})
 
 
-def _score(model, ranges, distinct, tokens, text_col, schema):
+def _score(parts, ranges, distinct_tokens, tokens, text_col, schema):
     def run(key, t, answers):
         C.release()
-        scorer = scorer_of(model.value)
         codes, first = _tokens(t, text_col)
         uniq, at = np.unique(codes, return_inverse=True)
         cut = C.hash_ranges(uniq, ranges)
         n = np.zeros(len(uniq), np.int64)
-        for r, x in zip(answers.column("_range").to_pylist(), answers.column("counts").to_pylist()):
+        tokens_of = answers.filter(answers.column("bits").is_null())
+        for r, x in zip(tokens_of.column("_range").to_pylist(), tokens_of.column("counts").to_pylist()):
             n[cut[r]:cut[r + 1]] = np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel()
         n_tokens = np.diff(first)
         new = {"n_tokens": n_tokens, "train_tokens": np.full(len(n_tokens), tokens)}
         new["n_known"] = np.add.reduceat((n[at] > 0).astype(np.int64), first[:-1]) if len(n_tokens) else n_tokens
-        new["base_score"] = (np.add.reduceat(np.log10(n[at] + 1.0), first[:-1]) if len(n_tokens) else np.zeros(0)) - n_tokens * math.log10(tokens + distinct + 1)
+        new["base_score"] = (np.add.reduceat(np.log10(n[at] + 1.0), first[:-1]) if len(n_tokens) else np.zeros(0)) - n_tokens * math.log10(tokens + distinct_tokens + 1)
         bits, size = np.zeros(len(n_tokens)), np.zeros(len(n_tokens), np.int64)
+        grams = distinct(t, text_col)
+        order, cut = by_part(grams, parts)
+        lengths = np.zeros(len(grams), np.float32)
+        told = answers.filter(answers.column("bits").is_valid())
+        for r, x in zip(told.column("_range").to_pylist(), told.column("bits").to_pylist()):
+            lengths[order[cut[r]:cut[r + 1]]] = np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view(np.float32).ravel()
         for row, keys, begin in gram_blocks([t], text_col):
             own = slice(row, row + len(begin) - 1)
-            bits[own] += np.add.reduceat(scorer(keys), begin[:-1])
+            uniq, at = np.unique(keys, return_inverse=True)
+            bits[own] += np.add.reduceat(lengths[np.searchsorted(grams, uniq)].astype(float)[at], begin[:-1])
             size[own] += np.diff(begin)
         new["score"] = -bits * math.log10(2)
         new["bits_per_byte"] = bits / size
@@ -511,16 +510,21 @@ def score(docs: DataFrame, held, id_col: str = "doc_id", text_col: str = "text")
     from pyspark.sql.pandas.types import to_arrow_schema
     spark = docs.sparkSession
     docs = C.without(docs, [*ADDED, "_held"]).withColumn("_held", held)
-    model = spark.sparkContext.broadcast(train(docs.filter(~F.col("_held")), text_col))
     dealt, ranges, _ = C.with_chunk(docs, id_col, text_col)
+    grams, upper = grow(docs.filter(~F.col("_held")), text_col, ranges)
+    asked = dealt.groupBy("_chunk").applyInArrow(_ask(ranges, text_col), "part int, _chunk int, keys binary")
+    told = asked.groupBy("part").cogroup(grams.select("part", "keys", "counts").groupBy("part")).applyInArrow(
+        _tell(spark.sparkContext.broadcast(upper)), "_chunk int, part int, bits binary")
     offers = dealt.groupBy("_chunk").applyInArrow(_offer(ranges, text_col), "_range int, _chunk int, codes binary, counts binary")
     answers = C.stored(offers.groupBy("_range").applyInArrow(
         _answer, "_chunk int, _range int, counts binary, distinct long, tokens long"), "token-counts")
     distinct, tokens = answers.agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     out = T.StructType([*[f for f in docs.schema.fields if f.name not in (text_col, "_held")],
                         *[T.StructField(c, T.LongType()) for c in ADDED[:3]], *[T.StructField(c, T.DoubleType()) for c in ADDED[3:]]])
-    return dealt.groupBy("_chunk").cogroup(answers.select("_chunk", "_range", "counts").groupBy("_chunk")).applyInArrow(
-        _score(model, ranges, distinct, tokens, text_col, to_arrow_schema(out)), out)
+    answers = answers.select("_chunk", "_range", "counts", F.lit(None).cast("binary").alias("bits")).unionByName(
+        told.select("_chunk", F.col("part").alias("_range"), F.lit(None).cast("binary").alias("counts"), "bits"))
+    return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(
+        _score(ranges, ranges, distinct, tokens, text_col, to_arrow_schema(out)), out)
 
 
 def digest(docs: DataFrame) -> DataFrame:
