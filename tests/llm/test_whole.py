@@ -67,6 +67,20 @@ def test_op4_scores_are_those_of_brute_force_context_tree_weighting(spark):
         assert r.score == pytest.approx(-brute_bits(tree, text) * math.log10(2), rel=1e-4)
 
 
+def test_op4_weights_do_not_depend_on_what_is_left_out(spark):
+    counts, stop = brute_tree(TEXTS)
+    model = ctw.train(spark.createDataFrame([(t,) for t in TEXTS], "text string"), max_grams=20)
+    whole = sum(len({c for c, _ in counts if len(c) == d}) for d in range(3, ctw.DEPTH + 1))
+    context = b"at"
+    nodes, _, weights = (np.concatenate(x) for x in zip(*model["levels"][2])) if isinstance(model["levels"][2], list) else model["levels"][2]
+    assert sum(len(np.unique((x[0][0] if isinstance(x, list) else x[0]) >> np.uint64(8))) for d, x in model["levels"].items() if d > 2) < whole
+    for (c, bits), w in stop.items():
+        if c == context:
+            node = (c[1] << 16) | (c[0] << 8) | int("1" + bits, 2)
+            at = np.flatnonzero(nodes == np.uint64(node))
+            assert weights[at[0]] == pytest.approx(w, abs=1e-5)
+
+
 def test_op4_keeps_every_context_of_a_larger_corpus(spark):
     """A text that training has seen keeps its code length when the corpus has
     over 2^19 other contexts, which share none of its letters."""
