@@ -33,6 +33,7 @@ RAW = set("script style iframe noembed noframes noscript xmp title textarea".spl
 UNSEEN = set("head script style template noscript noembed noframes iframe datalist title object audio video canvas svg math select".split())
 PARAGRAPH = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset form hr".split())
 BLOCK = PARAGRAPH | set("address article aside body center details dialog dd div dt figcaption footer header html li main menu nav section summary tr td th caption legend option".split())
+IN_HEAD = set("base basefont bgsound link meta title style script noscript noframes template head".split())
 CLOSES_P = (BLOCK - {"body", "html", "tr", "td", "th", "caption", "legend", "option"})
 #: What an opening tag ends, and where the search for it stops.
 ENDS = {
@@ -140,9 +141,16 @@ class Page:
                 return 0
         return 0
 
+    def leave_head(self) -> None:
+        """The implied end of a head that is the innermost element."""
+        if self.stack[-1].name == "head":
+            self.pop()
+
     def open(self, name: str, attrs: dict) -> None:
         if name in ("html", "body") and self.find({name}, ()):
             return
+        if name not in IN_HEAD:
+            self.leave_head()
         if name in CLOSES_P and (at := self.find({"p"}, SCOPE | {"li", "dd", "dt"} - {"p"})):
             self.close_to(at)
         if name in ENDS:
@@ -230,6 +238,8 @@ class Page:
             b.block(2 if e.name in PARAGRAPH and not (e.name in ("ul", "ol") and self.lists) else 1)
 
     def text(self, raw: str, plain: bool = False) -> None:
+        if raw.strip(" \t\n\f\r"):
+            self.leave_head()
         e = self.stack[-1]
         if not e.shown or e.closed:
             return

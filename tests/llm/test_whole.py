@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqforge.llm import ctw
+from seqforge.llm import ctw, html_text
 
 TEXTS = ["the cat sat on the mat", "the rat sat on the cat", "a hat", "", "that cat", "on and on and on the mat"] * 3 + ["the hat and the mat", "xyz"]
 
@@ -93,3 +93,11 @@ def test_op4_keeps_every_context_of_a_larger_corpus(spark):
         scored = ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(False))
         bits.append(scored.filter("doc_id = 0").first().bits_per_byte)
     assert bits[1] == pytest.approx(bits[0], rel=0.02)
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<html><head><title>t</title><body><p>text</p>", "text"), ("<head><meta charset=utf-8><title>t</title><p>a<p>b", "a\n\nb"),
+    ("<head><script>x</script>\n bare <b>words</b>", "bare words"), ("<head><style>p{}</style><link href=x></head><body>a", "a"),
+    ("<head><template><p>no</p></template><noscript><link></noscript><title>t</title><div>yes</div>", "yes")])
+def test_op8_ends_a_head_that_the_page_leaves_open(html, text):
+    assert html_text.extract(html)[0] == text
