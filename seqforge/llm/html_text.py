@@ -25,14 +25,21 @@ TAG = re.compile(
     r"""|<(?P<loose>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANK = re.compile(r"[ \t\n\f\r]+")
-NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([a-z]+)", re.I)
+VISIBLE = {"hidden": False, "collapse": False, "visible": True, "initial": True}
 
 # Element classes of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style iframe noembed noframes noscript xmp title textarea".split())
-UNSEEN = set("head script style template noscript noembed noframes iframe datalist title object audio video canvas svg math select".split())
+UNSEEN = set("head script style template noscript noembed noframes iframe datalist title object audio video canvas".split())
 PARAGRAPH = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset form hr".split())
 BLOCK = PARAGRAPH | set("address article aside body center details dialog dd div dt figcaption footer header html li main menu nav section summary tr td th caption legend option".split())
+#: What svg and math do not draw, what holds html inside them, and the tags that end them.
+UNDRAWN = set("defs symbol clippath mask marker pattern lineargradient radialgradient filter metadata desc annotation annotation-xml".split())
+HOLDS_HTML = set("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+BREAKS_OUT = set("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+                 "ruby s small span strong strike sub sup table tt u ul var".split())
 IN_HEAD = set("base basefont bgsound link meta title style script noscript noframes template head".split())
 CLOSES_P = (BLOCK - {"body", "html", "tr", "td", "th", "caption", "legend", "option"})
 #: What an opening tag ends, and where the search for it stops.
@@ -116,11 +123,13 @@ class Table:
 
 
 class Element:
-    __slots__ = ("name", "shown", "closed", "pre", "count", "buffer", "table", "span")
+    __slots__ = ("name", "shown", "closed", "pre", "count", "buffer", "table", "span", "visible", "foreign", "muted", "options", "chosen")
 
     def __init__(self, name, shown, closed, pre):
         self.name, self.shown, self.closed, self.pre = name, shown, closed, pre
         self.count, self.buffer, self.table, self.span = None, None, None, 1
+        #: Visibility, whether children are svg or math, svg outside its texts, and what a select chooses.
+        self.visible, self.foreign, self.muted, self.options, self.chosen = True, False, False, None, None
 
 
 class Page:
@@ -146,7 +155,17 @@ class Page:
         if self.stack[-1].name == "head":
             self.pop()
 
-    def open(self, name: str, attrs: dict) -> None:
+    def open(self, name: str, attrs: dict, ended: bool = False) -> None:
+        """``ended``: the tag has a trailing slash, which counts in svg and math only."""
+        if self.stack[-1].foreign and name in BREAKS_OUT:
+            while self.stack[-1].foreign:
+                self.pop()
+        if self.stack[-1].foreign or name in ("svg", "math"):
+            self.leave_head()
+            self.push(name, attrs)
+            if ended:
+                self.pop()
+            return
         if name in ("html", "body") and self.find({name}, ()):
             return
         if name not in IN_HEAD:
@@ -181,12 +200,33 @@ class Page:
     def push(self, name: str, attrs: dict) -> None:
         up = self.stack[-1]
         shown = up.shown and name not in UNSEEN and "hidden" not in attrs and not (up.closed and name != "summary")
-        shown = shown and not NOT_SHOWN.search(attrs.get("style") or "") and not (name == "dialog" and "open" not in attrs)
+        style = attrs.get("style") or ""
+        shown = shown and not NOT_SHOWN.search(style) and not (name == "dialog" and "open" not in attrs)
+        shown = shown and not (up.foreign and name in UNDRAWN)
         e = Element(name, shown, name == "details" and "open" not in attrs, up.pre or name == "pre")
+        # an invisible element keeps its place, and what it has inside may be visible
+        said = [VISIBLE[v] for v in map(str.lower, VISIBILITY.findall(style)) if v in VISIBLE] if "visibility" in style.lower() else ()
+        e.visible = said[-1] if said else up.visible
+        e.foreign = name in ("svg", "math") or up.foreign and name not in HOLDS_HTML
+        e.muted = name == "svg" or up.muted and name not in ("text", "foreignobject")
         self.stack.append(e)
         if not shown:
             return
         b = self.buffers[-1]
+        if up.foreign:
+            b.space = b.space or name == "text"
+            return
+        if name == "select":
+            size = attrs.get("size") or "1"
+            many = "multiple" in attrs or re.fullmatch(r"0*[1-9][0-9]+|0*[2-9]", size) is not None
+            e.options, e.chosen = [], (None if many else -1)
+            self.buffers.append(Buffer())
+            return
+        if name == "option" and (owner := self.select()) is not None:
+            owner.options.append([attrs.get("label") or "", e.visible, "selected" in attrs, "disabled" in attrs])
+            e.options = owner.options[-1]
+            self.buffers.append(Buffer())
+            return
         if name == "br":
             b.line()
         elif name in BLOCK and name not in ("td", "th"):
@@ -200,7 +240,8 @@ class Page:
             mark = "- "
             if owner is not None and owner.count is not None:
                 mark, owner.count = f"{owner.count}. ", owner.count + 1
-            b.prefix = "  " * max(self.lists - 1, 0) + mark
+            if e.visible:
+                b.prefix = "  " * max(self.lists - 1, 0) + mark
         elif name == "table":
             e.table = Table()
             self.tables.append(e.table)
@@ -211,12 +252,43 @@ class Page:
             span = attrs.get("colspan") or "1"
             e.span = min(max(int(span), 1), 1000) if re.fullmatch(r"[0-9]{1,4}", span) else 1
             self.buffers.append(e.buffer)
-            self.cells += 1
+            self.cells += e.visible
+
+    def select(self) -> Element | None:
+        """The shown select that the innermost element lies in."""
+        return next((x for x in reversed(self.stack[:-1]) if x.options is not None and x.name == "select"), None)
+
+    def pop_choice(self, e: Element) -> None:
+        """A list shows all options, any other select the last one chosen or
+        else the first that can be."""
+        own = self.buffers.pop()
+        b = self.buffers[-1]
+        if e.name == "option":
+            e.options[0] = e.options[0] or own.text()
+            return
+        if e.chosen is None:
+            for text, visible, *_ in e.options:
+                if text and visible:
+                    b.block(1)
+                    b.put(text)
+            b.block(1)
+            return
+        chosen = [x for x in e.options if x[2]][-1:] or [x for x in e.options if not x[3]][:1]
+        b.space = True
+        for text, visible, *_ in chosen:
+            if text and visible:
+                b.put(text)
+        b.space = True
 
     def pop(self) -> None:
         e = self.stack.pop()
         if not e.shown:
             return
+        if self.stack[-1].foreign:
+            self.buffers[-1].space = self.buffers[-1].space or e.name == "text"
+            return
+        if e.options is not None:
+            return self.pop_choice(e)
         if e.name in ("ul", "ol", "menu"):
             self.lists -= 1
         if e.buffer is not None:
@@ -241,7 +313,7 @@ class Page:
         if raw.strip(" \t\n\f\r"):
             self.leave_head()
         e = self.stack[-1]
-        if not e.shown or e.closed:
+        if not e.shown or e.closed or e.muted or not e.visible:
             return
         text = raw if plain else unescape(raw)
         b = self.buffers[-1]
@@ -281,8 +353,8 @@ def extract(html: str | None) -> tuple[str, int]:
                 page.open("pre", {})
                 page.text(html[at:], plain=True)
                 break
-            page.open(name, attributes(raw) if raw.strip(" /\n") else {})
-            if name in RAW:
+            page.open(name, attributes(raw) if raw.strip(" /\n") else {}, raw.endswith("/"))
+            if name in RAW and page.stack[-1].name == name and not page.stack[-2].foreign:
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(html, at)
                 to = stop.start() if stop else size
                 page.text(html[at:to], plain=name not in ("title", "textarea"))

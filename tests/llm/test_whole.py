@@ -101,3 +101,16 @@ def test_op4_keeps_every_context_of_a_larger_corpus(spark):
     ("<head><template><p>no</p></template><noscript><link></noscript><title>t</title><div>yes</div>", "yes")])
 def test_op8_ends_a_head_that_the_page_leaves_open(html, text):
     assert html_text.extract(html)[0] == text
+
+
+@pytest.mark.parametrize("html, text", [
+    ('<body><svg class="i"/><p>rest</p>', "rest"), ("a <math/> b", "a b"), ('<svg><path d="x"/><g/></svg>after', "after"),
+    ("<svg><title>no</title><defs><text>no</text></defs> no <g><text>one</text><text x=1>two</text></g></svg>", "one two"),
+    ("<svg><foreignObject><p>in</p></foreignObject></svg><p>out", "in\n\nout"), ("<svg><path d=x><p>kept</p>", "kept"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds", "so x=2 holds"),
+    ("pick <select><option>a<option selected>b<option>c</select> now", "pick b now"), ("<select><option disabled>a<option>b</select>", "b"),
+    ("x<select multiple><option>a<option>b</select>y", "x\na\nb\ny"), ("<table><tr><td><select><option>a</select><td>b</table>", "a | b"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b></div>", "yes"),
+    ("a<div style='display:none'>no<b style='visibility:visible'>no</b></div>", "a"), ("<svg><style/><script/></svg>z", "z")])
+def test_op8_emits_all_visible_text(html, text):
+    assert html_text.extract(html)[0] == text
