@@ -24,7 +24,7 @@ BLANKS = " \t\n\x0b\f\r"
 #: remaining characters are "other".
 IN_REST = {"upper": r"[A-Z]+", "digit": r"[0-9]+", "punct": r"[!-/:-@\[-`{-~]+", "space": SPACES}
 CLASSES = ["lower", *IN_REST, "other"]
-#: Common words are looked for among words of at most so many characters.
+#: Words that are not common are counted in two bins, up to so many characters and over.
 SHORT = 5
 MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.42
@@ -45,7 +45,7 @@ def words_of(text: Column) -> Column:
 
 
 def short(word: Column) -> Column:
-    return (F.length(word) <= SHORT) & (word != "")
+    return F.length(word) <= SHORT
 
 
 def lang_of(lang_col: str) -> Column:
@@ -85,23 +85,28 @@ def array_js_distance(p: Column, q: Column) -> Column:
 
 
 def common_words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", min_share: float = MIN_SHARE) -> DataFrame:
-    """One row per language: ref_lang, ref_words (its short words), common
-    (short words with ``min_share`` of them, by falling count) and shares
-    (theirs, then the rest's)."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SPACES), short)
+    """One row per language: ref_lang, ref_words (its words), common (words
+    with ``min_share`` of them, by falling count) and shares (theirs, then those
+    of the other short and the other long words)."""
+    words = words_of(F.lower(F.coalesce(F.col(text_col), F.lit(""))))
     counts = docs.select(lang_of(lang_col), F.explode(words).alias("word")).groupBy("ref_lang", "word").agg(F.count("*").alias("n"))
     counts = C.stored(counts, "word-counts")
-    sums = counts.groupBy("ref_lang").agg(F.sum("n").alias("ref_words"))
+    sums = counts.groupBy("ref_lang").agg(
+        F.sum("n").alias("ref_words"), F.sum(F.when(short(F.col("word")), F.col("n")).otherwise(0)).alias("ref_short"))
     common = counts.join(sums, "ref_lang").filter(F.col("n") >= F.col("ref_words") * min_share) \
-        .groupBy("ref_lang", "ref_words").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("top"))
+        .groupBy("ref_lang", "ref_words", "ref_short").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("top"))
     top = F.transform("top", lambda x: -x["n"] / F.col("ref_words"))
+    listed = lambda top: F.aggregate(top, F.lit(0).cast("long"), lambda a, x: a - x["n"])
+    in_short = listed(F.filter("top", lambda x: short(x["word"])))
+    others = [F.col("ref_short") - in_short, F.col("ref_words") - F.col("ref_short") - listed(F.col("top")) + in_short]
     return C.stored(common.select("ref_lang", "ref_words", F.col("top.word").alias("common"), F.concat(
-        top, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(top, F.lit(0.0), lambda a, x: a + x)))).alias("shares")), "common-words")
+        top, F.array(*[x / F.col("ref_words") for x in others])).alias("shares")), "common-words")
 
 
 def features(docs: DataFrame, common: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """``docs`` with the base counts, the class counts (_<class>), the counts
-    of the language's common words and of its other short words (_hist)."""
+    of the language's common words and of its other short and
+    other long words (_hist)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.join(common.withColumnRenamed("ref_lang", "_lang"), lang_of(lang_col) == F.col("_lang"), "left").drop("_lang")
     out = out.withColumn("_rest", F.regexp_replace(text, r"[a-z]+", "")).withColumn("_w", words_of(text))
@@ -109,10 +114,11 @@ def features(docs: DataFrame, common: DataFrame, lang_col: str, text_col: str) -
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     rest = F.col("_rest")
     listed = F.coalesce("common", F.array().cast("array<string>"))
-    hist = let(F.filter(F.transform("_w", lambda w: F.lower(w)), short), lambda ws: let(
-        F.filter(ws, lambda w: F.array_contains(F.col("common"), w)), lambda own: F.concat(
-            F.transform(listed, lambda c: F.size(F.filter(own, lambda w: w == c)).cast("double")),
-            F.array((F.size(ws) - F.size(own)).cast("double")))))
+    hist = let(F.transform("_w", lambda w: F.lower(w)), lambda ws: let(
+        F.filter(ws, lambda w: F.array_contains(F.col("common"), w)), lambda own: let(
+            F.size(F.filter(ws, short)) - F.size(F.filter(own, short)), lambda brief: F.concat(
+                F.transform(listed, lambda c: F.size(F.filter(own, lambda w: w == c)).cast("double")),
+                F.array(brief.cast("double"), (F.size(ws) - F.size(own) - brief).cast("double"))))))
     size = {k: (F.length(rest) - F.length(F.regexp_replace(rest, p, ""))).cast("double") for k, p in IN_REST.items()}
     out = out.select(
         *docs.columns, "ref_words", "shares", hist.alias("_hist"),
@@ -131,7 +137,7 @@ def quality_rules(docs: DataFrame, keep_text: bool = True, lang_col: str = "lang
     ``kept`` is false if base_failed (under 10 words, or over a fifth of the
     words in repeated 5-word windows), if class_distance is over
     MAX_CLASS_DISTANCE (texts of MIN_CHARS characters and more) or if
-    word_distance is over MAX_WORD_DISTANCE (texts of MIN_WORDS short words,
+    word_distance is over MAX_WORD_DISTANCE (texts of MIN_WORDS words,
     languages of MIN_REFERENCE_WORDS, and more); a distance that is not judged
     is null.  A null text is empty; null languages are one language; input
     columns named as the added ones are replaced; repeated rows are judged

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seqforge.llm import ctw, html_text
+from seqforge.llm import common, ctw, html_text, quality
 
 TEXTS = ["the cat sat on the mat", "the rat sat on the cat", "a hat", "", "that cat", "on and on and on the mat"] * 3 + ["the hat and the mat", "xyz"]
 
@@ -114,3 +114,13 @@ def test_op8_ends_a_head_that_the_page_leaves_open(html, text):
     ("a<div style='display:none'>no<b style='visibility:visible'>no</b></div>", "a"), ("<svg><style/><script/></svg>z", "z")])
 def test_op8_emits_all_visible_text(html, text):
     assert html_text.extract(html)[0] == text
+
+
+def test_op3_rejects_a_long_text_of_long_junk_words(spark):
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "lang", "text")
+    lang = docs.groupBy("lang").count().orderBy("count").collect()[-1]["lang"]
+    r = random.Random(3)
+    junk = " ".join("".join(r.choices("etaoinsrhldcum", k=8)) for _ in range(2000)).replace(" ", " \n", 3)
+    more = spark.createDataFrame([(-1, lang, junk)], docs.schema)
+    got = quality.quality_rules(docs.unionByName(more)).filter("doc_id = -1").first()
+    assert not got.base_failed and got.word_distance > quality.MAX_WORD_DISTANCE and not got.kept
