@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from seqforge.llm import classifier, ctw, decontaminate, html_text, mixing, quality, simhash, substring_dedup, suffix_dedup, warc
+from seqforge.llm import (classifier, ctw, decontaminate, hard_negatives, html_text, mixing, quality, simhash, substring_dedup,
+                          suffix_dedup, token_alignment, warc)
 from seqforge.llm.common import table
 
 
@@ -46,10 +47,18 @@ def op10_quality_classifier(spark, sf_dir):
     return classifier.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark, sf_dir):
+    return token_alignment.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_simhash, op3_quality_rules, op4_ctw, op5_mixing, op6_warc, op7_decontaminate,
     op8_html_text, op9_suffix_dedup,
-    op10_quality_classifier)}
+    op10_quality_classifier, op11_hard_negatives, op12_token_alignment)}
 
 SQL = {
     "op1_substring_dedup": r"""
@@ -82,4 +91,16 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS n
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM t LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_hard_negatives": """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id AS other, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, other AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) QUALIFY rank <= 3""",
 }
