@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from seqforge.llm import (classifier, ctw, decontaminate, hard_negatives, html_text, mixing, quality, simhash, substring_dedup,
-                          suffix_dedup, token_alignment, warc)
+from seqforge.llm import (classifier, ctw, decontaminate, hard_negatives, html_text, jaccard_join, mixing, quality, simhash,
+                          substring_dedup, suffix_dedup, token_alignment, warc)
 from seqforge.llm.common import table
 
 
@@ -55,10 +55,14 @@ def op12_token_alignment(spark, sf_dir):
     return token_alignment.digest(table(spark, sf_dir, "documents"))
 
 
+def op13_jaccard_join(spark, sf_dir):
+    return jaccard_join.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_simhash, op3_quality_rules, op4_ctw, op5_mixing, op6_warc, op7_decontaminate,
     op8_html_text, op9_suffix_dedup,
-    op10_quality_classifier, op11_hard_negatives, op12_token_alignment)}
+    op10_quality_classifier, op11_hard_negatives, op12_token_alignment, op13_jaccard_join)}
 
 SQL = {
     "op1_substring_dedup": r"""
