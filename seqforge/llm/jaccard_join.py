@@ -17,13 +17,20 @@ all members to it are computed, and members within eps form its region: they
 are linked to it, so no pair among them needs a look.  The others, with
 those of the region that the triangle inequality does not keep more than eps
 from every one of them, are the cell of the next round, with another pivot.
-Cells whose members are all connected by now are done.  Small cells and what is left after some
-rounds are joined exactly: ordered by the distance to the last pivot, cut into
-blocks of bounded size, blocks beyond eps apart are skipped, and a pair of blocks is
-one product of 0/1 matrices.
-
-Copies with equal sets are one member throughout.  Only links that connect
-are kept, so a group of n near copies gives about n links, not n^2.
+Cells whose members are all connected by now are done.  Small cells and what
+is left after some rounds are joined exactly: ordered by the distance to the
+last pivot and cut into blocks of bounded size; blocks beyond eps apart are
+skipped, pairs of the others are compared.
+
+Distances are bounded first and counted only where the bound allows a link.
+The parities of a set's sizes in many small hash classes (its sketch, a
+32nd of the set) differ in at most as many places as two sets differ in
+n-grams.  So a pair whose sketches are too far apart never needs its sets;
+the whole sets are sent for the other pairs alone, each pair once.
+
+Copies with equal sets are one member throughout.  Pairs of members that are
+connected already are not compared, so a group of n near copies takes about n
+comparisons a round, not n^2.
 """
 
 from __future__ import annotations
@@ -40,7 +47,7 @@ from pyspark.sql import types as T
 from seqforge.llm import common as C
 
 ADDED = ["n_shingles", "component_id"]
-#: Rounds of pivots, members up to which a cell is joined at once, n-grams in a block.
+#: Rounds of pivots, members up to which a cell is joined at once, n-grams in a block (of 1024 members at most).
 ROUNDS, SMALL, BLOCK_GRAMS = 3, 128, 1 << 20
 #: Bits of an n-gram's hash that sets keep; slots of the bitmap of wanted sets.
 BITS, SLOTS = 48, 1 << 23
@@ -171,21 +178,85 @@ def wanted_sets(marked: DataFrame, wanted: DataFrame) -> DataFrame:
 
     found = marked.filter("_sid is not null").select("_sid", "n_shingles", "_set").mapInArrow(run, "_sid long, n_shingles long, _set binary")
     found = found.select(F.col("_sid").alias("sid"), F.col("n_shingles").alias("n"), F.col("_set").alias("set"))
-    return C.stored(found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"]), "sets")
+    found = found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    return C.stored(found.mapInArrow(_sketches, "sid long, n long, set binary, sketch binary"), "sets")
 
 
-# ---------------------------------------------------------------- pivots
+# ---------------------------------------------------------------- bounds and distances
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the set's size in each of 2 to 4 times as many classes as it has n-grams."""
+    bits = max(6, int(2 * len(s) - 1).bit_length())
+    return np.bincount((s >> U64(BITS - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & 1
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """The sketch over ``size`` larger classes."""
+    return np.bitwise_xor.reduce(bits.reshape(size, -1), axis=1)
+
+
+def _sketches(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, 256):
+            t = b.slice(at, 256)
+            made = [np.packbits(sketch(C.unpack_sorted(x))).tobytes() for x in t.column("set").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(made, pa.binary())], names=["sid", "n", "set", "sketch"])
+
+
+def bits_of(raw: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(raw, np.uint8))
+
 
-def _distances(batches):
-    """|x & p| of pairs of a member and a pivot."""
+def _bounds(batches):
+    """The least number of n-grams in which a member and its pivot differ."""
     for b in batches:
-        inter = []
+        least = []
+        for x, p in zip(b.column("sketch").to_pylist(), b.column("pivot_sketch").to_pylist()):
+            if len(x) != len(p):
+                size = 8 * min(len(x), len(p))
+                x, p = (np.packbits(folded(bits_of(y), size)).tobytes() for y in (x, p))
+            least.append((int.from_bytes(x) ^ int.from_bytes(p)).bit_count())
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sid", "pivot", "n", "pivot_n")), pa.array(least, pa.int64())],
+                                         names=["sid", "pivot", "n", "pivot_n", "apart"])
+
+
+def _apart(batches):
+    """The number of n-grams in which the sets differ."""
+    for b in batches:
+        apart = []
         for x, p in zip(b.column("set").to_pylist(), b.column("pivot_set").to_pylist()):
-            both = np.sort(np.concatenate((C.unpack_sorted(x), C.unpack_sorted(p))))
-            inter.append(int((both[1:] == both[:-1]).sum()))
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sid", "pivot", "n", "pivot_n")), pa.array(inter, pa.int64())],
-                                         names=["sid", "pivot", "n", "pivot_n", "inter"])
+            x, p = C.unpack_sorted(x), C.unpack_sorted(p)
+            both = np.sort(np.concatenate((x, p)))
+            apart.append(len(x) + len(p) - 2 * int((both[1:] == both[:-1]).sum()))
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sid", "pivot", "n", "pivot_n")), pa.array(apart, pa.int64())],
+                                         names=["sid", "pivot", "n", "pivot_n", "apart"])
+
+
+PAIRS = "sid long, pivot long, n long, pivot_n long, apart long"
+
+
+def with_sets(pairs: DataFrame, sets: DataFrame, col: str) -> DataFrame:
+    other = sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"), F.col(col).alias(f"pivot_{col}"))
+    return pairs.join(sets.select("sid", "n", col), "sid").join(other, "pivot").select(
+        "sid", "pivot", "n", "pivot_n", col, f"pivot_{col}")
+
 
+def near(pct: int):
+    """2 |x & p| = n + m - apart and 2 |x | p| = n + m + apart."""
+    both = F.col("n") + F.col("pivot_n")
+    return 100 * (both - F.col("apart")) >= pct * (both + F.col("apart"))
+
+
+def distances(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """(sid, pivot, d, near) of distinct pairs; d is exact for near pairs and a
+    lower bound for others."""
+    bounded = C.stored(with_sets(pairs, sets, "sketch").mapInArrow(_bounds, PAIRS), "bounds")
+    exact = with_sets(bounded.filter(near(pct)).select("sid", "pivot"), sets, "set").mapInArrow(_apart, PAIRS)
+    d = 2 * F.col("apart") / (F.col("n") + F.col("pivot_n") + F.col("apart"))
+    return C.stored(exact.unionByName(bounded.filter(~near(pct))).select("sid", "pivot", d.alias("d"), near(pct).alias("near")), "distances")
+
+
+# ---------------------------------------------------------------- pivots
 
 def pivot_round(cells: DataFrame, sets: DataFrame, pct: int, first: bool) -> tuple[DataFrame, DataFrame]:
     """(links to pivots, cells of the next round with each member's distance to the pivot)."""
@@ -196,13 +267,7 @@ def pivot_round(cells: DataFrame, sets: DataFrame, pct: int, first: bool) -> tup
         ranked = cells.withColumn("score", F.xxhash64("key", "sid"))
     pivots = ranked.groupBy("key").agg(F.max(F.struct("score", "sid")).getField("sid").alias("pivot"))
     members = C.stored(cells.select("key", "sid").join(pivots, "key").filter("sid <> pivot"), "members")
-    other = sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("set").alias("pivot_set"))
-    pairs = members.select("sid", "pivot").distinct().join(sets, "sid").join(other, "pivot").select(
-        "sid", "pivot", "n", "pivot_n", "set", "pivot_set")
-    union = F.col("n") + F.col("pivot_n") - F.col("inter")
-    found = pairs.mapInArrow(_distances, "sid long, pivot long, n long, pivot_n long, inter long").select(
-        "sid", "pivot", (1 - F.col("inter") / union).alias("d"), (100 * F.col("inter") >= pct * union).alias("near"))
-    found = C.stored(found, "distances")
+    found = distances(members.select("sid", "pivot").distinct(), sets, pct)
     eps = (100 - pct) / 100 + 1e-9
     placed = members.join(found, ["sid", "pivot"]).select("key", "sid", "d", "near")
     far = placed.filter("not near").groupBy("key").agg(F.min("d").alias("least"))
@@ -222,38 +287,20 @@ def unsettled(cells: DataFrame, roots: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- exact join of regions
 
-def connecting(sids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], pct: int) -> list[tuple[int, int]]:
-    """Links among the sets that connect different components, by products of
-    0/1 matrices over the n-grams that several sets hold."""
-    n = len(sids)
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    column = np.cumsum(np.append(False, every[1:] != every[:-1]))
-    shared = np.bincount(column)[column] > 1
-    owner, column = owner[shared], np.cumsum(np.append(False, np.diff(column[shared]) > 0))[:shared.sum()]
-    inter = np.zeros((n, n), np.float32)
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
-        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
-        m = np.zeros((n, min(COLUMNS, int(column[j - 1]) - lo + 1)), np.float32)
-        m[owner[i:j], column[i:j] - lo] = 1
-        inter += m @ m.T
-    inter = inter.astype(np.int64)
-    linked = 100 * inter >= pct * (sizes[:, None] + sizes[None, :] - inter)
-    head = {int(r): int(r) for r in roots}
-
-    def top(x):
-        while head[x] != x:
-            head[x] = x = head[head[x]]
-        return x
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(linked & (roots[:, None] != roots[None, :]), 1))):
-        a, b = top(int(roots[i])), top(int(roots[j]))
-        if a != b:
-            head[a] = b
-            out.append((int(sids[i]), int(sids[j])))
-    return out
+def candidates(sids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: list[bytes], pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different components whose sketches allow a link."""
+    bits = [bits_of(x) for x in sketches]
+    width = min(map(len, bits))
+    m = np.stack([folded(x, width) for x in bits]).astype(np.float32)
+    apart = np.zeros((len(m), len(m)), np.float32)
+    for at in range(0, width, COLUMNS):
+        part = m[:, at:at + COLUMNS]
+        ones = part.sum(axis=1)
+        apart += ones[:, None] + ones[None, :] - 2 * (part @ part.T)
+    both, apart = sizes[:, None] + sizes[None, :], apart.astype(np.int64)
+    apart = np.maximum(apart, np.abs(sizes[:, None] - sizes[None, :]))
+    i, j = np.nonzero(np.triu((100 * (both - apart) >= pct * (both + apart)) & (roots[:, None] != roots[None, :]), 1))
+    return np.minimum(sids[i], sids[j]), np.maximum(sids[i], sids[j])
 
 
 def _join(pct: int):
@@ -263,9 +310,10 @@ def _join(pct: int):
         def close():
             ids = {r["sid"]: r for r in held}
             rows = list(ids.values())
-            links = connecting(*(np.array([r[c] for r in rows], np.int64) for c in ("sid", "root", "n")),
-                               [C.unpack_sorted(r["set"]) for r in rows], pct) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            if len(rows) < 2:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["sid", "pivot"])
+            pairs = candidates(*(np.array([r[c] for r in rows], np.int64) for c in ("sid", "root", "n")), [r["sketch"] for r in rows], pct)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["sid", "pivot"])
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 for r in b.slice(at, 64).to_pylist():
@@ -284,7 +332,7 @@ def join_regions(cells: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     order of their distance to the pivot, in blocks of bounded size; blocks
     further apart than eps need no look, by the triangle inequality."""
     eps = (100 - pct) / 100 + 1e-9
-    before = F.sum("n").over(Window.partitionBy("key").orderBy("d", "sid").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum(F.col("n") + BLOCK_GRAMS // 1024).over(Window.partitionBy("key").orderBy("d", "sid").rowsBetween(Window.unboundedPreceding, -1))
     dealt = cells.join(sets.select("sid", "n"), "sid").withColumn(
         "block", F.floor(F.coalesce(before, F.lit(0)) / BLOCK_GRAMS)).select("key", "sid", "d", "root", "block")
     dealt = C.stored(dealt, "blocks")
@@ -293,9 +341,10 @@ def join_regions(cells: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     j = blocks.select("key", F.col("block").alias("j"), F.col("lo").alias("start"))
     tiles = i.join(j, "key").filter((F.col("i") <= F.col("j")) & (F.col("start") - F.col("end") <= eps)).select("key", "i", "j")
     tiles = tiles.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    rows = dealt.join(tiles, ["key", "block"]).join(sets, "sid").select("key", "i", "j", "sid", "root", "n", "set")
+    rows = dealt.join(tiles, ["key", "block"]).join(sets, "sid").select("key", "i", "j", "sid", "root", "n", "sketch")
     rows = rows.repartition(C.partitions_of(cells.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return rows.mapInArrow(_join(pct), "a long, b long")
+    pairs = C.stored(rows.mapInArrow(_join(pct), "sid long, pivot long").distinct(), "pairs")
+    return distances(pairs, sets, pct).filter("near").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
 
 
 # ---------------------------------------------------------------- operator
@@ -304,7 +353,7 @@ def jaccard_join(docs: DataFrame, shingle: int = 4, pct: int = 85, id_col: str =
     """(documents, links).  Documents keep their columns but the text and get
     n_shingles (distinct word n-grams) and component_id, the smallest id
     reachable over links; two link if 100 |x & y| >= pct |x | y|.  Links are
-    pairs of set ids that connect the components (a spanning part of all).
+    pairs of set ids that connect the components (those that were looked at).
 
     Texts are lower-cased (A-Z) and cut into words at blank and 0x09-0x0D; of
     fewer words than ``shingle`` the whole sequence is the one n-gram.  A null
