@@ -36,6 +36,7 @@ comparisons a round, not n^2.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ from seqforge.llm import common as C
 
 ADDED = ["n_shingles", "component_id"]
 #: Rounds of pivots, members up to which a cell is joined at once, n-grams in a block (of 1024 members at most).
-ROUNDS, SMALL, BLOCK_GRAMS = 3, 128, 1 << 20
+ROUNDS, SMALL, BLOCK_GRAMS = 3, 4096, 1 << 20
 #: Bits of an n-gram's hash that sets keep; slots of the bitmap of wanted sets.
 BITS, SLOTS = 48, 1 << 23
 COLUMNS = 4096
@@ -155,28 +156,32 @@ def _cells(pct: int):
     return run
 
 
-def wanted_sets(marked: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, n, set) of the wanted sids.  A bitmap of bounded size drops most
-    other sets in the scan, before the join deals the rest."""
+def only(rows: DataFrame, sid_col: str, wanted: DataFrame) -> DataFrame:
+    """Most of the rows whose sid is not wanted dropped, before a join deals
+    the rest: a bitmap of bounded size, and per task each sid once."""
     slot = F.pmod(F.col("sid"), F.lit(SLOTS))
-    rows = wanted.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
+    found = wanted.groupBy(F.bitmap_bucket_number(slot).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     each = 8 * 4096
     mask = np.zeros((SLOTS // each + 2) * each, bool)
-    for r in rows:
+    for r in found:
         mask[r.bucket * each:(r.bucket + 1) * each] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
     packed = np.packbits(mask).tobytes()
 
     def run(batches):
         bits, seen = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool), set()
         for b in batches:
-            sid = b.column("_sid").to_numpy()
+            sid = b.column(sid_col).to_numpy()
             slots = sid % SLOTS  # bit position and bucket of a slot: see bitmap_bit_position
             place = np.where(slots > 0, (slots - 1) % each + (1 + (slots - 1) // each) * each, 0)
             at = [i for i in np.flatnonzero(bits[place]) if not (sid[i] in seen or seen.add(sid[i]))]
             yield b.take(pa.array(at, pa.int64()))
+    return rows.mapInArrow(run, rows.schema)
+
 
-    found = marked.filter("_sid is not null").select("_sid", "n_shingles", "_set").mapInArrow(run, "_sid long, n_shingles long, _set binary")
+def wanted_sets(marked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, n, set, sketch) of the wanted sids."""
+    found = only(marked.filter("_sid is not null").select("_sid", "n_shingles", "_set"), "_sid", wanted)
     found = found.select(F.col("_sid").alias("sid"), F.col("n_shingles").alias("n"), F.col("_set").alias("set"))
     found = found.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
     return C.stored(found.mapInArrow(_sketches, "sid long, n long, set binary, sketch binary"), "sets")
@@ -235,12 +240,6 @@ def _apart(batches):
 PAIRS = "sid long, pivot long, n long, pivot_n long, apart long"
 
 
-def with_sets(pairs: DataFrame, sets: DataFrame, col: str) -> DataFrame:
-    other = sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"), F.col(col).alias(f"pivot_{col}"))
-    return pairs.join(sets.select("sid", "n", col), "sid").join(other, "pivot").select(
-        "sid", "pivot", "n", "pivot_n", col, f"pivot_{col}")
-
-
 def near(pct: int):
     """2 |x & p| = n + m - apart and 2 |x | p| = n + m + apart."""
     both = F.col("n") + F.col("pivot_n")
@@ -250,8 +249,15 @@ def near(pct: int):
 def distances(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """(sid, pivot, d, near) of distinct pairs; d is exact for near pairs and a
     lower bound for others."""
-    bounded = C.stored(with_sets(pairs, sets, "sketch").mapInArrow(_bounds, PAIRS), "bounds")
-    exact = with_sets(bounded.filter(near(pct)).select("sid", "pivot"), sets, "set").mapInArrow(_apart, PAIRS)
+    other = sets.select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch"))
+    bounded = pairs.join(sets.select("sid", "n", "sketch"), "sid").join(other, "pivot").select(
+        "sid", "pivot", "n", "pivot_n", "sketch", "pivot_sketch").mapInArrow(_bounds, PAIRS)
+    bounded = C.stored(bounded, "bounds")
+    close = bounded.filter(near(pct)).select("sid", "pivot")
+    other = only(sets.select("sid", "n", "set"), "sid", close.select(F.col("pivot").alias("sid"))) \
+        .select(F.col("sid").alias("pivot"), F.col("n").alias("pivot_n"), F.col("set").alias("pivot_set"))
+    exact = close.join(only(sets.select("sid", "n", "set"), "sid", close), "sid").join(other, "pivot") \
+        .select("sid", "pivot", "n", "pivot_n", "set", "pivot_set").mapInArrow(_apart, PAIRS)
     d = 2 * F.col("apart") / (F.col("n") + F.col("pivot_n") + F.col("apart"))
     return C.stored(exact.unionByName(bounded.filter(~near(pct))).select("sid", "pivot", d.alias("d"), near(pct).alias("near")), "distances")
 
@@ -347,6 +353,19 @@ def join_regions(cells: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return distances(pairs, sets, pct).filter("near").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))
 
 
+def contracted(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of all linked nodes, after more links between them."""
+    if roots is None:
+        return C.components(links)
+    for c in ("a", "b"):
+        head = roots.select(F.col("node").alias(c), F.col("root").alias("head"))
+        links = links.join(head, c, "left").withColumn(c, F.coalesce("head", c)).drop("head")
+    more = C.components(links.filter("a <> b"))
+    head = more.select(F.col("node").alias("root"), F.col("root").alias("head"))
+    old = roots.join(head, "root", "left").select("node", F.coalesce("head", "root").alias("root"))
+    return C.stored(old.unionByName(more.join(roots, "node", "left_anti")), "roots")
+
+
 # ---------------------------------------------------------------- operator
 
 def jaccard_join(docs: DataFrame, shingle: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -364,7 +383,6 @@ def jaccard_join(docs: DataFrame, shingle: int = 4, pct: int = 85, id_col: str =
     by 64 bits of a hash within a text and by 48 between texts.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
-    spark = docs.sparkSession
     docs = C.without(docs, [*ADDED, "_sid", "_set"])
     schema = T.StructType([*[f for f in docs.schema.fields if f.name != text_col], T.StructField("n_shingles", T.LongType()),
                            T.StructField("_sid", T.LongType()), T.StructField("_set", T.BinaryType())])
@@ -375,19 +393,21 @@ def jaccard_join(docs: DataFrame, shingle: int = 4, pct: int = 85, id_col: str =
         .select("key", "sid").distinct()
     cells = C.stored(cells, "cells")
     sets = wanted_sets(marked, cells.select("sid").distinct())
-    links, rest = spark.createDataFrame([], "a long, b long"), None
+    links, rest, roots = [], None, None
     for k in range(ROUNDS):
-        near, left = pivot_round(cells, sets, pct, k == 0)
-        links = C.stored(links.unionByName(near), "found")
-        left = unsettled(left, C.components(links))
+        found, left = pivot_round(cells, sets, pct, k == 0)
+        links.append(found)
+        roots = contracted(roots, found)
+        left = unsettled(left, roots)
         small = left if k == ROUNDS - 1 else left.filter(F.col("size") <= SMALL)
         rest = small if rest is None else rest.unionByName(small)
         cells = left.filter(F.col("size") > SMALL)
-        if not cells.head(1):
+        if k == ROUNDS - 1 or not cells.head(1):
             break
     if rest.head(1):
-        links = C.stored(links.unionByName(join_regions(rest, sets, pct)), "found")
-    roots = C.components(links)
+        links.append(join_regions(rest, sets, pct))
+        roots = contracted(roots, links[-1])
+    links = reduce(DataFrame.unionByName, links)
     least = marked.filter("_sid is not null").groupBy(F.col("_sid").alias("sid")).agg(F.min(id_col).alias("least"))
     owner = least.join(roots, F.col("sid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "sid"))
     owner = owner.select("sid", "root").join(owner.groupBy("root").agg(F.min("least").alias("component_id")), "root") \
