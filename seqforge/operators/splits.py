@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from seqforge.functions.scalar import parse_label
 from seqforge.operators.corpus import window_starts
-from seqforge.operators.ranking import hash_key, prefix_rank
+from seqforge.operators.ranking import hash_key, prefix_rank, running
 
 
 def uniform(seed, *parts) -> Column:
@@ -56,7 +56,7 @@ def split_prefix(df: DataFrame, key_cols: list[str], max_len: int, ratio: float
     sequence goes wholly to the side of its first window."""
     from seqforge.operators.corpus import sequence_windows
     d = df.withColumn("_nw", F.size(window_starts(F.length(seq_col), max_len)))
-    r = _ranked(d, [], key_cols, seed).drop("_rank", "_n")
+    r = d.withColumn("_h", hash_key(seed, *key_cols))
     r = prefix_rank(r, [], ["_h", *key_cols], weight="_nw", rank_col="_cum", total_col="_N")
     w = sequence_windows(r.withColumn("_first", F.col("_cum") - F.col("_nw")), max_len, seq_col)
     cut = F.floor(F.col("_N") * ratio)
@@ -87,11 +87,9 @@ def _with_class_counts(df: DataFrame, label: str) -> DataFrame:
 # X4 ------------------------------------------------------------------------
 def balance_downsample(df: DataFrame, label: str, key_cols: list[str], seed: int = 42) -> DataFrame:
     """Every class sampled down to the smallest class size."""
-    counts = _with_class_counts(df, label).withColumn(
-        "_min", F.min("_n").over(Window.partitionBy())).select(label, "_min")
-    r = _ranked(df, [label], key_cols, seed)
-    return (r.join(counts, label).filter(F.col("_rank") <= F.col("_min"))
-             .drop("_h", "_rank", "_n", "_min"))
+    least = _with_class_counts(df.filter(F.col(label).isNotNull()), label).agg(F.min("_n").alias("_min"))
+    r = _ranked(df.filter(F.col(label).isNotNull()), [label], key_cols, seed)
+    return r.filter(F.col("_rank") <= least.scalar()).drop("_h", "_rank", "_n")
 
 
 # X5 ------------------------------------------------------------------------
@@ -135,12 +133,10 @@ def leave_one_group_out_summary(df: DataFrame, group: str, label: str) -> DataFr
     per-group aggregates (total minus the held-out group)."""
     per = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"),
                                 F.count_if(F.col(label) == 1).alias("n_pos"))
-    w = Window.partitionBy()
-    per = per.withColumn("_N", F.sum("n").over(w)).withColumn("_P", F.sum("n_pos").over(w))
+    n, n_pos = (per.agg(F.sum(c)).scalar() for c in ("n", "n_pos"))
     return per.select(F.col(group).alias("held_out"),
                       F.col("n").alias("n_test"), F.col("n_pos").alias("n_test_pos"),
-                      (F.col("_N") - F.col("n")).alias("n_train"),
-                      (F.col("_P") - F.col("n_pos")).alias("n_train_pos"))
+                      (n - F.col("n")).alias("n_train"), (n_pos - F.col("n_pos")).alias("n_train_pos"))
 
 
 # X7 ------------------------------------------------------------------------
@@ -188,18 +184,12 @@ def split_val_ratio(df: DataFrame, label: str, key_cols: list[str], ratio: float
                     neg_per_pos: int = 10, seed: int = 22) -> DataFrame:
     """Validation positives ``int(n_pos*ratio)``; validation negatives
     ``min(neg_per_pos*val_pos, n_neg)``; everything else is train."""
-    c = _with_class_counts(df, label)
-    w = Window.partitionBy()
-    n_pos = F.max(F.when(F.col(label) == 1, F.col("_n"))).over(w)
-    n_neg = F.max(F.when(F.col(label) == 0, F.col("_n"))).over(w)
-    vp = F.floor(F.coalesce(n_pos, F.lit(0)) * ratio)
-    vn = F.least(vp * neg_per_pos, F.coalesce(n_neg, F.lit(0)))
-    thr = c.select(label, F.when(F.col(label) == 1, vp).when(F.col(label) == 0, vn)
-                   .otherwise(F.lit(0)).alias("_take"))
-    r = _ranked(df, [label], key_cols, seed)
-    return (r.join(thr, label)
-             .withColumn("split", F.when(F.col("_rank") <= F.col("_take"), "val").otherwise("train"))
-             .drop("_h", "_rank", "_n", "_take"))
+    n_pos, n_neg = (df.agg(F.count_if(F.col(label) == k)).scalar() for k in (1, 0))
+    vp = F.floor(n_pos * ratio)
+    vn = F.least(vp * neg_per_pos, n_neg)
+    r = _ranked(df.filter(F.col(label).isNotNull()), [label], key_cols, seed)
+    take = F.when(F.col(label) == 1, vp).when(F.col(label) == 0, vn).otherwise(F.lit(0))
+    return r.withColumn("split", F.when(F.col("_rank") <= take, "val").otherwise("train")).drop("_h", "_rank", "_n")
 
 
 # X11 -----------------------------------------------------------------------
@@ -219,12 +209,64 @@ def sample_weighted(df: DataFrame, label: str, key_cols: list[str], n: int | Non
     draws = spark.range(total).withColumnRenamed("id", "draw")
     draws = (draws.withColumn("_ci", F.floor(uniform(seed, F.col("draw"), F.lit(1)) * n_classes))
                   .withColumn("_u2", uniform(seed, F.col("draw"), F.lit(2))))
-    picked = (draws.join(F.broadcast(classes), "_ci")  # one row per class
+    picked = (draws.join(classes, "_ci")  # one row per class; broadcast only if that is small
                    .withColumn("_rank", F.floor(F.col("_u2") * F.col("_cn")).cast("long") + 1)
                    .select("draw", label, "_rank"))
     return picked.join(r, [label, "_rank"]).drop("_rank")
 
 
+#: The heaviest row weighs this many units; any other row above zero at least one.
+WEIGHT_UNITS = 1 << 40
+
+
+def draw_point(seed, total: int, draw: str = "draw") -> Column:
+    """A whole number in [0, total), uniform by 112 bits of md5."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(draw).cast("string")))
+
+    def part(at):
+        return F.conv(F.substr(h, F.lit(at), F.lit(14)), 16, 10).cast("decimal(17,0)")
+    wide = part(1) * F.lit(1 << 56).cast("decimal(17,0)") + part(15)
+    return (wide % F.lit(total).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
+def sample_by_weight(df: DataFrame, weight: str, key_cols: list[str], n: int | None = None, seed: int = 42) -> DataFrame:
+    """``n`` draws with replacement (as many as rows by default); a row is
+    drawn with a chance in proportion to its ``weight``.  Returns ``draw`` and
+    the columns of the row.
+
+    Rows lie side by side on a line, in hash order, each as long as its
+    weight (running sums in range buckets); a draw is a point on the line
+    and gets the last row that begins at or before it: rows and points
+    are ordered together, and the running maximum of the rows' beginnings (range
+    buckets again) passes each point its row.  No row is broadcast, and neither a heavy row
+    nor many light ones gather anywhere.
+
+    Weights are doubles, kept to 2^-40 of the largest (and never rounded to
+    zero); a weight of zero or null is never drawn, a negative or infinite one
+    or NaN is an error.  Without any weight above zero there are no draws.
+    ``key_cols`` fix the order, rows that repeat a key stay rows of their own.
+    """
+    spark = df.sparkSession
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    w = F.when((w >= 0) & (w < float("inf")), w).otherwise(F.raise_error(F.lit("weights must be finite and not negative")))
+    most, rows = df.agg(F.max(w), F.count(F.lit(1))).first()  # two scalars
+    cols = df.columns
+    if not most:
+        return df.limit(0).select(F.lit(0).cast("long").alias("draw"), *cols)
+    units = F.ceil(w * (WEIGHT_UNITS / most)).cast("decimal(20,0)")
+    d = df.select(F.struct(*cols).alias("_row"), units.alias("_u"), hash_key(seed, *key_cols).alias("_h"),
+                  *[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)]).filter("_u > 0")
+    line = running(d, [], ["_h", *[f"_k{i}" for i in range(len(key_cols))]], sums=("_u",))
+    begin = (F.col("cum__u") - F.col("_u")).cast("decimal(38,0)")
+    total = int(d.agg(F.sum("_u")).first()[0])  # a scalar
+    points = spark.range(rows if n is None else n).select(F.col("id").alias("draw")).withColumn("_at", draw_point(seed, total))
+    there = line.select(F.lit(-1).cast("long").alias("draw"), begin.alias("_at"),
+                        F.struct(begin.alias("begin"), F.col("_row").alias("row")).alias("_from"))
+    both = there.unionByName(points, allowMissingColumns=True)
+    drawn = running(both, [], ["_at", "draw"], maxes=("_from",)).filter("draw >= 0")
+    return drawn.select("draw", *[F.col(f"runmax__from.row.{c}").alias(c) for c in cols])
+
+
 # X12 -----------------------------------------------------------------------
 def shard_evenly(df: DataFrame, key_cols: list[str], shards: int, epoch: int = 0,
                  seed: int = 42) -> DataFrame:

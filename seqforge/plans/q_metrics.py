@@ -377,3 +377,54 @@ def q_g17(spark, d):
     pairs of the whole table (the SQL counts per distinct quantity along the
     price, so it forms no pairs of rows either)."""
     return _r6(G.c_index(V.reg(spark, d), ["l_linenumber"]), ["c_index"])
+
+
+@register("g17_c_index_ordered", sql=V.with_views("reg") + """
+SELECT l_linenumber, CAST(coalesce(n, 0) AS BIGINT) AS n_pairs, round(CASE WHEN n > 0 THEN s / n ELSE 0 END, 6) AS c_index
+FROM (SELECT DISTINCT l_linenumber FROM reg WHERE y IS NOT NULL AND p IS NOT NULL) LEFT JOIN (
+  SELECT a.l_linenumber, count(*) AS n, sum(CASE WHEN a.p > b.p THEN 1.0 WHEN a.p = b.p THEN 0.5 ELSE 0.0 END)::DOUBLE AS s
+  FROM reg a JOIN reg b ON a.l_linenumber = b.l_linenumber AND b.l_orderkey < a.l_orderkey AND b.y < a.y GROUP BY 1) USING (l_linenumber)""")
+def q_g17o(spark, d):
+    """The order-dependent concordance index (a pair counts when its later
+    order has the larger quantity) of price vs quantity per line number."""
+    return _r6(G.c_index_ordered(V.reg(spark, d), ["l_linenumber"], "l_orderkey"), ["c_index"])
+
+
+@register("g18_weighted_bce", sql=V.with_views("preds") + """
+SELECT fold, round(avg(-(3.5 * y * ls + (1 - y) * l1m)), 6) AS bce
+FROM (SELECT fold, CAST(y_true AS DOUBLE) AS y, -(greatest(-x, 0.0) + ln(1 + exp(-abs(x)))) AS ls,
+             -(greatest(x, 0.0) + ln(1 + exp(-abs(x)))) AS l1m
+      FROM (SELECT *, (y_prob - 0.5) * 8.0 AS x FROM preds)) GROUP BY fold""")
+def q_g18w(spark, d):
+    """BCE-with-logits with a positive weight of 3.5."""
+    p = _preds(spark, d).withColumn("logit", (F.col("y_prob") - 0.5) * 8.0)
+    return _r6(G.loss_columns(p, ["fold"], pos_weight=3.5).select("fold", "bce"), ["bce"])
+
+
+_PEARSON = """avg(1 - (n * xy - sx * sy) / sqrt((n * x2 - sx * sx) * (n * y2 - sy * sy)))"""
+
+
+@register("g18_neg_pearson", sql=f"""
+WITH v AS (SELECT list_transform(embedding[1:32], lambda e: CAST(e AS DOUBLE)) AS x, list_transform(embedding[33:64], lambda e: CAST(e AS DOUBLE)) AS y FROM embeddings),
+m AS (SELECT 32.0::DOUBLE AS n, list_sum(x) AS sx, list_sum(y) AS sy, list_inner_product(x, y) AS xy, list_inner_product(x, x) AS x2, list_inner_product(y, y) AS y2 FROM v)
+SELECT round({_PEARSON}, 6) AS neg_pearson FROM m""")
+def q_g18p(spark, d):
+    """Negative Pearson correlation of the two halves of each vector, mean over rows."""
+    e = V.table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"))
+    return _r6(G.neg_pearson(e.select(F.slice("e", 1, 32).alias("x"), F.slice("e", 33, 32).alias("y")), "x", "y"), ["neg_pearson"])
+
+
+@register("g19_ratio_max1", sql=V.with_views("preds") + """
+SELECT n_pos, n_neg, CAST(n_neg AS DOUBLE) / greatest(n_pos, 1) AS pos_weight
+FROM (SELECT count(*) FILTER (WHERE y_true = 1) AS n_pos, count(*) FILTER (WHERE y_true = 0) AS n_neg FROM preds)""")
+def q_g19m(spark, d):
+    """n_neg / max(n_pos, 1)."""
+    return _r6(G.class_weights(_preds(spark, d), mode="ratio_max1"), ["pos_weight"])
+
+
+@register("g19_inverse", sql=V.with_views("preds") + """
+SELECT example_id, fold, round(1.0 / count(*) OVER (PARTITION BY y_true), 12) AS weight FROM preds WHERE y_true IS NOT NULL""")
+def q_g19i(spark, d):
+    """The sampler's weight 1 / count(class) of every row."""
+    w = G.class_weights(_preds(spark, d).filter(F.col("y_true").isNotNull()), mode="inverse")
+    return w.select("example_id", "fold", F.round("weight", 12).alias("weight"))

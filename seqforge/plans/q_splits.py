@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqforge.operators import splits as X
+from seqforge.operators.metrics import class_weights
 from seqforge.operators.ranking import hash_key_sql as hk
 from seqforge.plans import views as V
 from seqforge.plans.registry import register
@@ -208,3 +209,36 @@ def q_x14(spark, d):
 def q_x15(spark, d):
     """The first 100 sequences by id (top-k with an explicit order)."""
     return X.take_first(V.seqs(spark, d), ["doc_id"], 100).select("doc_id", "species")
+
+
+def _weighted_sql(view: str, weight: str, key: str, seed: int) -> list[tuple[str, str]]:
+    """Rows on a line by whole units of weight, and the points of the draws."""
+    def h(at):
+        return f"CAST(('0x' || substr(md5(concat_ws(':', '{seed}', CAST(range AS VARCHAR))), {at}, 14)) AS BIGINT)::HUGEINT"
+    return [
+        ("wt", f"SELECT *, coalesce({weight}, 0) AS w FROM {view}"),
+        ("un", f"SELECT *, CAST(ceil(w * ({X.WEIGHT_UNITS} / (SELECT max(w) FROM wt))) AS HUGEINT) AS u FROM wt"),
+        ("ln", f"SELECT *, sum(u) OVER (ORDER BY {hk(seed, key)}, {key} ROWS UNBOUNDED PRECEDING)::HUGEINT - u AS at FROM un WHERE u > 0"),
+        ("pt", f"SELECT range AS draw, ({h(1)} * 72057594037927936::HUGEINT + {h(15)}) % (SELECT sum(u)::HUGEINT FROM un) AS at "
+               "FROM range((SELECT count(*) FROM wt))")]
+
+
+@register("x11_sample_by_weight", sql=V.with_views("seqs", extra=_weighted_sql(
+    "seqs", "CASE WHEN doc_id % 5 = 0 THEN 0.0 ELSE length(sequence) / (3.0 + doc_id % 11) END", "doc_id", 7)) + """
+SELECT pt.draw, ln.doc_id, ln.w AS weight FROM pt ASOF JOIN ln ON pt.at >= ln.at""")
+def q_x11w(spark, d):
+    """X11: as many draws as rows by a weight per row (zero for every fifth)."""
+    n = F.length("sequence") / (3.0 + F.col("doc_id") % 11)
+    s = V.seqs(spark, d).select("doc_id", F.when(F.col("doc_id") % 5 == 0, 0.0).otherwise(n).alias("weight"))
+    s = s.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    return X.sample_by_weight(s, "weight", ["doc_id"], seed=7).select("draw", "doc_id", "weight")
+
+
+@register("x11_class_weights", sql=V.with_views("seqs", extra=[
+    ("lab", "SELECT doc_id, label FROM seqs WHERE label IS NOT NULL"),
+    *_weighted_sql("lab", "1.0::DOUBLE / count(*) OVER (PARTITION BY label)", "doc_id", 42)]) + """
+SELECT pt.draw, ln.doc_id, ln.label FROM pt ASOF JOIN ln ON pt.at >= ln.at""")
+def q_x11c(spark, d):
+    """X11 with G19's weights: the sampler that takes 1 / count(class) per row."""
+    s = V.seqs(spark, d).select("doc_id", "label").filter(F.col("label").isNotNull())
+    return X.sample_by_weight(class_weights(s, "label", "inverse"), "weight", ["doc_id"]).select("draw", "doc_id", "label")
