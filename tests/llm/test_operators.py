@@ -165,6 +165,35 @@ def test_mixing(documents, odd, none):
     assert mixing.mix(odd).count() <= len(odd_rows()) and rows_of(mixing.mix(none)) == []
 
 
+def test_warc_many_small_records(spark):
+    """Ten thousand members in one file are read in time linear in the file."""
+    page = "<p>" + "some words of a page " * 20
+    rows = [(i // 2 if i < 40 else i, f"http://h/{i % 3}", page if i % 10 == 0 else f"{page}{i}") for i in range(10000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    out = f"file://{common.shared_path(spark, 'warc-many').removeprefix('file:')}"
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        manifest = warc.write(pages, out).collect()
+        assert [r.records for r in manifest] == [10000]
+        got = warc.read(spark, out).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+    assert len({r.record_id for r in got}) == 10000
+    first = min(r[0] for r in rows if r[2] == page)
+    assert all(r.refers_to == first for r in got if r.record_type == "revisit")
+    assert sum(r.record_type == "revisit" for r in got) == sum(r[2] == page and r[0] > first for r in rows)
+
+
+def test_warc_members():
+    import gzip
+    parts = [b"a" * n for n in (0, 1, 70000, 5)] + [bytes(range(256)) * 300]
+    raw = b"".join(gzip.compress(x, mtime=0) for x in parts)
+    assert list(warc.members(raw)) == parts
+    with pytest.raises(ValueError):
+        list(warc.members(raw[:-9]))
+
+
 def test_warc_round_trip(spark, odd, none):
     big, small = "<p>" + "x" * 200, "tiny"
     rows = [(4, "u\r\nv", big), (2, "http://a", big), (9, None, big), (5, "b", small), (6, "c", small), (7, "d", None), (None, "e", big), (2, "f", big), (8, "é", "ü" * 99)]
