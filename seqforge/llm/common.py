@@ -155,6 +155,13 @@ def spans_of_words(data: np.ndarray, offs: np.ndarray, is_break: np.ndarray):
     return starts, ends, np.searchsorted(starts, offs)
 
 
+def ascending(x: np.ndarray) -> np.ndarray:
+    """The different values, ascending (a sort; ``np.unique`` hashes, which is
+    many times slower on long arrays)."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> U64(30))

@@ -381,10 +381,10 @@ def distinct(t, text_col: str) -> np.ndarray:
     """The different grams of the texts, ascending."""
     held: list = [np.zeros(0, C.U64)]
     for _, keys, _ in gram_blocks([t], text_col):
-        held.append(np.unique(keys))
+        held.append(C.ascending(keys))
         if sum(map(len, held[1:])) > HELD:
-            held[:] = [np.unique(np.concatenate(held))]
-    return np.unique(np.concatenate(held))
+            held[:] = [C.ascending(np.concatenate(held))]
+    return C.ascending(np.concatenate(held))
 
 
 def _ask(parts: int, text_col: str):

@@ -70,12 +70,7 @@ def grams(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
     out = np.split(h[:len(at)], np.cumsum(np.bincount(doc, minlength=len(words)))[:-1]) if len(words) else []
     for i, x in zip(short, h[len(at):]):
         out[i] = np.array([x])
-    return [ascending(x) for x in out]
-
-
-def ascending(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+    return [C.ascending(x) for x in out]
 
 
 def _sets(n: int, text_col: str, out: pa.Schema):

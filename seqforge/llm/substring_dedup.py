@@ -46,7 +46,7 @@ def _emit(window: int, buckets: int, id_col: str, text_col: str):
     def run(key, t):
         C.release()
         *_, h = _windows(t.column(text_col), t.column(id_col), window)
-        h = np.unique(h)
+        h = C.ascending(h)
         cut = C.hash_ranges(h, buckets)
         full = np.flatnonzero(np.diff(cut))
         return pa.Table.from_arrays([
