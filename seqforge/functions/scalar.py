@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from seqforge.functions.alphabet import ALLELE_STEPS, GAP, RESIDUES
 
-STRIP = r"^\s+|\s+\z"
+#: What :func:`strip` takes off: blank, tab, line feed, vertical tab, form feed, carriage return.
+SPACES = " \t\n\x0b\f\r"
 
 
 def _c(c) -> Column:
@@ -17,7 +18,7 @@ def _c(c) -> Column:
 
 def strip(c) -> Column:
     """Without leading and trailing blanks, tabs and line breaks."""
-    return F.regexp_replace(_c(c), STRIP, "")
+    return F.btrim(_c(c), F.lit(SPACES))
 
 
 # P5 ------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqforge.functions.scalar import strip
@@ -76,11 +76,7 @@ def clean_with_rejects(df: DataFrame, cols: list[str], max_len: int = 34):
     ``(kept, rejected, counts)``: three lazy plans over one tagged plan;
     ``rejected`` keeps its ``reject_reason`` (invalid rows before too-long
     rows when ordered by it) and ``counts`` has one row per outcome."""
-    d = df.select(*[strip(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
-    invalid = ~_all_valid(cols)
-    lens = [F.length(c) for c in cols]
-    too_long = (F.greatest(*lens) if len(lens) > 1 else lens[0]) > max_len
-    tagged = d.withColumn("reject_reason", F.when(invalid, "invalid").when(too_long, "too_long"))
+    tagged = tag_rejects(df, cols, max_len)
     kept = tagged.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     rejected = tagged.filter(F.col("reject_reason").isNotNull())
     counts = tagged.groupBy(F.coalesce("reject_reason", F.lit("kept")).alias("outcome")) \
@@ -88,6 +84,23 @@ def clean_with_rejects(df: DataFrame, cols: list[str], max_len: int = 34):
     return kept, rejected, counts
 
 
+def tag_rejects(df: DataFrame, cols: list[str], max_len: int = 34) -> DataFrame:
+    """Every row with its sequence columns trimmed and its ``reject_reason``
+    (null: kept); works on streams."""
+    d = df.select(*[strip(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
+    lens = [F.length(c) for c in cols]
+    too_long = (F.greatest(*lens) if len(lens) > 1 else lens[0]) > max_len
+    return d.withColumn("reject_reason", F.when(~_all_valid(cols), "invalid").when(too_long, "too_long"))
+
+
+def observe_rejects(tagged: DataFrame, name: str = "cleaned") -> tuple[DataFrame, Observation]:
+    """``tagged`` with counts of its outcomes, taken in the pass that writes
+    it: after the write, ``observation.get`` has rows, kept, invalid, too_long."""
+    seen, reason = Observation(name), F.col("reject_reason")
+    return tagged.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(reason.isNull()).alias("kept"),
+                          *[F.count_if(reason == r).alias(r) for r in ("invalid", "too_long")]), seen
+
+
 def _all_valid(cols):
     ok = is_valid_sequence(cols[0])
     for c in cols[1:]:

@@ -255,22 +255,27 @@ def walk(hop: np.ndarray, first: np.ndarray) -> np.ndarray:
         at = at + hop[at]
 
 
+def token_lists(text: pa.Array, tables: dict[int, np.ndarray], alphabet: str, overlap: bool, pair: bool = False) -> pa.Array:
+    """The tokens of each text of a batch: the choice at every letter, or a
+    walk by the chosen lengths; a null text has null tokens."""
+    data, start, first, points = A.letters(text)
+    rows = first
+    if pair:
+        gap = np.flatnonzero(points == ord(GAP))
+        bad = np.diff(np.searchsorted(gap, first)) != 1
+        if bad.any():
+            raise ValueError(f"expected one hyphen: {text[int(np.argmax(bad))]}")
+        first = np.sort(np.concatenate([first, gap, gap + 1]))
+    hop = choose(points, first, tables, alphabet)
+    at = np.arange(len(hop)) if overlap else walk(hop, first)
+    return A.string_lists(data, start, at, hop[at], np.searchsorted(at, rows), np.asarray(text.is_null()))
+
+
 def _tokenize(df: DataFrame, col: str, key_cols: list[str], tables: dict[int, np.ndarray], alphabet: str,
               overlap: bool, pair: bool = False) -> DataFrame:
     def run(batches):
         for b in A.blocks(batches, "_text"):
-            text = b.column(b.num_columns - 1)
-            data, start, first, points = A.letters(text)
-            rows = first
-            if pair:
-                gap = np.flatnonzero(points == ord(GAP))
-                bad = np.diff(np.searchsorted(gap, first)) != 1
-                if bad.any():
-                    raise ValueError(f"expected one hyphen: {text[int(np.argmax(bad))]}")
-                first = np.sort(np.concatenate([first, gap, gap + 1]))
-            hop = choose(points, first, tables, alphabet)
-            at = np.arange(len(hop)) if overlap else walk(hop, first)
-            tokens = A.string_lists(data, start, at, hop[at], np.searchsorted(at, rows), np.asarray(text.is_null()))
+            tokens = token_lists(b.column(b.num_columns - 1), tables, alphabet, overlap, pair)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], tokens], names=[*key_cols, "tokens"])
     src = df.select(*key_cols, F.col(col).alias("_text"))
     out = ST.StructType([*src.schema.fields[:-1], ST.StructField("tokens", ST.ArrayType(ST.StringType()))])

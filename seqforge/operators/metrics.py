@@ -469,13 +469,15 @@ def running_average(df: DataFrame, key: str, value: str, n: str | None = None, s
              .withColumn("average", F.col("total") / F.col("count"))
 
 
-def cumulative_average(df: DataFrame, key: str, order: str, value: str, scale: int = 6) -> DataFrame:
+def cumulative_average(df: DataFrame, key: str, order: str, value: str, scale: int = 6, keep_sums: bool = False) -> DataFrame:
     """Running average along ``order`` per key (range-bucketed windows,
-    exact decimal running sums)."""
+    exact decimal running sums; ``keep_sums`` adds them as cum_total and cum_count)."""
     d = df.withColumn("_one", F.lit(1)).withColumn("_v", exact(F.col(value), scale))
     r = running(d, [key], [F.col(order)], sums=("_v", "_one"))
-    return r.withColumn("running_avg", F.col("cum__v").cast("double") / F.col("cum__one")) \
-            .drop("_one", "_v", "cum__one", "_one_total", "cum__v", "_v_total")
+    r = r.withColumn("running_avg", F.col("cum__v").cast("double") / F.col("cum__one"))
+    if keep_sums:
+        r = r.withColumn("cum_total", F.col("cum__v")).withColumn("cum_count", F.col("cum__one"))
+    return r.drop("_one", "_v", "cum__one", "_one_total", "cum__v", "_v_total")
 
 
 # G21 -----------------------------------------------------------------------
@@ -532,6 +534,53 @@ def steps_per_second(df: DataFrame, key: str, ts: str, step: str) -> DataFrame:
 def dataset_fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
     """Order-free fingerprint: row count and the sum of 60-bit md5 prefixes
     of each row's ``\\x1f``-joined text (exact decimal sum, as text)."""
-    row = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
+    row = row_text(cols)
     h = F.conv(F.substr(F.md5(row), F.lit(1), F.lit(15)), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("string").alias("fingerprint"))
+
+
+def row_text(cols: list[str]) -> Column:
+    """A row as text: ``\\x1f``-joined values, each behind its length, and
+    ``-`` for a null, so different rows have different texts."""
+    return F.concat_ws("\u001f", *[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")),
+                                              F.lit("-")) for c in cols])
+
+
+FANOUT = 64
+
+
+def fingerprint_tree(df: DataFrame, order: list[str], cols: list[str], fanout: int = FANOUT) -> DataFrame:
+    """Ordered fingerprint as a hash tree: ``(level, node, n_rows, first, hash)``.
+
+    A row's place is its rank along ``order`` (range-bucketed), its leaf hash
+    the md5 of :func:`row_text`.  A node of level k covers ``fanout ** k``
+    consecutive places and hashes its children's hashes in order; the highest
+    level has one node, the fingerprint of the table.  So the tree depends on
+    the rows and their order alone, not on partitions; nodes are aggregates of at most
+    ``fanout`` values, and two trees differ exactly in the nodes above rows
+    that differ (:func:`changed_ranges`).  ``first`` is the place of a node's
+    first row.  Rows of equal ``order`` are ordered by their text.  Level 0 is not
+    returned; an empty table has no nodes."""
+    rows = df.select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], F.md5(row_text(cols)).alias("_leaf")) \
+        .withColumn("_one", F.lit(1).cast("long"))
+    placed = running(rows, [], [*[f"_o{i}" for i in range(len(order))], "_leaf"], sums=("_one",))
+    level = placed.select((F.col("cum__one") - 1).alias("node"), F.lit(1).cast("long").alias("n_rows"), F.col("_leaf").alias("hash"))
+    total, out, k, width = df.count(), None, 0, 1  # a scalar: the number of levels
+    while total and (width < total or k == 0):
+        k, width = k + 1, width * fanout
+        parent = F.floor(F.col("node") / fanout)
+        level = level.groupBy(parent.cast("long").alias("node")).agg(
+            F.sum("n_rows").alias("n_rows"), F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("_c"))
+        level = level.select("node", "n_rows", F.md5(F.array_join(F.transform("_c", lambda c: c["hash"]), "\n")).alias("hash"))
+        part = level.select(F.lit(k).alias("level"), "node", "n_rows", (F.col("node") * width).alias("first"), "hash")
+        out = part if out is None else out.unionByName(part)
+    return out if out is not None else level.limit(0).select(F.lit(1).alias("level"), "node", "n_rows", F.col("node").alias("first"), "hash")
+
+
+def changed_ranges(a: DataFrame, b: DataFrame, level: int = 1) -> DataFrame:
+    """The ranges of places (``first``, ``n_rows`` of both versions) whose nodes
+    at ``level`` differ between two trees of the same fan-out."""
+    def at(t, p):
+        return t.filter(F.col("level") == level).select("first", F.col("hash").alias(f"{p}h"), F.col("n_rows").alias(f"n_rows_{p}"))
+    both = at(a, "a").join(at(b, "b"), "first", "full")
+    return both.filter(~F.col("ah").eqNullSafe(F.col("bh"))).select("first", "n_rows_a", "n_rows_b")

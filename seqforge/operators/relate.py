@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from seqforge.functions.scalar import strip
@@ -96,6 +96,18 @@ def dedupe_pairs(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first.select(*keys, "_m._row.*")
 
 
+def observed_dedupe(df: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, Observation, Observation]:
+    """J4 with its report: after the result is written, the observations have
+    the rows ``before`` (all, and with a blank key) and ``after``, counted in
+    the same pass."""
+    before, after = Observation("before"), Observation("after")
+    blank = F.lit(False)
+    for k in keys:
+        blank = blank | F.coalesce(F.length(strip(F.col(k))) == 0, F.lit(True))
+    d = df.observe(before, F.count(F.lit(1)).alias("rows"), F.count_if(blank).alias("blank_keys"))
+    return dedupe_pairs(d, keys, order).observe(after, F.count(F.lit(1)).alias("rows")), before, after
+
+
 # J5 ------------------------------------------------------------------------
 def zip_by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> DataFrame:
     """Record i of ``a`` with record i of ``b`` (positions by the given
@@ -108,6 +120,20 @@ def zip_by_position(a: DataFrame, b: DataFrame, order_a: str, order_b: str) -> D
     return pos(a, order_a, "a_").join(pos(b, order_b, "b_"), "position", "inner")
 
 
+def zip_report(zipped: DataFrame, id_a: str = "a_id", id_b: str = "b_id", text_a: str | None = None,
+               text_b: str | None = None) -> tuple[DataFrame, Observation]:
+    """J5's pairs with ``id_mismatch`` and, given two texts, ``length_mismatch``
+    (null-safe); the observation counts pairs and mismatches in the pass
+    that writes them."""
+    seen = Observation("zipped")
+    out = zipped.withColumn("id_mismatch", ~F.col(id_a).eqNullSafe(F.col(id_b)))
+    flags = ["id_mismatch"]
+    if text_a and text_b:
+        out = out.withColumn("length_mismatch", ~F.length(text_a).eqNullSafe(F.length(text_b)))
+        flags.append("length_mismatch")
+    return out.observe(seen, F.count(F.lit(1)).alias("pairs"), *[F.count_if(F.col(c)).alias(c) for c in flags]), seen
+
+
 # J6 ------------------------------------------------------------------------
 def apply_on_distinct(df: DataFrame, key: str, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Compute ``fn`` once per distinct ``key`` value and join the result

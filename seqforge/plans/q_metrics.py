@@ -293,12 +293,14 @@ def q_g20(spark, d):
 
 
 @register("g20_cumulative_average", sql=V.with_views("steps") + """
-SELECT key, step, round(CAST(sum(CAST(value AS DECIMAL(38, 6))) OVER w AS DOUBLE) / count(*) OVER w, 6) AS running_avg
+SELECT key, step, floor(CAST(sum(CAST(value AS DECIMAL(38, 6))) OVER w * 1000000 AS BIGINT)::DOUBLE / count(*) OVER w) / 1000000 AS running_avg
 FROM steps WINDOW w AS (PARTITION BY key ORDER BY step ROWS UNBOUNDED PRECEDING)""")
 def q_g20c(spark, d):
-    """Running average along the step order per key."""
-    c = G.cumulative_average(V.steps(spark, d), "key", "step", "value")
-    return _r6(c.select("key", "step", "running_avg"), ["running_avg"])
+    """Running average along the step order per key, in whole millionths
+    (rounding a double at a half differs between engines)."""
+    c = G.cumulative_average(V.steps(spark, d), "key", "step", "value", keep_sums=True)
+    units = F.round(F.col("cum_total").cast("double") * 1000000).cast("long").cast("double")
+    return c.select("key", "step", (F.floor(units / F.col("cum_count")).cast("double") / 1000000.0).alias("running_avg"))
 
 
 _EPOCH_SQL = ("SELECT l_linenumber AS fold, l_orderkey AS epoch, l_discount AS m1, l_tax AS m2, "
@@ -347,14 +349,28 @@ def q_g23(spark, d):
     return _r6(G.steps_per_second(s, "key", "ts", "step"), ["steps_per_sec"])
 
 
-@register("g24_dataset_fingerprint", sql=V.with_views("seqs") + """
-SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws(chr(31), CAST(doc_id AS VARCHAR),
-       coalesce(sequence, ''))), 1, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint FROM seqs""")
+_ROW_SQL = ("concat_ws(chr(31), coalesce(length(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'), "
+            "coalesce(length(sequence) || ':' || sequence, '-'))")
+
+
+@register("g24_dataset_fingerprint", sql=V.with_views("seqs") + f"""
+SELECT count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(md5({_ROW_SQL}), 1, 15)) AS BIGINT)) AS VARCHAR) AS fingerprint FROM seqs""")
 def q_g24(spark, d):
     """Order-free fingerprint of the sequence table."""
     return G.dataset_fingerprint(V.seqs(spark, d), ["doc_id", "sequence"])
 
 
+@register("g24_fingerprint_tree", sql=V.with_views("seqs", extra=[
+    ("l0", f"SELECT row_number() OVER (ORDER BY doc_id, md5({_ROW_SQL})) - 1 AS node, 1 AS n, md5({_ROW_SQL}) AS h FROM seqs"),
+    *[(f"l{k}", f"SELECT node // {G.FANOUT} AS node, sum(n) AS n, md5(string_agg(h, chr(10) ORDER BY node)) AS h FROM l{k - 1} GROUP BY 1")
+      for k in range(1, 6)]]) + " UNION ALL ".join(
+    f"SELECT {k} AS level, node, CAST(n AS BIGINT) AS n_rows, CAST(node * {G.FANOUT ** k} AS BIGINT) AS first, h AS hash FROM l{k} "
+    f"WHERE {k} = 1 OR (SELECT count(*) FROM l{k - 1}) > 1" for k in range(1, 6)))
+def q_g24t(spark, d):
+    """The ordered fingerprint of the sequence table, as a hash tree over places."""
+    return G.fingerprint_tree(V.seqs(spark, d), ["doc_id"], ["doc_id", "sequence"])
+
+
 @register("g17_c_index", sql=V.with_views("reg", extra=[
     ("d", "SELECT l_linenumber, y, p, count(*) AS c FROM reg WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY ALL"),
     ("ys", "SELECT DISTINCT l_linenumber, y AS v FROM d"),
