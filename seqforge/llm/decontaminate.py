@@ -8,8 +8,9 @@ sparse: a suffix whose first words (as many as the shortest window has, two at
 most) begin no benchmark suffix can match nothing and is left out.
 
 No text is shuffled.  The benchmark is sent to the tasks in blocks of measured
-size (``BLOCK_BYTES`` of text each), one pass of tasks per block, so the
-memory of a task does not grow with the benchmark.
+size (``BLOCK_BYTES`` of text each).  If there are several, the state of the
+documents is written after each one and its block released before the next, so
+neither the driver nor a task ever holds more than one block.
 """
 
 from __future__ import annotations
@@ -243,7 +244,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_
     out = docs.select("*", *[F.lit(None).cast(scan[c].dataType).alias(c) for c in ("_n", *STATE)])
     for k in range(blocks):
         rows = [(r.i, r.t) for r in items.filter(F.col("block") == k).collect()]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(rows), text_col, window), scan)
+        sent = spark.sparkContext.broadcast(rows)
+        out = out.mapInArrow(_scan(sent, text_col, window), scan)
+        if blocks > 1:
+            out = C.stored(out, f"decontaminate-{k}")
+            sent.destroy()
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     final = C.added_schema(docs, ("n_words", T.LongType()), ("n_hit", T.LongType()), ("items", T.ArrayType(T.StringType())),
                            ("hits", span), ("longest_match", T.IntegerType()), ("longest_start", T.IntegerType()),

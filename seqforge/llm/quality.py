@@ -30,6 +30,8 @@ MAX_CLASS_DISTANCE = 0.25
 MAX_WORD_DISTANCE = 0.42
 MIN_CHARS, MIN_WORDS = 100, 40
 MIN_SHARE, MIN_REFERENCE_WORDS = 0.005, 1000
+#: Copies of a language's sums that its words are dealt to.
+SALT = 64
 ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
          "class_distance", "word_distance", "kept"]
 
@@ -93,7 +95,10 @@ def common_words(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     counts = C.stored(counts, "word-counts")
     sums = counts.groupBy("ref_lang").agg(
         F.sum("n").alias("ref_words"), F.sum(F.when(short(F.col("word")), F.col("n")).otherwise(0)).alias("ref_short"))
-    common = counts.join(sums, "ref_lang").filter(F.col("n") >= F.col("ref_words") * min_share) \
+    # each language's sums in copies by salt: the words of a large one lie in many tasks
+    sums = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    counts = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(SALT)).cast("int"))
+    common = counts.join(sums, ["ref_lang", "salt"]).filter(F.col("n") >= F.col("ref_words") * min_share) \
         .groupBy("ref_lang", "ref_words", "ref_short").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "word"))).alias("top"))
     top = F.transform("top", lambda x: -x["n"] / F.col("ref_words"))
     listed = lambda top: F.aggregate(top, F.lit(0).cast("long"), lambda a, x: a - x["n"])

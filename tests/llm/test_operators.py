@@ -314,3 +314,11 @@ def test_pipeline_stages_keep_the_columns(spark):
         left = docs.count()
     final = corpus_pipeline.run(spark, SF)
     assert set(docs.columns) <= set(final.columns) and 0 < final.count() < left
+
+
+def test_decontaminate_in_many_blocks(documents, monkeypatch):
+    """Blocks of the benchmark one after another give what one block gives."""
+    benchmark = common.table(documents.sparkSession, SF, "benchmark")
+    want = rows_of(decontaminate.digest(documents, benchmark))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 8 << 10)
+    assert rows_of(decontaminate.digest(documents, benchmark)) == want
