@@ -191,10 +191,30 @@ def corrupt(df: DataFrame, ids: str, mask: str, keys: list[str], seed: int = 0,
 def mask_report(df: DataFrame, ss: str, mask: str, by: list[str] | None = None, offset: int = 1) -> DataFrame:
     """Per structure tag: positions, masked positions and the rate (per
     ``by`` group if given).  Structure position i is read against mask
-    position i + offset.  One explode and a partial-aggregated count."""
+    position i + offset (beyond the mask: not masked); a row has as many
+    positions as its mask, or its structure if that is shorter.  Each row
+    is counted in its batch and gives one row per tag that it has."""
     cols = by or []
-    n = F.size(mask)
-    d = df.select(*cols, F.posexplode(F.slice(F.split(F.col(ss), ""), 1, n)).alias("_i", "tag"), F.col(mask))
-    d = d.withColumn("_m", F.coalesce(F.try_element_at(F.col(mask), F.col("_i") + 1 + offset), F.lit(False)))
-    return (d.groupBy(*cols, "tag").agg(F.count(F.lit(1)).alias("total"), F.count_if("_m").alias("masked"))
+    src = df.select(*cols, F.col(ss).alias("_ss"), F.col(mask).alias("_mask")).filter("_ss is not null and _mask is not null")
+    schema = ST.StructType([*src.schema.fields[:-2], ST.StructField("tag", ST.StringType()),
+                            ST.StructField("total", ST.LongType()), ST.StructField("masked", ST.LongType())])
+
+    def run(batches):
+        for b in A.blocks(batches, "_ss"):
+            _, _, first, points = A.letters(b.column(b.num_columns - 2))
+            flags, bounds = A.list_values(b.column(b.num_columns - 1))
+            flags = np.append(np.equal(flags, True).astype(bool), False)  # a null flag is not masked
+            size = np.minimum(np.diff(first), np.diff(bounds))
+            row = np.repeat(np.arange(len(size)), size)
+            i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+            at = bounds[row] + i + offset
+            hit = flags[np.where((at >= bounds[row]) & (at < bounds[row + 1]), at, len(flags) - 1)]
+            pairs, to = np.unique(row.astype(np.int64) << 32 | points[first[row] + i], return_inverse=True)
+            own = pa.array(pairs >> 32)
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(own) for c in b.columns[:-2]), pa.array([chr(x) for x in pairs & 0xFFFFFFFF], pa.string()),
+                 pa.array(np.bincount(to, minlength=len(pairs))),
+                 pa.array(np.bincount(to, hit, minlength=len(pairs)).astype(np.int64))], names=schema.names)
+    d = src.mapInArrow(run, schema)
+    return (d.groupBy(*cols, "tag").agg(F.sum("total").alias("total"), F.sum("masked").alias("masked"))
               .withColumn("rate", F.col("masked") / F.col("total")))

@@ -172,6 +172,14 @@ def argmax_index(scores: Column) -> Column:
     return F.size(scores) - F.array_position(F.reverse(scores), mx)
 
 
+def _letter_scores(submat: DataFrame, letters: list[str], a: str, b: str, out: str) -> DataFrame:
+    """The scores of pairs of ``letters``, one row per pair (the largest, should
+    a pair be listed twice): at most ``len(letters) ** 2`` rows, whatever table
+    the caller gives."""
+    known = submat.filter(F.col("aa1").isin(letters) & F.col("aa2").isin(letters))
+    return known.groupBy(F.col("aa1").alias(a), F.col("aa2").alias(b)).agg(F.max("score").alias(out))
+
+
 def masked_topn(df: DataFrame, submat: DataFrame | None, n: int = 3, scores: str = "scores",
                 truth: str = "truth", tokens: list[str] | None = None) -> DataFrame:
     """Over positions whose label is not -100: top-1 and top-n accuracy and
@@ -186,8 +194,7 @@ def masked_topn(df: DataFrame, submat: DataFrame | None, n: int = 3, scores: str
     d = d.withColumn("_ta", F.try_element_at(tok_map, F.col(truth))) \
          .withColumn("_pa", F.try_element_at(tok_map, F.col("_top1")))
     if submat is not None:
-        d = d.join(F.broadcast(submat.select(F.col("aa1").alias("_ta"), F.col("aa2").alias("_pa"),
-                                             F.col("score").alias("_sub"))), ["_ta", "_pa"], "left")
+        d = d.join(F.broadcast(_letter_scores(submat, toks, "_ta", "_pa", "_sub")), ["_ta", "_pa"], "left")
     else:
         d = d.withColumn("_sub", F.lit(None).cast("double"))
     agg = d.agg(F.count(F.lit(1)).alias("n_scored"), F.count_if(F.col("_b") == 0).alias("_c1"),
@@ -226,8 +233,7 @@ def string_identity(df: DataFrame, submat: DataFrame | None, pred: str = "pred",
             .withColumn("pa", F.try_element_at(F.col("_p"), F.col("_i") + 1))
             .withColumn("pa", F.when(F.col("pa") != "", F.col("pa"))))
     if submat is not None:
-        pos = pos.join(F.broadcast(submat.select(F.col("aa1").alias("la"), F.col("aa2").alias("pa"),
-                                                 F.col("score").alias("_s"))), ["la", "pa"], "left")
+        pos = pos.join(F.broadcast(_letter_scores(submat, list(RESIDUES), "la", "pa", "_s")), ["la", "pa"], "left")
     else:
         pos = pos.withColumn("_s", F.lit(None).cast("double"))
     m = pos.agg(F.count_if(F.col("pa") == F.col("la")).alias("matches"),
@@ -505,13 +511,11 @@ def stop_point(df: DataFrame, key: str, step: str, value: str, patience: int = 5
     best-before and the last improvement; no window holds a whole key."""
     v = F.col(value) if greater_is_better else -F.col(value)
     d = df.withColumn("_v", v.cast("double")).withColumn("_one", F.lit(1))
-    r = running(d, [key], [F.col(step)], maxes=("_v",), inclusive=False)
-    r = r.withColumnRenamed("runmax__v", "_best_before")
-    r = running(r, [key], [F.col(step)], sums=("_one",))   # position in the key
-    improved = F.col("_best_before").isNull() | (F.col("_v") > F.col("_best_before"))
-    r = r.withColumn("_imp_pos", F.when(improved, F.col("cum__one")))
+    r = running(d, [key], [F.col(step)], maxes=("_v",), sums=("_one",), inclusive=False)
+    improved = F.col("runmax__v").isNull() | (F.col("_v") > F.col("runmax__v"))
+    r = r.select(key, step, (F.col("cum__one") + 1).alias("_pos"), F.when(improved, F.col("cum__one") + 1).alias("_imp_pos"))
     r = running(r, [key], [F.col(step)], maxes=("_imp_pos",))
-    streak = F.col("cum__one") - F.col("runmax__imp_pos")
+    streak = F.col("_pos") - F.col("runmax__imp_pos")
     hits = r.filter(streak >= patience)
     keys = df.select(key).distinct()
     first = hits.groupBy(key).agg(F.min(step).alias("stop_step"))

@@ -136,3 +136,26 @@ def test_embedding_store(spark, tmp_path):
     m = S.read_matrices(again.filter("doc_id = 4"), path, "substitution")
     assert m.count() == 2000 and m.select("window").distinct().count() == 2000
     assert S.read_matrices(again, path, "other").count() == 0
+
+
+def test_mask_report(spark):
+    from seqforge.operators import masking as M
+    rows = [("a", "HEC", [True, True, False, True]), ("a", "HHHHH", [False, True]), ("b", "", [True]), ("b", None, [True]),
+            ("b", "CC", None), ("b", "Cx", [None, True, True])]
+    df = spark.createDataFrame(rows, "g string, ss string, mask array<boolean>")
+    for offset in (0, 1):
+        want = {}
+        for g, ss, mask in rows:
+            for i, tag in enumerate((ss or "")[:len(mask or [])]):
+                t = want.setdefault((g, tag), [0, 0])
+                t[0] += 1
+                t[1] += i + offset < len(mask) and mask[i + offset] is True
+        got = {(r.g, r.tag): [r.total, r.masked] for r in M.mask_report(df, "ss", "mask", ["g"], offset).collect()}
+        assert got == want
+
+
+def test_letter_scores_are_bounded(spark):
+    table = spark.createDataFrame([("A", "A", 1.0), ("A", "A", 4.0), ("?", "A", 9.0), ("A", "long", 9.0)], "aa1 string, aa2 string, score double")
+    df = spark.createDataFrame([("A A", "AA")], "pred string, label string")
+    row = G.string_identity(df, table).first()
+    assert (row.matches, row.total, row.mean_substitution) == (2, 2, 4.0)
