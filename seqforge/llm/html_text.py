@@ -5,12 +5,21 @@ The builder turns any input into balanced open and close events (it never
 fails on broken markup); the renderer keeps one text buffer per table cell, so
 cells can be aligned when their table closes.  Neither recurses, so nesting is
 limited by memory only.  Each page is a row of its own: no shuffle.
+
+Time and text stay in proportion to the page, whatever it nests: open elements
+are found by name, not by a walk up the stack; a column is only as wide as its
+cells up to WIDE characters (wider ones are set without padding); a row that
+would be mostly blanks has its cells one below another; tables nested deeper
+than NESTED are set as blocks, lists are indented up to INDENT levels.  None of
+these bounds drops any text.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,11 +27,16 @@ from pyspark.sql import types as T
 
 from seqforge.llm import common as C
 
-TAG = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"""
-    r"""|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"""
-    r"""|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
-    r"""|<(?P<loose>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)(?:>|\Z)""", re.S)
+MARKUP = r"""<!--.*?(?:--!?>|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|</(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)"""
+QUOTED = r"""|<(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+)>"""
+LOOSE = r"""|<(?P<loose>[a-zA-Z][^\s/>]*+)(?P<rest>[^>]*+)(?:>|\Z)"""
+TAG, LOOSE_TAG = re.compile(MARKUP + QUOTED + LOOSE, re.S), re.compile(MARKUP + LOOSE + r"|(?P<start>(?!))(?P<attrs>)", re.S)
+#: Tags whose quotes never close, each read to the end of the page in vain, after which tags end at the first ``>``.
+UNCLOSED = 64
+#: Characters up to which a cell counts for the width of its column; padded
+#: characters of a row for each of its own characters and cells; tables inside
+#: one another that are aligned; levels of list indent.
+WIDE, FILL, NESTED, INDENT = 80, 100, 16, 16
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANK = re.compile(r"[ \t\n\f\r]+")
 NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
@@ -95,30 +109,37 @@ class Buffer:
 
 
 class Table:
-    def __init__(self):
+    def __init__(self, flat: bool):
+        self.flat = flat
         self.rows: list[list[tuple[str, int]]] = []
 
     def lines(self) -> list[str]:
         """Cells of one line each are padded to the width of their column;
-        cells of several lines are set line by line beside one another."""
-        rows = [r for r in self.rows if any(t for t, _ in r)]
-        cells = [[(t.split("\n"), span) for t, span in r] for r in rows]
+        cells of several lines are set line by line beside one another, or
+        one below another where that takes over FILL times their text."""
+        cells = [[(t.split("\n"), span) for t, span in r] for r in self.rows if any(t for t, _ in r)]
         width: dict[int, int] = {}
         for r in cells:
             at = 0
             for lines, span in r:
                 if span == 1:
-                    width[at] = max(width.get(at, 0), max(map(len, lines)))
+                    width[at] = max(width.get(at, 0), max((len(x) for x in lines if len(x) <= WIDE), default=0))
                 at += span
+        columns = sorted(width)
+        sums = [0, *accumulate(width[c] for c in columns)]
         out = []
         for r in cells:
-            for k in range(max(len(lines) for lines, _ in r)):
-                at, parts = 0, []
-                for lines, span in r:
-                    room = sum(width.get(at + i, 0) for i in range(span)) + 3 * (span - 1)
-                    parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                    at += span
-                out.append(" | ".join(parts).rstrip())
+            at, rooms = 0, []
+            for _, span in r:
+                first, last = bisect_left(columns, at), bisect_left(columns, at + span)
+                rooms.append(sums[last] - sums[first] + 3 * max(last - first - 1, 0))
+                at += span
+            high = max(len(lines) for lines, _ in r)
+            if high * (sum(rooms) + 3 * len(r)) > FILL * sum(sum(map(len, lines)) + 1 for lines, _ in r):
+                out.extend(x for lines, _ in r for x in lines if x)
+                continue
+            for k in range(high):
+                out.append(" | ".join((lines[k] if k < len(lines) else "").ljust(room) for (lines, _), room in zip(r, rooms)).rstrip())
         return out
 
 
@@ -138,17 +159,20 @@ class Page:
         self.buffers = [Buffer()]
         self.tables: list[Table] = []
         self.cells = 0
-        self.lists = 0
+        #: Open elements by name (places in the stack), open lists, and shown selects.
+        self.places: dict[str, list[int]] = {}
+        self.lists: list[Element] = []
+        self.selects: list[Element] = []
 
     # -- tree builder
 
     def find(self, names, stops) -> int:
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name in names:
-                return i
-            if self.stack[i].name in stops:
-                return 0
-        return 0
+        """Place of the innermost open element of ``names``, 0 if one of ``stops`` is inside it."""
+        at = self.innermost(names)
+        return at if at and at >= self.innermost(stops) else 0
+
+    def innermost(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
 
     def leave_head(self) -> None:
         """The implied end of a head that is the innermost element."""
@@ -168,6 +192,8 @@ class Page:
             return
         if name in ("html", "body") and self.find({name}, ()):
             return
+        if name == "select" and (at := self.find({name}, ())):
+            return self.close_to(at)
         if name not in IN_HEAD:
             self.leave_head()
         if name in CLOSES_P and (at := self.find({"p"}, SCOPE | {"li", "dd", "dt"} - {"p"})):
@@ -209,6 +235,7 @@ class Page:
         e.visible = said[-1] if said else up.visible
         e.foreign = name in ("svg", "math") or up.foreign and name not in HOLDS_HTML
         e.muted = name == "svg" or up.muted and name not in ("text", "foreignobject")
+        self.places.setdefault(name, []).append(len(self.stack))
         self.stack.append(e)
         if not shown:
             return
@@ -220,9 +247,11 @@ class Page:
             size = attrs.get("size") or "1"
             many = "multiple" in attrs or re.fullmatch(r"0*[1-9][0-9]+|0*[2-9]", size) is not None
             e.options, e.chosen = [], (None if many else -1)
+            self.selects.append(e)
             self.buffers.append(Buffer())
             return
-        if name == "option" and (owner := self.select()) is not None:
+        if name == "option" and self.selects:
+            owner = self.selects[-1]
             owner.options.append([attrs.get("label") or "", e.visible, "selected" in attrs, "disabled" in attrs])
             e.options = owner.options[-1]
             self.buffers.append(Buffer())
@@ -232,19 +261,22 @@ class Page:
         elif name in BLOCK and name not in ("td", "th"):
             b.block(2 if name in PARAGRAPH and not (name in ("ul", "ol") and self.lists) else 1)
         if name in ("ul", "ol", "menu"):
-            self.lists += 1
+            self.lists.append(e)
             start = attrs.get("start") or "1"
             e.count = (int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1) if name == "ol" else None
         elif name == "li":
-            owner = next((x for x in reversed(self.stack[:-1]) if x.name in ("ul", "ol", "menu")), None)
+            owner = self.lists[-1] if self.lists else None
             mark = "- "
             if owner is not None and owner.count is not None:
                 mark, owner.count = f"{owner.count}. ", owner.count + 1
             if e.visible:
-                b.prefix = "  " * max(self.lists - 1, 0) + mark
+                b.prefix = "  " * min(max(len(self.lists) - 1, 0), INDENT) + mark
         elif name == "table":
-            e.table = Table()
+            e.table = Table(len(self.tables) >= NESTED)
             self.tables.append(e.table)
+        elif name in ("tr", "td", "th") and self.tables and self.tables[-1].flat:
+            b.block(1)
+            self.cells += e.visible and name != "tr"
         elif name == "tr" and self.tables:
             self.tables[-1].rows.append([])
         elif name in ("td", "th") and self.tables:
@@ -254,14 +286,12 @@ class Page:
             self.buffers.append(e.buffer)
             self.cells += e.visible
 
-    def select(self) -> Element | None:
-        """The shown select that the innermost element lies in."""
-        return next((x for x in reversed(self.stack[:-1]) if x.options is not None and x.name == "select"), None)
-
     def pop_choice(self, e: Element) -> None:
         """A list shows all options, any other select the last one chosen or
         else the first that can be."""
         own = self.buffers.pop()
+        if e.name == "select":
+            self.selects.pop()
         b = self.buffers[-1]
         if e.name == "option":
             e.options[0] = e.options[0] or own.text()
@@ -282,6 +312,7 @@ class Page:
 
     def pop(self) -> None:
         e = self.stack.pop()
+        self.places[e.name].pop()
         if not e.shown:
             return
         if self.stack[-1].foreign:
@@ -290,7 +321,7 @@ class Page:
         if e.options is not None:
             return self.pop_choice(e)
         if e.name in ("ul", "ol", "menu"):
-            self.lists -= 1
+            self.lists.pop()
         if e.buffer is not None:
             self.buffers.pop()
             rows = self.tables[-1].rows
@@ -338,9 +369,9 @@ def attributes(raw: str) -> dict:
 def extract(html: str | None) -> tuple[str, int]:
     """(visible text, table cells) of a page."""
     page, at, html = Page(), 0, html or ""
-    size = len(html)
+    size, unclosed = len(html), 0
     while at < size:
-        m = TAG.search(html, at)
+        m = (TAG if unclosed < UNCLOSED else LOOSE_TAG).search(html, at)
         if m is None:
             page.text(html[at:])
             break
@@ -349,6 +380,7 @@ def extract(html: str | None) -> tuple[str, int]:
         at = m.end()
         if (name := m["start"] or m["loose"]) is not None:
             name, raw = name.lower(), m["attrs"] if m["start"] else m["rest"]
+            unclosed += m["loose"] is not None
             if name == "plaintext":
                 page.open("pre", {})
                 page.text(html[at:], plain=True)
