@@ -86,3 +86,21 @@ def test_op10_updates_are_those_of_plain_ftrl():
     assert {int(i): n[i] for i in np.flatnonzero(n)} == pytest.approx({i: q for i, q in nn.items() if q})
     got = classifier.weights(z, n)
     assert [got[i] for i in zz] == pytest.approx([weight(i) for i in zz])
+
+
+def test_pipeline_on_odd_and_no_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows and an empty table pass through all stages."""
+    import corpus_pipeline
+    from seqforge.llm import common
+    from tests.conftest import SF
+    docs = common.table(spark, SF, "documents")
+    odd = docs.limit(60).unionByName(docs.limit(20)).unionByName(docs.limit(3).withColumn("doc_id", F.lit(None).cast("long"))) \
+        .unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("lang", F.lit(None).cast("string")))
+    for name, rows in (("odd", odd), ("none", docs.filter("false"))):
+        sf = str(tmp_path / name)
+        rows.write.parquet(f"{sf}/documents.parquet")
+        common.table(spark, SF, "benchmark").write.parquet(f"{sf}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        assert set(docs.columns) <= set(out.columns)
+        got = out.collect()
+        assert (not got) if name == "none" else 0 < len(got) < rows.count()
