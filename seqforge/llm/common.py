@@ -250,6 +250,110 @@ def hash_ranges(values: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(values, at), len(values))
 
 
+def cut_by_bits(values: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes cut by their highest ``bits`` bits: the ranges that
+    have any, and their bounds (one more)."""
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(1, np.int64)
+    part = (values >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+    head = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    return part[head], np.append(head, len(values))
+
+
+# ---------------------------------------------------------------- lowest holders
+
+PACKETS = pa.schema([("_range", pa.int64()), ("_chunk", pa.int32()), ("packed", pa.binary())])
+PACKETS_DDL = "_range long, _chunk int, packed binary"
+BITS = pa.schema([("_chunk", pa.int32()), ("_range", pa.int64()), ("bits", pa.binary())])
+BITS_DDL = "_chunk int, _range long, bits binary"
+
+
+def packets(h: np.ndarray, bits: int, chunk: int) -> pa.Table:
+    """Ascending hashes of a chunk, one row per range of the hash space."""
+    part, cut = cut_by_bits(h, bits)
+    return pa.Table.from_arrays([
+        pa.array(part, pa.int64()), pa.array(np.full(len(part), chunk), pa.int32()),
+        pa.array([pack_sorted(h[a:b]) for a, b in zip(cut[:-1], cut[1:])], pa.binary())], schema=PACKETS)
+
+
+def bits_of(h: np.ndarray, bits: int, answers) -> np.ndarray:
+    """The answers to :func:`packets`, one for each of the same hashes."""
+    part, cut = cut_by_bits(h, bits)
+    found = np.zeros(len(h), bool)
+    at = np.searchsorted(part, np.asarray(answers.column("_range")))
+    for i, raw in zip(at.tolist(), answers.column("bits").to_pylist()):
+        a, b = cut[i], cut[i + 1]
+        found[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
+    return found
+
+
+def _merged(t):
+    """The packets of one range by ascending chunk: their table, their bounds,
+    all hashes in order, that order, and which come first of their value."""
+    t = t.sort_by("_chunk")
+    lists = [unpack_sorted(x) for x in t.column("packed").to_pylist()]
+    every = np.concatenate(lists)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    return t, np.cumsum([0, *map(len, lists)]), every, order, np.append(True, every[1:] != every[:-1])
+
+
+def _answer_bits(t, cut, again) -> pa.Table:
+    return pa.Table.from_arrays([
+        t.column("_chunk").cast(pa.int32()), t.column("_range"),
+        pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())], schema=BITS)
+
+
+def _held_here(key, t):
+    t, cut, _, order, new = _merged(t)
+    again = np.empty(len(order), bool)
+    again[order] = ~new
+    return _answer_bits(t, cut, again)
+
+
+def _upward(bits: int):
+    def run(key, t):
+        release()
+        *_, every, _, new = _merged(t)
+        return packets(every[new], bits, key[1].as_py())
+    return run
+
+
+def _downward(bits: int):
+    def run(key, t, answers):
+        release()
+        t, cut, every, order, new = _merged(t)
+        lower = bits_of(every[new], bits, answers)
+        again = np.empty(len(order), bool)
+        again[order] = ~new | lower[np.cumsum(new) - 1]
+        return _answer_bits(t, cut, again)
+    return run
+
+
+def held_lower(sent: DataFrame, chunks: int, bits: int, step: int | None = None) -> DataFrame:
+    """Which hashes does a lower chunk hold too?  ``sent`` has the different
+    hashes of every chunk as :func:`packets` by ``bits`` bits; the answer has a
+    row (_chunk, _range, bits) per packet.
+
+    A task takes the packets of one range from up to 2^step chunks (``step``
+    is ``bits`` unless given).  If there are more chunks, neighbouring ones
+    form a group: its task keeps each hash once, cuts the range further by
+    ``step`` bits and asks the same question among the groups.  So a chunk
+    sends at most 2^bits rows at any size of the input, a task gets at most
+    2^step packets, and the rows of all levels are in proportion to the chunks."""
+    step = step or bits
+    if chunks <= 1 << step:
+        return sent.groupBy("_range").applyInArrow(_held_here, BITS_DDL)
+    groups = -(-chunks >> step)
+    finer = bits + min(step, max(1, (groups - 1).bit_length()))
+    if finer > 48:
+        raise ValueError("more levels than the hashes have bits")
+    sent = sent.withColumn("_group", F.shiftright("_chunk", step))
+    up = sent.groupBy("_range", "_group").applyInArrow(_upward(finer), PACKETS_DDL)
+    down = held_lower(up, groups, finer, step).withColumn("_top", F.shiftright("_range", finer - bits))
+    return sent.groupBy("_range", "_group").cogroup(down.groupBy("_top", "_chunk")).applyInArrow(_downward(finer), BITS_DDL)
+
+
 # ---------------------------------------------------------------- components
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:

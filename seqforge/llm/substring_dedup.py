@@ -3,11 +3,12 @@ counted in Spark; repeated windows merge into maximal removal intervals.
 
 Documents are dealt into chunks of ascending id.  Each chunk hashes all its
 windows, keeps each distinct hash once, and sends the ascending hashes, cut
-into equal ranges of the hash space, to one task per range.  That task marks
-the hashes that a lower chunk holds too (all of whose documents have smaller
-ids) and answers each chunk with one bit per hash.  Ties inside a chunk are
-decided there.  A passage that a third of all documents share is one entry
-per chunk, so no range is hot.
+into a fixed number of ranges of the hash space, to one task per range.  That
+task marks the hashes that a lower chunk holds too (all of whose documents have
+smaller ids) and answers each chunk with one bit per hash; beyond 2^8 chunks
+(1 GB of text) it asks a level of such tasks over groups of chunks
+(``common.held_lower``).  Ties inside a chunk are decided there.  A passage
+that a third of all documents share is one entry per chunk, so no range is hot.
 
 Hashes are polynomial, modulo 2^64, over 64-bit word codes: among n windows
 about n^2 / 2^62 pairs of different windows are expected to agree.
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 
 from seqforge.llm import common as C
 
+#: A chunk cuts its hashes into 2^RANGE_BITS ranges, however large the input is.
+RANGE_BITS = 8
 ADDED = ["n_words", "n_removed", "removed", "kept_text", "kept_sha256"]
 
 
@@ -40,47 +43,21 @@ def _windows(texts, ids, window: int):
     return data, starts, ends, first, at, doc, C.range_hash(C.rolling(codes), at, at + window)
 
 
-def _emit(window: int, buckets: int, id_col: str, text_col: str):
-    schema = pa.schema([("_range", pa.int32()), ("_chunk", pa.int32()), ("packed", pa.binary())])
-
+def _emit(window: int, bits: int, id_col: str, text_col: str):
     def run(key, t):
         C.release()
         *_, h = _windows(t.column(text_col), t.column(id_col), window)
-        h = C.ascending(h)
-        cut = C.hash_ranges(h, buckets)
-        full = np.flatnonzero(np.diff(cut))
-        return pa.Table.from_arrays([
-            pa.array(full, pa.int32()), pa.array(np.full(len(full), key[0].as_py()), pa.int32()),
-            pa.array([C.pack_sorted(h[cut[i]:cut[i + 1]]) for i in full], pa.binary())], schema=schema)
+        return C.packets(C.ascending(h), bits, key[0].as_py())
     return run
 
 
-def _count(key, t):
-    """One range of the hash space: which hashes of a chunk does a lower chunk hold?"""
-    t = t.sort_by("_chunk")
-    lists = [C.unpack_sorted(x) for x in t.column("packed").to_pylist()]
-    every = np.concatenate(lists)
-    order = np.argsort(every, kind="stable")
-    again = np.zeros(len(every), bool)
-    again[order[1:]] = every[order[1:]] == every[order[:-1]]
-    cut = np.cumsum([0, *map(len, lists)])
-    return pa.Table.from_arrays([
-        t.column("_chunk").combine_chunks().cast(pa.int32()), pa.array([key[0].as_py()] * len(lists), pa.int32()),
-        pa.array([np.packbits(again[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-        schema=pa.schema([("_chunk", pa.int32()), ("_range", pa.int32()), ("bits", pa.binary())]))
-
-
-def _apply(window: int, buckets: int, id_col: str, text_col: str, out_schema: pa.Schema):
+def _apply(window: int, bits: int, id_col: str, text_col: str, out_schema: pa.Schema):
     def run(key, t, answers):
         C.release()
         ids = t.column(id_col)
         data, starts, ends, first, at, doc, h = _windows(t.column(text_col), ids, window)
         uniq, inverse = np.unique(h, return_inverse=True)
-        cut = C.hash_ranges(uniq, buckets)
-        lower = np.zeros(len(uniq), bool)
-        for r, bits in zip(answers.column("_range").to_pylist(), answers.column("bits").to_pylist()):
-            n = cut[r + 1] - cut[r]
-            lower[cut[r]:cut[r + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
+        lower = C.bits_of(uniq, bits, answers)
         _, rank = np.unique(np.asarray(ids.fill_null(0)), return_inverse=True)
         rank = rank[doc]
         least = np.full(len(uniq), np.iinfo(np.int64).max)
@@ -104,7 +81,8 @@ def _apply(window: int, buckets: int, id_col: str, text_col: str, out_schema: pa
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", text_col: str = "text",
+                    range_bits: int = RANGE_BITS, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """Remove every word covered by a window of ``window`` consecutive words
     that also starts in a document with a smaller id.
 
@@ -117,16 +95,14 @@ def substring_dedup(docs: DataFrame, window: int = 50, id_col: str = "doc_id", t
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     docs = C.without(docs, ADDED)
-    dealt, chunks, _ = C.with_chunk(docs, id_col, text_col)
-    buckets = chunks
+    dealt, chunks, _ = C.with_chunk(docs, id_col, text_col, chunk_bytes)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     out = C.added_schema(docs, ("n_words", T.LongType()), ("n_removed", T.LongType()), ("removed", span),
                          ("kept_text", T.StringType()), ("kept_sha256", T.StringType()))
-    sent = dealt.groupBy("_chunk").applyInArrow(
-        _emit(window, buckets, id_col, text_col), "_range int, _chunk int, packed binary")
-    answers = sent.groupBy("_range").applyInArrow(_count, "_chunk int, _range int, bits binary")
+    sent = dealt.groupBy("_chunk").applyInArrow(_emit(window, range_bits, id_col, text_col), C.PACKETS_DDL)
+    answers = C.held_lower(sent, chunks, range_bits)
     return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(
-        _apply(window, buckets, id_col, text_col, to_arrow_schema(out)), out)
+        _apply(window, range_bits, id_col, text_col, to_arrow_schema(out)), out)
 
 
 def digest(docs: DataFrame) -> DataFrame:

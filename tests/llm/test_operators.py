@@ -62,6 +62,9 @@ def test_substring_dedup(documents, odd, none):
     same(substring_dedup.digest(documents), brute.substring_dedup(pairs(documents), 50))
     same(substring_dedup.substring_dedup(odd, 10).select(*names), brute.substring_dedup(odd_rows(), 10))
     assert rows_of(substring_dedup.substring_dedup(none)) == []
+    for bits in (1, 3):  # levels of groups of chunks, the same rows
+        small = substring_dedup.substring_dedup(documents, 50, range_bits=bits, chunk_bytes=8000)
+        same(small.select(*names), brute.substring_dedup(pairs(documents), 50))
     out = {r.doc_id: r for r in substring_dedup.substring_dedup(odd, 50).filter("doc_id = 13").collect()}
     assert [(x.start, x.end) for x in out[13].removed] == [(0, 140)] and out[13].kept_text == ""
     stage = substring_dedup.keep_unrepeated(odd)
