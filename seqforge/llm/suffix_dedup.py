@@ -11,7 +11,8 @@ anywhere else.  Sorting every suffix of the corpus is not needed for that:
    gram and of its bytes, to the task of that hash range.  The task answers
    whether the same segment occurs twice (all its windows are repeated) and
    whether the gram has several different segments; of those, the lowest
-   chunk that has one sends its bytes, once.
+   chunk that has one sends its bytes, once.  A chunk has a fixed number of
+   ranges; beyond 2^8 chunks (1 GB) a task asks a level of tasks over groups.
 3. The different segments of a gram meet in one task, which builds their
    suffix array: buckets by the first 8 bytes are refined by sorting on the
    bucket identifiers of later offsets (8, 16, ...), refined identifiers being
@@ -46,6 +47,8 @@ Q = 8
 BLOCK = 1 << 16
 #: Text of segments that one suffix array is built over.
 SORT_BYTES = 1 << 18
+#: A chunk cuts its entries into 2^RANGE_BITS ranges, however large the input is.
+RANGE_BITS = 8
 #: Different segments of one gram that meet in a suffix array.
 MANY = 64
 
@@ -112,67 +115,121 @@ class Segments:
         return self.data[self.first[s]:self.last[s] + self.size].tobytes()
 
 
-def _offer(size, gram, ranges, text_col):
+OFFER = pa.schema([("_range", pa.int64()), ("_chunk", pa.int32()), ("keys", pa.binary()), ("bodies", pa.binary()), ("twice", pa.binary())])
+OFFER_DDL = "_range long, _chunk int, keys binary, bodies binary, twice binary"
+ANSWER = "_chunk int, _range long, codes binary, entry long, runs array<int>"
+
+
+def _packets(keys, bodies, twice, bits: int, chunk: int) -> pa.Table:
+    """Entries in ascending order of their keys, one row per range of the keys."""
+    part, cut = C.cut_by_bits(keys, bits)
+    spans = [slice(a, b) for a, b in zip(cut[:-1], cut[1:])]
+    return pa.Table.from_arrays([
+        pa.array(part, pa.int64()), pa.array(np.full(len(part), chunk), pa.int32()),
+        pa.array([C.pack_sorted(keys[x]) for x in spans], pa.binary()),
+        pa.array([bodies[x].tobytes() for x in spans], pa.binary()),
+        pa.array([np.packbits(twice[x]).tobytes() for x in spans], pa.binary())], schema=OFFER)
+
+
+def _offer(size, gram, bits, text_col):
     def run(key, t):
         C.release()
         s = Segments(*C.column_bytes(t.column(text_col)), size, gram)
-        cut = C.hash_ranges(s.keys, ranges)
-        full = np.flatnonzero(np.diff(cut))
-        parts = [slice(cut[i], cut[i + 1]) for i in full]
-        return pa.table({
-            "_range": pa.array(full, pa.int32()), "_chunk": pa.array([key[0].as_py()] * len(full), pa.int32()),
-            "keys": pa.array([C.pack_sorted(s.keys[p]) for p in parts], pa.binary()),
-            "bodies": pa.array([s.bodies[p].tobytes() for p in parts], pa.binary()),
-            "twice": pa.array([np.packbits(s.twice[p]).tobytes() for p in parts], pa.binary())})
+        return _packets(s.keys, s.bodies, s.twice, bits, key[0].as_py())
     return run
 
 
+class Gathered:
+    """The entries of one range, of several chunks: which are equal, and which
+    of these comes first."""
+
+    def __init__(self, t):
+        self.t = t = t.sort_by("_chunk")
+        keys = [C.unpack_sorted(x) for x in t.column("keys").to_pylist()]
+        self.cut = np.cumsum([0, *map(len, keys)])
+        k = np.concatenate(keys)
+        body = np.concatenate([np.frombuffer(x, C.U64) for x in t.column("bodies").to_pylist()])
+        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) for x, y in zip(t.column("twice").to_pylist(), keys)]).astype(bool)
+        self.order = order = np.lexsort((np.arange(len(k)), body, k))
+        self.keys, self.bodies = k[order], body[order]
+        self.new_key = np.append(True, self.keys[1:] != self.keys[:-1])
+        self.new = self.new_key | np.append(True, self.bodies[1:] != self.bodies[:-1])
+        self.group = np.cumsum(self.new) - 1
+        self.repeated = np.bincount(self.group) > 1
+        np.logical_or.at(self.repeated, self.group, twice[order])
+
+    def answer(self, codes) -> pa.Table:
+        """``codes``: of each entry, in this order."""
+        code = np.empty(len(self.order), np.uint8)
+        code[self.order] = codes
+        t, n = self.t, self.t.num_rows
+        return pa.table({"_chunk": t.column("_chunk").cast(pa.int32()), "_range": t.column("_range"),
+                         "codes": pa.array([code[a:b].tobytes() for a, b in zip(self.cut[:-1], self.cut[1:])], pa.binary()),
+                         "entry": pa.nulls(n, pa.int64()), "runs": pa.nulls(n, pa.list_(pa.int32()))})
+
+
 def _answer(most: int):
     """Per entry of a chunk: 1 if its segment is repeated, plus 2 if it has to
     send it, plus 4 if its gram has too many segments for a suffix array."""
     def run(key, t):
         C.release()
-        t = t.sort_by("_chunk")
-        keys = [C.unpack_sorted(x) for x in t.column("keys").to_pylist()]
-        cut = np.cumsum([0, *map(len, keys)])
-        k = np.concatenate(keys)
-        body = np.concatenate([np.frombuffer(x, C.U64) for x in t.column("bodies").to_pylist()])
-        twice = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(y)) for x, y in zip(t.column("twice").to_pylist(), keys)]).astype(bool)
-        order = np.lexsort((np.arange(len(k)), body, k))
-        ks, bs = k[order], body[order]
-        new_key = np.append(True, ks[1:] != ks[:-1])
-        new = new_key | np.append(True, bs[1:] != bs[:-1])
-        group = np.cumsum(new) - 1
-        repeated = np.bincount(group) > 1
-        np.logical_or.at(repeated, group, twice[order])
-        kinds = np.bincount((np.cumsum(new_key) - 1)[new])  # different segments of each key
-        kinds = kinds[np.cumsum(new_key) - 1]
-        code = np.empty(len(k), np.uint8)
-        code[order] = repeated[group] + 2 * ((kinds > 1) & new) + 4 * (kinds > most)
-        return pa.table({"_chunk": t.column("_chunk").cast(pa.int32()), "_range": pa.array([key[0].as_py()] * len(keys), pa.int32()),
-                         "codes": pa.array([code[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()),
-                         "entry": pa.nulls(len(keys), pa.int64()), "runs": pa.nulls(len(keys), pa.list_(pa.int32()))})
+        g = Gathered(t)
+        kinds = np.bincount((np.cumsum(g.new_key) - 1)[g.new])  # different segments of each key
+        kinds = kinds[np.cumsum(g.new_key) - 1]
+        return g.answer(g.repeated[g.group] + 2 * ((kinds > 1) & g.new) + 4 * (kinds > most))
+    return run
+
+
+def _upward(bits: int):
+    def run(key, t):
+        C.release()
+        g = Gathered(t)
+        return _packets(g.keys[g.new], g.bodies[g.new], g.repeated, bits, key[1].as_py())
     return run
 
 
-ANSWER = "_chunk int, _range int, codes binary, entry long, runs array<int>"
+def _downward(bits: int):
+    def run(key, t, answers):
+        C.release()
+        g = Gathered(t)
+        code = _codes(g.keys[g.new], bits, answers)[g.group]
+        return g.answer(np.where(g.new, code, code & 5))
+    return run
 
 
-def _codes(s: Segments, ranges: int, answers) -> np.ndarray:
-    cut = C.hash_ranges(s.keys, ranges)
-    code = np.zeros(len(s.keys), np.uint8)
+def _answers(offers: DataFrame, chunks: int, most: int, bits: int, step: int) -> DataFrame:
+    """The codes of all entries.  A task takes the packets of one range from up
+    to 2^step chunks; if there are more, neighbouring ones form a group, whose
+    task keeps each entry once, cuts the range further and asks the groups, so
+    the rows of all levels are in proportion to the chunks."""
+    if chunks <= 1 << step:
+        return offers.groupBy("_range").applyInArrow(_answer(most), ANSWER)
+    groups = -(-chunks >> step)
+    finer = bits + min(step, max(1, (groups - 1).bit_length()))
+    if finer > 48:
+        raise ValueError("more levels than the hashes have bits")
+    offers = offers.withColumn("_group", F.shiftright("_chunk", step))
+    up = offers.groupBy("_range", "_group").applyInArrow(_upward(finer), OFFER_DDL)
+    down = _answers(up, groups, most, finer, step).withColumn("_top", F.shiftright("_range", finer - bits))
+    return offers.groupBy("_range", "_group").cogroup(down.groupBy("_top", "_chunk")).applyInArrow(_downward(finer), ANSWER)
+
+
+def _codes(keys, bits: int, answers) -> np.ndarray:
+    part, cut = C.cut_by_bits(keys, bits)
+    code = np.zeros(len(keys), np.uint8)
     for r, x, e in zip(answers.column("_range").to_pylist(), answers.column("codes").to_pylist(), answers.column("entry").to_pylist()):
         if x is not None and e is None:
-            code[cut[r]:cut[r + 1]] = np.frombuffer(x, np.uint8)
+            i = np.searchsorted(part, r)
+            code[cut[i]:cut[i + 1]] = np.frombuffer(x, np.uint8)
     return code
 
 
-def _send(size, gram, ranges, text_col):
+def _send(size, gram, bits, ranges, text_col):
     def run(key, t, answers):
         C.release()
         s = Segments(*C.column_bytes(t.column(text_col)), size, gram)
         cut = C.hash_ranges(s.keys, ranges)
-        code = _codes(s, ranges, answers)
+        code = _codes(s.keys, bits, answers)
         e = np.flatnonzero(code & 6 == 2)
         h, twice, full, bound = _hot(s, code, ranges)
         hot = [C.pack_sorted(h[bound[i]:bound[i + 1]]) + np.packbits(twice[bound[i]:bound[i + 1]]).tobytes() for i in full]
@@ -273,7 +330,7 @@ def _sort(size):
                 out[1].append(entry[i])
                 out[2].append(np.stack([p[np.append(0, gap)], p[np.append(gap - 1, len(p) - 1)]], 1).ravel().tolist())
         n, m = len(out[0]), len(bits)
-        return pa.table({"_chunk": pa.array([*out[0], *[c for c, _ in bits]], pa.int32()), "_range": pa.array([*[None] * n, *[key[0].as_py()] * m], pa.int32()),
+        return pa.table({"_chunk": pa.array([*out[0], *[c for c, _ in bits]], pa.int32()), "_range": pa.array([*[None] * n, *[key[0].as_py()] * m], pa.int64()),
                          "codes": pa.array([*[None] * n, *[x for _, x in bits]], pa.binary()), "entry": pa.array([*out[1], *[-1] * m], pa.int64()),
                          "runs": pa.array([*out[2], *[None] * m], pa.list_(pa.int32()))})
     return run
@@ -309,12 +366,12 @@ def whole_keys(t: pa.Table):
             at, base = i + 1, ends[i]
 
 
-def _apply(size, gram, ranges, text_col, schema, with_bytes):
+def _apply(size, gram, bits, ranges, text_col, schema, with_bytes):
     def run(key, t, answers):
         C.release()
         data, offs = C.column_bytes(t.column(text_col))
         s = Segments(data, offs, size, gram)
-        codes = _codes(s, ranges, answers)
+        codes = _codes(s.keys, bits, answers)
         lo, hi = [], []  # first and last start of removed windows
         whole = (codes[s.entry] & 1).astype(bool)
         lo.append(s.first[whole])
@@ -354,7 +411,8 @@ def _apply(size, gram, ranges, text_col, schema, with_bytes):
     return run
 
 
-def suffix_dedup(docs: DataFrame, size: int = 400, with_bytes: bool = True, many: int = MANY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, size: int = 400, with_bytes: bool = True, many: int = MANY, id_col: str = "doc_id", text_col: str = "text",
+                 range_bits: int = RANGE_BITS, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """Remove every byte covered by a string of ``size`` bytes that also starts
     anywhere else, in this document or another (all copies go).
 
@@ -368,19 +426,19 @@ def suffix_dedup(docs: DataFrame, size: int = 400, with_bytes: bool = True, many
     from pyspark.sql.pandas.types import to_arrow_schema
     gram = max(1, size // 2)
     docs = C.without(docs, ADDED)
-    dealt, ranges, _ = C.with_chunk(docs, id_col, text_col)
+    dealt, ranges, _ = C.with_chunk(docs, id_col, text_col, chunk_bytes)
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     out = T.StructType([*[f for f in docs.schema.fields if f.name != text_col], T.StructField("n_bytes", T.LongType()),
                         T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("removed", span),
                         T.StructField("kept", T.BinaryType()), T.StructField("kept_sha256", T.StringType())])
-    offers = dealt.groupBy("_chunk").applyInArrow(_offer(size, gram, ranges, text_col), "_range int, _chunk int, keys binary, bodies binary, twice binary")
-    codes = offers.groupBy("_range").applyInArrow(_answer(many), ANSWER)
+    offers = dealt.groupBy("_chunk").applyInArrow(_offer(size, gram, range_bits, text_col), OFFER_DDL)
+    codes = _answers(offers, ranges, many, range_bits, range_bits)
     sent = dealt.groupBy("_chunk").cogroup(codes.groupBy("_chunk")).applyInArrow(
-        _send(size, gram, ranges, text_col), "_range int, _chunk int, entry long, key long, text binary")
+        _send(size, gram, range_bits, ranges, text_col), "_range int, _chunk int, entry long, key long, text binary")
     sorted_ = sent.groupBy("_range").applyInArrow(_sort(size), ANSWER)
     answers = codes.unionByName(sorted_)
     return dealt.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(
-        _apply(size, gram, ranges, text_col, to_arrow_schema(out), with_bytes), out)
+        _apply(size, gram, range_bits, ranges, text_col, to_arrow_schema(out), with_bytes), out)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -283,6 +283,8 @@ def test_suffix_dedup(documents, odd, none, size, many):
     few = odd.filter("coalesce(length(text), 0) < 10000")
     same(suffix_dedup.suffix_dedup(few, size, False, many).select(*names), brute.repeated_bytes(short, size))
     assert rows_of(suffix_dedup.suffix_dedup(none, size)) == []
+    levels = suffix_dedup.suffix_dedup(some, size, False, many, range_bits=1 + (many > 1), chunk_bytes=8000)
+    same(levels.select(*names), brute.repeated_bytes(pairs(some), size))
 
 
 def test_suffix_array_is_in_order():
