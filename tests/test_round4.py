@@ -32,3 +32,22 @@ def test_embed_holds_a_few_matrices(spark, monkeypatch):
     assert [len(rows[i].matrix) for i in (0, 299, 300, 301)] == [3, 3, 0, 0]
     assert all(r.sums == [sum(x[k] for x in r.matrix) for k in (0, 1)] for r in rows.values())
     assert rows[300].maxima is None and rows[0].maxima == rows[0].matrix[0]
+
+
+def test_store_moves_no_matrix(spark, tmp_path):
+    t = spark.createDataFrame([(a, b, (i * 7 + j * 3) % 19) for i, a in enumerate("ACDE") for j, b in enumerate("ACDE")], TABLE)
+    df = spark.createDataFrame([(i, "ACDE" * 5000 + "A" * i) for i in range(40)], "id long, s string")
+    path = f"{tmp_path}/store"
+    out = S.embedding_store(df, path, "s", "substitution", lambda u: E.embed_windows(u, "s", ["key"], "substitution", 1000, t, states=True), 20, digits=1)
+    assert out.count() == 40
+    for p in (tmp_path / "store/matrices").rglob("*.parquet"):
+        meta = pq.ParquetFile(p).metadata
+        for k in range(meta.num_row_groups):  # what a reader decodes at once: floats, however well they are packed
+            values = max(meta.row_group(k).column(c).num_values for c in range(meta.row_group(k).num_columns))
+            assert values <= 8 * S.ROW_GROUP
+    total = F.aggregate(F.flatten("matrix"), F.lit(0.0), lambda a, x: a + x)
+    m = S.read_matrices(out, path, "substitution", 1, {"t": total})
+    moved = [line for line in m._jdf.queryExecution().executedPlan().toString().split("\n") if "Join" in line or "Exchange" in line]
+    assert moved and not any("matrix" in line for line in moved)
+    got = {r.key: r.t for r in m.groupBy("key").agg(F.sum("t").alias("t")).collect()}
+    assert got == {r.key: sum(r.sums) for r in out.collect()}
