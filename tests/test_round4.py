@@ -51,3 +51,31 @@ def test_store_moves_no_matrix(spark, tmp_path):
     assert moved and not any("matrix" in line for line in moved)
     got = {r.key: r.t for r in m.groupBy("key").agg(F.sum("t").alias("t")).collect()}
     assert got == {r.key: sum(r.sums) for r in out.collect()}
+
+
+@pytest.mark.parametrize("letters", ["ACDEFG", "".join(chr(0x4E00 + i) for i in range(3000))])
+def test_gram_counts(spark, letters):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list(letters), n)) for n in (0, 1, 2, 3, 50, 4000)] + [None]
+    want = Counter(s[i:i + n] for s in texts if s for n in (1, 3) for i in range(len(s) - n + 1))
+    got = C.gram_counts(spark.createDataFrame([(s,) for s in texts], "s string"), "s", [1, 3]).collect()
+    assert {r.token: r.frequency for r in got} == want and len(got) == len(want)
+
+
+def test_matrix_reads_the_corpus_once(spark):
+    texts = ["ACACCA", "AAxAA", "", None, "WYWYA"]
+    df = spark.createDataFrame([(s,) for s in texts], "sequence string")
+    m = M.derive_substitution_matrix(df)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate regexp" not in plan
+    pairs = Counter(tuple(sorted(s[i:i + 2])) for s in texts if s for i in range(len(s) - 1) if "x" not in s[i:i + 2])
+    n, ca = sum(pairs.values()), Counter()
+    for (a, b), c in pairs.items():
+        ca[a] += c
+        ca[b] += c
+    want = {}
+    for (a, b), c in pairs.items():
+        e = ca[a] * ca[b] / (2 * n) ** 2 * (1 if a == b else 2)
+        want[a, b] = want[b, a] = round(2 * np.log2(c / n / e))
+    got = m.collect()
+    assert {(r.aa1, r.aa2): r.score for r in got} == want and len(got) == len(want)
