@@ -79,3 +79,33 @@ def test_matrix_reads_the_corpus_once(spark):
         want[a, b] = want[b, a] = round(2 * np.log2(c / n / e))
     got = m.collect()
     assert {(r.aa1, r.aa2): r.score for r in got} == want and len(got) == len(want)
+
+
+def test_metered_continues():
+    from seqforge.streaming import reset_meter as R
+    rng = np.random.default_rng(7)
+    units, reset = rng.integers(-5, 1 << 60, 500), rng.random(500) < 0.05
+    total, count, want = 17, 4, []
+    for u, r in zip(units.tolist(), reset):
+        total, count = (0, 0) if r else (total, count)
+        total, count = ((total + u + 2**63) % 2**64) - 2**63, count + 1
+        want.append((total, count))
+    sums, counts = R.metered(units, reset, 17, 4)
+    assert list(zip(sums.tolist(), counts.tolist())) == want
+
+
+def test_meter_of_many_rows(spark, tmp_path):
+    """Rows of one key in one batch: their state calls and timers once took minutes."""
+    import time
+
+    from seqforge.streaming import reset_meter as R
+    df = spark.range(60000).select(F.lit("a").alias("k"), F.col("id").alias("step"), F.timestamp_micros(F.col("id") * 37000500 + 1_700_000_000_000_000).alias("ts"),
+                                   (F.col("id") % 7 / 4).alias("v"), (F.col("id") % 50 == 0).alias("reset"))
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    cols = dict(key="k", step="step", ts="ts", value="v", reset="reset")
+    began = time.time()
+    out = R.run_reset_meter(spark, spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/out", f"{tmp_path}/ckpt", **cols)
+    got = sorted(tuple(x) for x in out.collect())
+    assert time.time() - began < 60
+    want = sorted(tuple(x) for x in R.reset_meter(df, **cols).collect())
+    assert 0 < len(want) - len(got) < 100 and got == want[:len(got)]
