@@ -7,13 +7,18 @@ buckets), so a fold of any size is spread over many tasks.
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqforge.functions.scalar import strip
 
 from seqforge.functions.alphabet import IGNORE_INDEX, RESIDUES
 from seqforge.operators.ranking import running
+from seqforge.session import ensure_checkpoint_dir
 
 def _nan() -> Column:
     return F.lit(float("nan"))
@@ -340,17 +345,75 @@ def c_index(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFra
                       .otherwise(F.lit(0.0)).alias("c_index"))
 
 
-def _dense_rank(d: DataFrame, by: list[str], col: str, out: str) -> DataFrame:
-    """Dense rank of ``col`` within ``by``: running counts over its distinct values."""
-    v = running(d.select(*by, col).distinct().withColumn("_c", F.lit(1).cast("long")), by, [F.col(col)], sums=("_c",))
-    return d.join(v.select(*by, col, F.col("cum__c").alias(out)), [*by, col])
-
-
-def _levels(rank: str, bits: int, name: str) -> Column:
-    """One ``name`` struct (level, higher bits, bit) per bit of a rank."""
-    return F.explode(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda b: F.struct(
-        b.alias("level"), F.call_function("shiftright", F.col(rank), b + 1).alias("high"),
-        F.call_function("shiftright", F.col(rank), b).bitwiseAND(F.lit(1)).alias("bit")))).alias(name)
+#: Blocks of a rank in a group, at most, and rows of a block, at least.
+BLOCKS, BLOCK_ROWS = 64, 1 << 14
+#: Keys of up to 2 ** SMALL rows are not split.
+SMALL = 6
+
+
+def _inside(key: np.ndarray, zero: np.ndarray, one: np.ndarray) -> int:
+    """Sum over rows of ``one`` times the ``zero`` of earlier rows of the same
+    key; ``key`` does not fall."""
+    before = np.cumsum(zero) - zero
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    start = np.repeat(before[first], np.diff(np.append(first, len(key))))
+    return int(((before - start) * one).sum())
+
+
+def _refined(key: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """The order of rows that splits each key by ``bit``, zeros first, and else keeps it."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(first, len(key)))
+    zeros = np.add.reduceat(1 - bit, first)
+    seen = np.cumsum(bit) - bit
+    ones = seen - np.repeat(seen[first], size)  # earlier ones of the key
+    place = np.arange(len(key))
+    to = np.where(bit == 1, np.repeat(first + zeros, size) + ones, place - ones)
+    order = np.empty(len(key), np.int64)
+    order[to] = place
+    return order
+
+
+def dominated(t, y, p, w) -> int:
+    """Sum of ``w[i] * w[j]`` over pairs with smaller t, y and p at j; ``p`` may
+    be None.  Two ranks first differ at one bit, where the larger one has a 1
+    and the higher bits agree: rows are split by the bits of y and, inside, of
+    p, and counted along t; no pair is formed."""
+    along = np.lexsort((-y, t))
+    n, w = len(along), w[along]
+
+    def ranks(x):  # of equal values the later row has the smaller rank, so that they never count
+        r = np.empty(n, np.int64)
+        r[np.lexsort((-np.arange(n), x[along]))] = np.arange(n)
+        return r
+    y, found = ranks(y), 0
+    if p is None:
+        for level in range(int(n).bit_length() - 1, -1, -1):
+            high, bit = y >> (level + 1), (y >> level) & 1
+            found += _inside(high, w * (1 - bit), w * bit)
+            order = _refined(high, bit)
+            y, w = y[order], w[order]
+        return found
+    p = ranks(p)
+    for level in range(int(n).bit_length() - 1, SMALL - 1, -1):
+        high, bit = y >> (level + 1), (y >> level) & 1
+        q = np.empty(n, np.int64)  # ranks of p among the rows of a key: no more bits than there are of y
+        at = np.lexsort((p, high))
+        q[at] = np.arange(n)
+        q -= high << (level + 1)
+        key, zero, one = high, w * (1 - bit), w * bit
+        for inner in range(level, -1, -1):
+            b = (q >> inner) & 1
+            found += _inside(key, zero * (1 - b), one * b)
+            order = _refined(key, b)
+            key, q, zero, one = key[order] * 2 + b[order], q[order], zero[order], one[order]
+        order = _refined(high, bit)
+        y, w, p = y[order], w[order], p[order]
+    key = y >> SMALL
+    for back in range(1, min(1 << SMALL, n)):  # keys of few rows: each with the row so far before it
+        less = (key[back:] == key[:-back]) & (y[back:] > y[:-back]) & (p[back:] > p[:-back])
+        found += int((w[back:][less] * w[:-back][less]).sum())
+    return found
 
 
 def c_index_ordered(df: DataFrame, by: list[str], order: str, y: str = "y", p: str = "p") -> DataFrame:
@@ -358,39 +421,56 @@ def c_index_ordered(df: DataFrame, by: list[str], order: str, y: str = "y", p: s
     has the larger y: 1 when its p is larger too, 1/2 when equal, divided by
     the number of such pairs (0 when there are none).
 
-    That is dominance counting in three dimensions (order, y, p), and no pair
-    is formed.  Two ranks first differ at one bit, where the larger one has a
-    1 and the higher bits agree.  So rows are dealt to groups (bit of the
-    rank of p, higher bits, bit of the rank of y, higher bits); inside a group
-    a row with two ones counts the earlier rows with two zeros, a running
-    count along ``order``: O(n log^2 n) rows in range buckets, whatever the
-    size of a group.  Equal p: groups by the rank itself; all pairs: groups of
-    y alone.  Rows with a null y or p take no part; among rows of equal
+    That is dominance counting in three dimensions, and no pair is formed.
+    Rows get their places along order, y and p (distributed ranks; ties are
+    broken so that a tie counts, or does not count, as it should), and every
+    place falls into one of up to ``BLOCKS`` equal blocks.  A pair in one block
+    of the order is counted in that block, else one in one block of y there,
+    else one in one block of p there (see :func:`dominated`), and the rest
+    by the numbers of rows per cell of blocks.  So a row is sent four times, whatever
+    its values, and no task holds more than a ``BLOCKS``-th of a group, or ``BLOCK_ROWS``
+    rows.  Rows with a null y or p take no part; among rows of equal
     ``order`` none is the later one."""
-    d = df.select(*by, F.col(order).alias("_o"), F.col(y).alias("_y"), F.col(p).alias("_p")).filter(
+    one = F.lit(1).cast("long").alias("_one")
+    d = df.select(*by, F.col(order).alias("_o"), F.col(y).alias("_y"), F.col(p).alias("_p"), one).filter(
         F.col("_y").isNotNull() & F.col("_p").isNotNull() & F.col("_o").isNotNull())
-    d = _dense_rank(_dense_rank(d, by, "_y", "_ry"), by, "_p", "_rp")
-    top = d.agg(F.max("_ry"), F.max("_rp")).first()  # two scalars: the numbers of levels
-    by_y = d.select(*by, "_o", "_rp", _levels("_ry", max(1, int(top[0] or 0).bit_length()), "_ly"))
-    by_p = by_y.select(*by, "_o", "_ly", _levels("_rp", max(1, int(top[1] or 0).bit_length()), "_lp")) \
-        .filter("_ly.bit = _lp.bit")
-
-    def groups(rows: DataFrame, what: int, *key) -> DataFrame:
-        return rows.select(*by, "_o", F.lit(what).alias("_what"), F.struct(*key).alias("_g"), F.col("_ly.bit").alias("_bit"))
-
-    none = F.lit(None).cast("long")
-    yl, yh, pl, ph = (F.col(c) for c in ("_ly.level", "_ly.high", "_lp.level", "_lp.high"))
-    rows = groups(by_p, 0, yl.alias("yl"), yh.alias("yh"), pl.cast("long").alias("pl"), ph.alias("ph")) \
-        .unionByName(groups(by_y, 1, yl.alias("yl"), yh.alias("yh"), F.col("_rp").alias("pl"), none.alias("ph"))) \
-        .unionByName(groups(by_y, 2, yl.alias("yl"), yh.alias("yh"), none.alias("pl"), none.alias("ph")))
-    # rows of equal order count together: none of them is before another
-    g = rows.groupBy(*by, "_what", "_g", "_o").agg(F.count_if(F.col("_bit") == 1).alias("_n1"),
-                                                   F.count_if(F.col("_bit") == 0).alias("_n0"))
-    g = running(g, [*by, "_what", "_g"], [F.col("_o")], sums=("_n0",))
-    pairs = F.col("_n1") * (F.col("cum__n0") - F.col("_n0"))
-    total = g.groupBy(*by).agg(*[F.sum(F.when(F.col("_what") == k, pairs)).alias(n)
-                                 for k, n in enumerate(("_more", "_equal", "n_pairs"))])
-    num = F.coalesce(F.col("_more"), F.lit(0)).cast("double") + 0.5 * F.coalesce(F.col("_equal"), F.lit(0))
+    for name, along in (("_t", [F.col("_o"), F.desc("_y"), F.col("_p")]), ("_ry", [F.col("_y"), F.desc("_t")]),
+                        ("_pa", [F.col("_p"), F.desc("_t")]), ("_pb", [F.col("_p"), F.col("_t")])):
+        d = running(d, by, along, sums=("_one",)).withColumnRenamed("cum__one", name)
+        d = d.withColumnRenamed("_one_total", "_n") if name == "_t" else d.drop("_one_total", "_o", "_y")
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/places-{uuid.uuid4().hex}"
+    d.select(*by, "_n", "_t", "_ry", "_pa", "_pb").write.parquet(path)
+    d = df.sparkSession.read.schema(d.select(*by, "_n", "_t", "_ry", "_pa", "_pb").schema).parquet(path)
+    blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("_n") / BLOCK_ROWS))
+    names = {"_bt": "_t", "_by": "_ry", "_ba": "_pa", "_bb": "_pb"}
+    d = d.select("*", *[F.floor((F.col(c) - 1) * blocks / F.col("_n")).cast("long").alias(b) for b, c in names.items()]).drop("_n")
+
+    none = F.lit(0).cast("long")
+    one = F.lit(1).cast("long")
+
+    def rows(what: int, block, t, ry, pa, pb, w=one):
+        return F.struct(F.lit(what).alias("_what"), F.col(block).alias("_block") if block else none.alias("_block"),
+                        *[(F.col(c) if c else none).alias(n) for n, c in (("t", t), ("y", ry), ("a", pa), ("b", pb))], w.alias("w"))
+    sent = d.select(*by, F.inline(F.array(
+        rows(0, "_bt", "_t", "_ry", "_pa", "_pb"), rows(1, "_by", "_bt", "_ry", "_pa", "_pb"),
+        rows(2, "_ba", "_bt", "_by", "_pa", None), rows(3, "_bb", "_bt", "_by", None, "_pb"))))
+    for what, a, b in ((4, "_ba", None), (5, None, "_bb")):
+        cells = d.groupBy(*by, "_bt", "_by", a or b).agg(F.count(F.lit(1)).alias("_w"))
+        sent = sent.unionByName(cells.select(*by, F.inline(F.array(rows(what, None, "_bt", "_by", a, b, F.col("_w"))))))
+
+    def count(pdf):
+        what = int(pdf["_what"].iloc[0])
+        t, ry, a, b, w = (pdf[c].to_numpy(np.int64) for c in ("t", "y", "a", "b", "w"))
+        out = pdf[by].iloc[:1].copy()
+        out["more"] = dominated(t, ry, a, w) if what in (0, 1, 2, 4) else 0
+        out["least"] = dominated(t, ry, b, w) if what in (0, 1, 3, 5) else 0
+        out["pairs"] = dominated(t, ry, None, w) if what in (0, 1, 4) else 0
+        return out
+
+    schema = T.StructType([*[df.schema[c] for c in by], *[T.StructField(c, T.LongType()) for c in ("more", "least", "pairs")]])
+    found = sent.groupBy(*by, "_what", "_block").applyInPandas(count, schema)
+    total = found.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("more", "least")], F.sum("pairs").alias("n_pairs"))
+    num = F.col("more").cast("double") + 0.5 * (F.col("least") - F.col("more"))
     return total.select(*by, "n_pairs", F.when(F.col("n_pairs") > 0, num / F.col("n_pairs")).otherwise(F.lit(0.0)).alias("c_index"))
 
 

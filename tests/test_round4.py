@@ -109,3 +109,37 @@ def test_meter_of_many_rows(spark, tmp_path):
     assert time.time() - began < 60
     want = sorted(tuple(x) for x in R.reset_meter(df, **cols).collect())
     assert 0 < len(want) - len(got) < 100 and got == want[:len(got)]
+
+
+@pytest.mark.parametrize("most", [3, 400])
+def test_dominated(most):
+    from seqforge.operators.metrics import dominated
+    rng = np.random.default_rng(most)
+    for n in (1, 2, 63, 64, 65, 300):
+        t, y, p = (rng.integers(0, most, n) for _ in range(3))
+        w = rng.integers(1, 4, n)
+        less = [x[None, :] < x[:, None] for x in (t, y, p)]
+        pairs = w[:, None] * w[None, :]
+        assert dominated(t, y, p, w) == (pairs * (less[0] & less[1] & less[2])).sum()
+        assert dominated(t, y, None, w) == (pairs * (less[0] & less[1])).sum()
+
+
+def test_ordered_concordance_in_blocks(spark, monkeypatch, tmp_path):
+    """Blocks of a few rows, hot values of each column; and rows that are written do not grow with their logarithm."""
+    from seqforge.operators import metrics as G
+    monkeypatch.setattr(G, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(G, "BLOCKS", 7)
+    rng = np.random.default_rng(11)
+    rows = [(g, int(o), float(y), float(p)) for g, most in (("a", 4), ("b", 60)) for o, y, p in zip(*(rng.integers(0, most, 150) for _ in range(3)))]
+    rows += [("hot", i, 1.0, float(i % 3)) for i in range(90)] + [("one", 1, 1.0, 1.0)]
+    want = {}
+    for g, o, y, p in rows:
+        n = want.setdefault(g, [0, 0.0])
+        for h, o2, y2, p2 in rows:
+            if g == h and o2 < o and y2 < y:
+                n[0] += 1
+                n[1] += 1.0 if p2 < p else 0.5 if p2 == p else 0.0
+    got = G.c_index_ordered(spark.createDataFrame(rows, "g string, o int, y double, p double"), ["g"], "o")
+    assert {r.g: (r.n_pairs, round(r.c_index, 9)) for r in got.collect()} == {g: (n, round(s / n, 9) if n else 0.0) for g, (n, s) in want.items()}
+    generated = [line for line in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate explode" in line]
+    assert not generated  # no row per pair of bits
