@@ -42,9 +42,9 @@ def mix(rs: np.ndarray, i: np.ndarray, purpose: int) -> np.ndarray:
     """32-bit integer hash of (row seed, position, purpose): add, then two
     xor-shift-multiply rounds.  Every product stays below 2^63, so plain
     long arithmetic is exact (no overflow) here and in SQL."""
-    x = (rs + i * 40503 + purpose * 1000003) % M32
+    x = (rs + i * 40503 + purpose * 1000003) & (M32 - 1)
     for _ in range(2):
-        x = ((x ^ (x >> 16)) * 73244475) % M32
+        x = ((x ^ (x >> 16)) * 73244475) & (M32 - 1)
     return x ^ (x >> 16)
 
 
@@ -130,15 +130,17 @@ def mask_by_structure(df: DataFrame, ids: str, ss: str, keys: list[str], rates=N
         _, _, first, tag = A.letters(cols["_ss"])
         row = np.repeat(np.arange(len(n)), np.diff(first))
         i = np.arange(len(tag)) - first[row]
-        inside = i < n[row]
+        number = np.full(max(int(tag.max(initial=0)) + 1, 1 + max(map(ord, rates), default=0)), -1)
+        number[[ord(t) for t in rates]] = np.arange(len(rates))
+        tag = number[tag]
+        inside = (i < n[row]) & (tag >= 0)
         row, i, tag = row[inside], i[inside], tag[inside]
-        order = np.lexsort((i, mix(seeds[row], i, ORDER), tag, row))
-        row, i, tag = row[order], i[order], tag[order]
-        head = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (tag[1:] != tag[:-1]))[:len(row)])
+        group = row * max(len(rates), 1) + tag
+        order = np.argsort(group << 32 | mix(seeds[row], i, ORDER), kind="stable")  # ties by position
+        row, i, group = row[order], i[order], group[order]
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1])[:len(row)])
         count = np.diff(np.append(head, len(row)))
-        rate = np.zeros(len(head))
-        for t, r in rates.items():
-            rate[tag[head] == ord(t)] = r
+        rate = np.array(list(rates.values()), float)[group[head] % max(len(rates), 1)]
         rank = np.arange(len(row)) - np.repeat(head, count)
         hit = (rank < np.repeat(np.floor(count * rate), count)) & (i + offset < n[row])
         mask = np.zeros(bounds[-1], bool)
@@ -154,9 +156,10 @@ def mask_by_structure(df: DataFrame, ids: str, ss: str, keys: list[str], rates=N
 
 # M3 ------------------------------------------------------------------------
 def corrupt(df: DataFrame, ids: str, mask: str, keys: list[str], seed: int = 0, mode: str = "80_10_10",
-            hyphen: bool = False) -> DataFrame:
+            hyphen: bool = False, sep: str | None = None) -> DataFrame:
     """Apply a mask: ``(*keys, masked_ids, labels)``; labels keep the
-    original id at masked positions (-100 elsewhere).
+    original id at masked positions (-100 elsewhere).  With ``sep`` both
+    are texts, the ids joined by it.
 
     * ``80_10_10``: 80% ``[MASK]``, 10% random id, 10% unchanged;
     * ``as_reference``: 80% ``[MASK]``, then an independent 50% draw
@@ -183,8 +186,10 @@ def corrupt(df: DataFrame, ids: str, mask: str, keys: list[str], seed: int = 0,
             value = np.where(r < 0.8, sp[MASK], np.where(r < 0.9, rnd, x))
         else:
             value = np.where(uniform(rs, i, SWAP) < 0.5, rnd, np.where(r < 0.8, sp[MASK], x))
-        return _masked(x, chosen, value, bounds, no)
-    return _by_row(df, keys, seed, {"_ids": ids, "_mask": mask}, {"masked_ids": IDS, "labels": IDS}, work)
+        out = _masked(x, chosen, value, bounds, no)
+        return out if sep is None else [A.joined(c, sep) for c in out]
+    kind = IDS if sep is None else ST.StringType()
+    return _by_row(df, keys, seed, {"_ids": ids, "_mask": mask}, {"masked_ids": kind, "labels": kind}, work)
 
 
 # M4 ------------------------------------------------------------------------

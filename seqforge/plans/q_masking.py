@@ -42,8 +42,7 @@ def _u(purpose, i="i - 1"):
 def _encoded(spark, d):
     s = V.seqs_ss(spark, d).filter(S.is_valid_sequence("sequence"))
     w = T.paired_windows(s, W)
-    enc = T.encode_fixed(T.tokenize_chars("window"), W + 2)
-    return w.select("doc_id", "k", F.col("ss_window").alias("ssw"), enc["input_ids"].alias("ids"))
+    return T.encode_letters(w.withColumnRenamed("ss_window", "ssw"), "window", W + 2, ["doc_id", "k", "ssw"], "ids")
 
 
 def _key():
@@ -105,9 +104,7 @@ FROM mp""")
 
 def _m3(spark, d, mode):
     m = M.mask_by_structure(_encoded(spark, d), "ids", "ssw", ["doc_id", "k"], seed=0, carry=True)
-    c = M.corrupt(m, "ids", "mask", ["doc_id", "k"], seed=0, mode=mode)
-    return c.select("doc_id", "k", F.array_join("masked_ids", ",").alias("masked_ids"),
-                    F.array_join("labels", ",").alias("labels"))
+    return M.corrupt(m, "ids", "mask", ["doc_id", "k"], seed=0, mode=mode, sep=",")
 
 
 @register("m3_corrupt_80_10_10", sql=_m3_sql("80_10_10"))

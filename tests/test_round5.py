@@ -34,3 +34,49 @@ def test_grouped_ngrams_make_no_row_per_gram(spark):
     df = spark.createDataFrame([(i, "ACDEFGHIKL" * 50) for i in range(4)], "k int, s string")
     plan = C.ngrams(df, "s", by=["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("hyphen", [False, True])
+@pytest.mark.parametrize("max_len", [2, 3, 12])
+def test_encoded_letters(spark, max_len, hyphen):
+    texts = ["ACDEFGHIKLMNPQRSTVWY", "ACD", "", None, "A-x\u00e9\U0001f600C", "ACDEFGHIKL", "ACDEFGHIKLM", "\u007f\u0080"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, s string").coalesce(1)
+    want = df.filter("s is not null").select("id", C.encode_fixed(C.tokenize_chars("s"), max_len, C.char_index_map(hyphen), hyphen)["input_ids"].alias("ids"))
+    got = {r.id: r.ids for r in C.encode_letters(df, "s", max_len, ["id"], "ids", hyphen).collect()}
+    assert got.pop(3) is None and got == {r.id: r.ids for r in want.collect()}
+
+
+def test_encoding_of_masking_has_no_lambda(spark):
+    from seqforge.plans import q_masking as Q
+    plan = Q._encoded(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
+def test_structure_mask_takes_the_smallest_hashes(spark):
+    """Rates of some tags only, tags that are not ASCII, a rate that takes all."""
+    from seqforge.operators import masking as M
+    rng = np.random.default_rng(2)
+    rows = [(k, [1] * (n + 2), "".join(rng.choice(list("HEC\u00e9x"), n))) for k, n in enumerate(rng.integers(0, 60, 30).tolist())]
+    rates = {"C": 0.4, "\u00e9": 1.0, "E": 0.15}
+    df = spark.createDataFrame(rows, "k int, ids array<int>, ss string")
+    got = {r.k: r.mask_pos for r in M.mask_by_structure(df, "ids", "ss", ["k"], rates, seed=3).collect()}
+    seeds = {r.k: r.rs for r in df.select("k", M.row_seed(3, M.row_key("k")).alias("rs")).collect()}
+    for k, _, ss in rows:
+        want = []
+        for t, rate in rates.items():
+            at = [i for i, c in enumerate(ss) if c == t]
+            h = M.mix(np.full(len(at), seeds[k]), np.array(at, np.int64), M.ORDER)
+            want += [i + 1 for _, i in sorted(zip(h.tolist(), at))[:int(np.floor(len(at) * rate))]]
+        assert got[k] == sorted(want)
+
+
+def test_corrupt_as_text(spark):
+    from seqforge.operators import masking as M
+    rows = [(0, [1, 2, 3] * 40, [True, False, True] * 40), (1, [], []), (2, None, None), (3, [7], [False]), (4, [7], None)]
+    df = spark.createDataFrame(rows, "k int, ids array<int>, mask array<boolean>").coalesce(1)
+    for mode in ("80_10_10", "as_reference"):
+        want = M.corrupt(df, "ids", "mask", ["k"], 5, mode).collect()
+        got = {r.k: r for r in M.corrupt(df, "ids", "mask", ["k"], 5, mode, sep=",").collect()}
+        for r in want:
+            for c in ("masked_ids", "labels"):
+                assert got[r.k][c] == (None if r[c] is None else ",".join(map(str, r[c])))
