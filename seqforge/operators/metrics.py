@@ -8,6 +8,7 @@ buckets), so a fold of any size is spread over many tasks.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -303,45 +304,73 @@ def spearman(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFr
 
 
 # G17 -----------------------------------------------------------------------
+#: Different (y, p) of a range of y or p, about.
+RANGE_ROWS = 1 << 18
+
+
+def _ranged(df: DataFrame, n: int, by: list[str], order: list, out: str) -> DataFrame:
+    """``df`` with the number of its range along ``order``, ``n`` at most, stored
+    (a range exchange samples its cut points anew in every plan)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/ranges-{uuid.uuid4().hex}"
+    d = df.repartitionByRange(n, *by, *order).withColumn(out, F.spark_partition_id())
+    d.write.parquet(path)
+    return spark.read.schema(d.schema).parquet(path)
+
+
 def c_index(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Concordance index over all pairs with ``Y[i] > Y[j]``: 1 when
     ``P[i] > P[j]``, 1/2 when equal, divided by the number of such pairs (0
     when there are none).  Exact, and no pair is ever formed:
 
-    * ``p`` is replaced by its dense rank r (running counts over distinct p);
-    * for r_j < r_i the two ranks first differ at one bit b, where r_i has a
-      1 and r_j a 0 and the higher bits agree.  So, per bit level and per
-      value of the higher bits, each "one" row counts the "zero" rows with a
-      smaller y: a running count along y.  That is O(n log n) rows of
-      range-bucketed running sums;
-    * ties in p count the rows with equal rank and smaller y;
-    * the pair count D is a running count along y.
+    * rows are counted per (y, p) first.  The pairs are those of all rows less
+      those of equal y; the ties in p are those of equal p less those of equal
+      (y, p);
+    * concordant pairs have a smaller y and a smaller p at j.  Rows lie in
+      ranges along (p, y falling) and along (y, p falling), so that an earlier
+      range never holds a pair that must not count.  Pairs in one range of p
+      are counted there (see :func:`dominated`), the others in one range of y
+      there, by the rows per (y, range of p), and the rest by the
+      rows per cell of ranges.  So a row is sent twice, whatever its values, and
+      no task holds more than a range.
 
     ``c_index_ordered`` is the form that depends on the order of the rows."""
     d = df.select(*by, F.col(y).alias("_y"), F.col(p).alias("_p")).filter(
         F.col("_y").isNotNull() & F.col("_p").isNotNull())
-    one = F.lit(1).cast("long")
-    # dense rank of p within the group
-    dp = running(d.select(*by, "_p").distinct().withColumn("_c", one), by, [F.col("_p")], sums=("_c",))
-    d = d.join(dp.select(*by, "_p", F.col("cum__c").alias("_r")), [*by, "_p"])
-    max_rank = d.agg(F.max("_r")).first()[0] or 0  # one scalar: number of bit levels
-    bits = max(1, int(max_rank).bit_length())
-    lv = d.select(*by, "_y", "_r", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))).alias("_b"))
-    lv = lv.select(*by, "_y", "_b", F.expr("shiftright(_r, _b + 1)").alias("_pre"),
-                   F.expr("shiftright(_r, _b) & 1").alias("_bit"))
-    g = lv.groupBy(*by, "_b", "_pre", "_y").agg(F.count_if(F.col("_bit") == 1).alias("_n1"),
-                                                 F.count_if(F.col("_bit") == 0).alias("_n0"))
-    g = running(g, [*by, "_b", "_pre"], [F.col("_y")], sums=("_n0",))
-    strict = g.groupBy(*by).agg(F.sum(F.col("_n1") * (F.col("cum__n0") - F.col("_n0"))).alias("_conc"))
-    t = d.groupBy(*by, "_r", "_y").agg(F.count(F.lit(1)).alias("_c"))
-    t = running(t, [*by, "_r"], [F.col("_y")], sums=("_c",))
-    ties = t.groupBy(*by).agg(F.sum(F.col("_c") * (F.col("cum__c") - F.col("_c"))).alias("_ties"))
-    yy = d.groupBy(*by, "_y").agg(F.count(F.lit(1)).alias("_c"))
-    yy = running(yy, by, [F.col("_y")], sums=("_c",))
-    pairs = yy.groupBy(*by).agg(F.sum(F.col("_c") * (F.col("cum__c") - F.col("_c"))).alias("n_pairs"))
-    out = pairs.join(strict, by, "left").join(ties, by, "left")
-    num = F.coalesce(F.col("_conc"), F.lit(0)).cast("double") + 0.5 * F.coalesce(F.col("_ties"), F.lit(0))
-    return out.select(*by, "n_pairs", F.when(F.col("n_pairs") > 0, num / F.col("n_pairs"))
+    d = d.groupBy(*by, "_y", "_p").agg(F.count(F.lit(1)).alias("_c"))
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/counted-{uuid.uuid4().hex}"
+    d.write.parquet(path)
+    d = spark.read.schema(d.schema).parquet(path)
+    n = max(n, -(-d.count() // RANGE_ROWS))
+    d = _ranged(d, n, by, [F.col("_p"), F.desc("_y")], "_rp")
+    d = _ranged(d, n, by, [F.col("_y"), F.desc("_p")], "_ry")
+
+    def count(pdf, a, b):
+        out = pdf[by].iloc[:1].copy()
+        # numbers in place of values: equal ones are equal whatever their type, NaN the largest
+        a, b = (np.unique(pdf[c].to_numpy(), return_inverse=True)[1] for c in (a, b))
+        out["_conc"] = dominated(a, b, None, pdf["_c"].to_numpy(np.int64))
+        return out
+
+    schema = T.StructType([*[df.schema[c] for c in by], T.StructField("_conc", T.LongType())])
+    cells = d.groupBy(*by, "_ry", "_rp").agg(F.sum("_c").alias("_c"))
+    per_y = d.groupBy(*by, "_ry", "_y", "_rp").agg(F.sum("_c").alias("_c"))
+    strict = d.select(*by, "_rp", "_y", "_p", "_c").groupBy(*by, "_rp").applyInPandas(lambda pdf: count(pdf, "_y", "_p"), schema) \
+        .unionByName(per_y.groupBy(*by, "_ry").applyInPandas(lambda pdf: count(pdf, "_y", "_rp"), schema)) \
+        .unionByName(cells.groupBy(*by).applyInPandas(lambda pdf: count(pdf, "_ry", "_rp"), schema))
+    strict = strict.groupBy(*by).agg(F.sum("_conc").alias("_conc"))
+
+    def square(c):
+        return c.cast("decimal(18,0)") * c.cast("decimal(18,0)")
+    both = d.groupBy(*by).agg(F.sum("_c").alias("_n"), F.sum(square(F.col("_c"))).alias("_same"))
+    same = [d.groupBy(*by, c).agg(F.sum("_c").alias("_k")).groupBy(*by).agg(F.sum(square(F.col("_k"))).alias(f"_same{c}")) for c in ("_y", "_p")]
+    out = reduce(lambda left, right: left.join(right.withColumnsRenamed({c: f"_on_{c}" for c in by}), F.lit(True) if not by else
+                                               [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in by]).drop(*[f"_on_{c}" for c in by]), [both, *same, strict])
+    out = out.select(*by, ((square(F.col("_n")) - F.col("_same_y")) / 2).cast("long").alias("n_pairs"),
+                     ((F.col("_same_p") - F.col("_same")) / 2).cast("double").alias("_ties"), F.col("_conc").cast("double").alias("_conc"))
+    return out.select(*by, "n_pairs", F.when(F.col("n_pairs") > 0, (F.col("_conc") + 0.5 * F.col("_ties")) / F.col("n_pairs"))
                       .otherwise(F.lit(0.0)).alias("c_index"))
 
 

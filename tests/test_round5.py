@@ -80,3 +80,28 @@ def test_corrupt_as_text(spark):
         for r in want:
             for c in ("masked_ids", "labels"):
                 assert got[r.k][c] == (None if r[c] is None else ",".join(map(str, r[c])))
+
+
+def test_concordance_in_ranges(spark, monkeypatch):
+    """Ranges of a few rows; hot values of y and of p, copies, NaN, nulls, a null group."""
+    from seqforge.operators import metrics as G
+    monkeypatch.setattr(G, "RANGE_ROWS", 9)
+    rng = np.random.default_rng(12)
+    nan = float("nan")
+    rows = [(g, float(y), float(p)) for g, my, mp in (("a", 3, 90), ("b", 90, 3), ("c", 50, 50), (None, 4, 4)) for y, p in
+            zip(rng.integers(0, my, 140), rng.integers(0, mp, 140))]
+    rows += [("c", nan, 1.0), ("c", nan, 60.0), ("c", 1.0, nan), ("c", 2.0, nan), ("c", None, 1.0), ("c", 1.0, None), ("one", 1.0, 1.0), ("gone", None, 1.0)]
+    want = {}
+
+    def less(a, b):
+        return a < b or (np.isnan(b) and not np.isnan(a))
+    live = [r for r in rows if r[1] is not None and r[2] is not None]
+    for g, y, p in live:
+        n = want.setdefault(g, [0, 0.0])
+        for h, y2, p2 in live:
+            if g == h and less(y2, y):
+                n[0] += 1
+                n[1] += 1.0 if less(p2, p) else 0.0 if less(p, p2) else 0.5
+    out = G.c_index(spark.createDataFrame(rows, "g string, y double, p double"), ["g"])
+    assert {r.g: (r.n_pairs, round(r.c_index, 9)) for r in out.collect()} == {g: (n, round(s / n, 9) if n else 0.0) for g, (n, s) in want.items()}
+    assert "Generate explode" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row per bit of a rank
