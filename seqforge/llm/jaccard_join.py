@@ -52,7 +52,9 @@ ADDED = ["n_shingles", "component_id"]
 ROUNDS, SMALL, BLOCK_GRAMS = 3, 4096, 1 << 20
 #: Bits of an n-gram's hash that sets keep; slots of the bitmap of wanted sets.
 BITS, SLOTS = 48, 1 << 23
-COLUMNS = 4096
+#: Bytes of text whose n-grams are made at once; columns and rows of sketches that are compared at once.
+BLOCK_TEXT = 1 << 20
+COLUMNS, ROWS = 4096, 256
 U64 = C.U64
 
 
@@ -75,7 +77,7 @@ def grams(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
 
 def _sets(n: int, text_col: str, out: pa.Schema):
     def run(batches):
-        for b in C.batch_blocks(batches, text_col):
+        for b in C.batch_blocks(batches, text_col, BLOCK_TEXT):
             sets = grams(*C.column_bytes(b.column(text_col)), n)
             new = {"n_shingles": [len(s) for s in sets],
                    "_sid": [int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())))) if len(s) else None for s in sets],
@@ -148,6 +150,7 @@ def _cells(pct: int):
                         sets.append(C.unpack_sorted(x))
                 who, keys = cell_keys(sets, pct)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.array(sids, np.int64)[who])], names=["key", "sid"])
+            C.release()
     return run
 
 
@@ -171,6 +174,7 @@ def only(rows: DataFrame, sid_col: str, wanted: DataFrame) -> DataFrame:
             place = np.where(slots > 0, (slots - 1) % each + (1 + (slots - 1) // each) * each, 0)
             at = [i for i in np.flatnonzero(bits[place]) if not (sid[i] in seen or seen.add(sid[i]))]
             yield b.take(pa.array(at, pa.int64()))
+            C.release()
     return rows.mapInArrow(run, rows.schema)
 
 
@@ -201,6 +205,7 @@ def _sketches(batches):
             t = b.slice(at, 256)
             made = [np.packbits(sketch(C.unpack_sorted(x))).tobytes() for x in t.column("set").to_pylist()]
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(made, pa.binary())], names=["sid", "n", "set", "sketch"])
+        C.release()
 
 
 def bits_of(raw: bytes) -> np.ndarray:
@@ -218,6 +223,7 @@ def _bounds(batches):
             least.append((int.from_bytes(x) ^ int.from_bytes(p)).bit_count())
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sid", "pivot", "n", "pivot_n")), pa.array(least, pa.int64())],
                                          names=["sid", "pivot", "n", "pivot_n", "apart"])
+        C.release()
 
 
 def _apart(batches):
@@ -230,6 +236,7 @@ def _apart(batches):
             apart.append(len(x) + len(p) - 2 * int((both[1:] == both[:-1]).sum()))
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("sid", "pivot", "n", "pivot_n")), pa.array(apart, pa.int64())],
                                          names=["sid", "pivot", "n", "pivot_n", "apart"])
+        C.release()
 
 
 PAIRS = "sid long, pivot long, n long, pivot_n long, apart long"
@@ -290,17 +297,22 @@ def unsettled(cells: DataFrame, roots: DataFrame) -> DataFrame:
 
 def candidates(sids: np.ndarray, roots: np.ndarray, sizes: np.ndarray, sketches: list[bytes], pct: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of different components whose sketches allow a link."""
-    bits = [bits_of(x) for x in sketches]
-    width = min(map(len, bits))
-    m = np.stack([folded(x, width) for x in bits]).astype(np.float32)
-    apart = np.zeros((len(m), len(m)), np.float32)
-    for at in range(0, width, COLUMNS):
-        part = m[:, at:at + COLUMNS]
-        ones = part.sum(axis=1)
-        apart += ones[:, None] + ones[None, :] - 2 * (part @ part.T)
-    both, apart = sizes[:, None] + sizes[None, :], apart.astype(np.int64)
-    apart = np.maximum(apart, np.abs(sizes[:, None] - sizes[None, :]))
-    i, j = np.nonzero(np.triu((100 * (both - apart) >= pct * (both + apart)) & (roots[:, None] != roots[None, :]), 1))
+    width = 8 * min(map(len, sketches))
+    m = np.stack([folded(bits_of(x), width) for x in sketches])
+    ones, found = m.sum(axis=1, dtype=np.int64), []
+    for top in range(0, len(m), ROWS):  # a strip against all rows from its first on
+        rest = slice(top, len(m))
+        strip = slice(top, top + ROWS)
+        shared = np.zeros((len(m[strip]), len(m) - top), np.float32)
+        for at in range(0, width, COLUMNS):
+            part = m[rest, at:at + COLUMNS].astype(np.float32)
+            shared += part[:ROWS] @ part.T
+        apart = ones[strip, None] + ones[None, rest] - 2 * shared.astype(np.int64)
+        apart = np.maximum(apart, np.abs(sizes[strip, None] - sizes[None, rest]))
+        both = sizes[strip, None] + sizes[None, rest]
+        i, j = np.nonzero(np.triu((100 * (both - apart) >= pct * (both + apart)) & (roots[strip, None] != roots[None, rest]), 1))
+        found.append((top + i, top + j))
+    i, j = (np.concatenate(x) for x in zip(*found))
     return np.minimum(sids[i], sids[j]), np.maximum(sids[i], sids[j])
 
 
@@ -314,6 +326,7 @@ def _join(pct: int):
             if len(rows) < 2:
                 return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["sid", "pivot"])
             pairs = candidates(*(np.array([r[c] for r in rows], np.int64) for c in ("sid", "root", "n")), [r["sketch"] for r in rows], pct)
+            C.release()
             return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], names=["sid", "pivot"])
         for b in batches:
             for at in range(0, b.num_rows, 64):

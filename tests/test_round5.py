@@ -105,3 +105,44 @@ def test_concordance_in_ranges(spark, monkeypatch):
     out = G.c_index(spark.createDataFrame(rows, "g string, y double, p double"), ["g"])
     assert {r.g: (r.n_pairs, round(r.c_index, 9)) for r in out.collect()} == {g: (n, round(s / n, 9) if n else 0.0) for g, (n, s) in want.items()}
     assert "Generate explode" not in out._jdf.queryExecution().optimizedPlan().toString()  # no row per bit of a rank
+
+
+def test_sketches_are_compared_in_strips(monkeypatch):
+    """The pairs of all rows at once, and memory of a strip's rows times all, not of all times all."""
+    import tracemalloc
+
+    from seqforge.llm import jaccard_join as J
+    rng = np.random.default_rng(9)
+    base = [np.unique(rng.integers(0, 1 << J.BITS, 300, dtype=np.uint64)) for _ in range(4)]
+    sets = [np.unique(np.concatenate((b[rng.random(len(b)) < 0.97], rng.integers(0, 1 << J.BITS, rng.integers(0, 20), dtype=np.uint64)))) for b in base for _ in range(400)]
+    raw = [np.packbits(J.sketch(x)).tobytes() for x in sets]
+    sids, roots, sizes = np.arange(len(sets))[::-1].copy(), np.arange(len(sets)) % 5, np.array([len(x) for x in sets])
+    width = 8 * min(map(len, raw))
+    m = np.stack([J.folded(J.bits_of(x), width) for x in raw]).astype(np.int64)
+    want = set()
+    for i in range(len(m)):
+        apart = np.maximum((m[i] ^ m[i + 1:]).sum(axis=1), np.abs(sizes[i] - sizes[i + 1:]))
+        both = sizes[i] + sizes[i + 1:]
+        ok = (100 * (both - apart) >= 85 * (both + apart)) & (roots[i] != roots[i + 1:])
+        want |= {(min(sids[i], sids[j]), max(sids[i], sids[j])) for j in i + 1 + np.flatnonzero(ok)}
+    J.candidates(sids[:9], roots[:9], sizes[:9], raw[:9], 85)
+    tracemalloc.start()
+    got = J.candidates(sids, roots, sizes, raw, 85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(want) and set(zip(*(x.tolist() for x in got))) == want
+    assert peak < 48 << 20
+
+
+def test_grams_of_a_block_of_text(monkeypatch):
+    """Arrays of a word's or byte's length are made for a megabyte of text at a time."""
+    import pyarrow as pa
+
+    from seqforge.llm import jaccard_join as J
+    seen, grams = [], J.grams
+    monkeypatch.setattr(J, "grams", lambda data, offs, n: seen.append(len(data)) or grams(data, offs, n))
+    texts = [f"w{i} " * 500 for i in range(3000)]
+    b = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": texts})
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("_sid", pa.int64()), ("_set", pa.binary())])
+    rows = sum(x.num_rows for x in J._sets(4, "text", out)([b]))
+    assert rows == 3000 and sum(seen) == sum(map(len, texts)) and max(seen) <= 1 << 20
