@@ -2,8 +2,8 @@
 merged into heaps of positives and heaps per score window.
 
 Vectors become integers and are packed into chunks, anchors into blocks, both
-of bounded size.  Every block meets every chunk once as a tile (an equi-join
-of row numbers, so neither side is ever broadcast or gathered).  A tile is
+of bounded size.  Every block meets every chunk once as a tile (a merge join
+of chunk numbers, so neither side is ever broadcast or gathered).  A tile is
 multiplied by Strassen's seven products down to a small leaf, on int64 with
 zero padding; sums and differences modulo 2^64 are exact as long as the
 result fits, which a bound on the tile decides beforehand.  What would not fit is
@@ -39,7 +39,8 @@ HELD = 64
 # ---------------------------------------------------------------- products
 
 def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
-    """a @ b of int64 matrices by Strassen's recursion (modulo 2^64)."""
+    """a @ b of int64 matrices by Strassen's recursion (modulo 2^64), or of
+    matrices of doubles that are whole and small enough to stay exact."""
     m, k, n = *a.shape, b.shape[1]
     if min(m, k, n) <= leaf:
         return a @ b
@@ -53,7 +54,7 @@ def strassen(a: np.ndarray, b: np.ndarray, leaf: int = LEAF) -> np.ndarray:
     right = strassen(a11, b12 - b22, leaf)
     left = strassen(a22, b21 - b11, leaf)
     high = strassen(a11 + a12, b22, leaf)
-    out = np.empty((m, n), np.int64)
+    out = np.empty((m, n), a.dtype)
     out[:h, :w] = both + left - high + strassen(a12 - a22, b21 + b22, leaf)
     out[:h, w:] = right + high
     out[h:, :w] = low + left
@@ -69,7 +70,11 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not a.size or not b.size:
         return np.zeros((len(a), len(b)), np.int64)
     fits = a.dtype.kind == b.dtype.kind == "i"
-    if fits and k * int(np.abs(a).max()) * int(np.abs(b).max()) < 1 << 62:
+    bound = k * int(np.abs(a).max()) * int(np.abs(b).max()) if fits else 0
+    halvings = (min(len(a), k, len(b)) // LEAF).bit_length()  # each doubles the numbers of both sides at most
+    if fits and bound << 2 * halvings + 2 < 1 << 53:
+        s = strassen(a.astype(np.float64), b.T.astype(np.float64, "C")).astype(np.int64)  # whole numbers, multiplied faster
+    elif fits and bound < 1 << 62:
         s = strassen(a, np.ascontiguousarray(b.T))
     else:
         whole = np.frompyfunc(int, 1, 1)
@@ -209,6 +214,27 @@ def best_of(s: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
     return top, who
 
 
+def _in_windows(s: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row and window (low to high) the k best scores and their ids, which
+    ascend.  ``low`` may leave out what a full heap no longer takes: then few
+    entries of the tile are looked at again."""
+    least, most = np.where(high == NONE, SCORE_LIMIT + 1, low).min(axis=1), high.max(axis=1)
+    i, j = np.nonzero((s >= least[:, None]) & (s <= most[:, None]))
+    if 8 * len(i) > s.size:
+        found = [best_of(np.where((s >= low[:, w, None]) & (s <= high[:, w, None]), s, NONE), ids, k) for w in range(low.shape[1])]
+        return tuple(np.stack(x, axis=1) for x in zip(*found))
+    v, top = s[i, j], np.full((*low.shape, k), NONE)
+    who = np.zeros_like(top)
+    for w in range(low.shape[1]):
+        ok = np.flatnonzero((v >= low[i, w]) & (v <= high[i, w]))
+        ok = ok[np.lexsort((j[ok], -v[ok], i[ok]))]
+        row = i[ok]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, at, place = row[place < k], ok[place < k], place[place < k]
+        top[row, w, place], who[row, w, place] = v[at], ids[j[at]]
+    return top, who
+
+
 def merged(a, b):
     """Of two heaps (scores, ids) the k best entries of each row."""
     k = a[0].shape[-1]
@@ -236,11 +262,10 @@ def _tile(r: dict, wanted: int, negatives: int, same: bool):
                 s = scores(a[rows], b[cols])
                 if same:
                     s[keys[rows][:, None] == row_keys[cols][None, :]] = NONE
-                    found = [best_of(s, ids[cols], wanted)]
+                    top = best_of(s, ids[cols], wanted)
+                    found = top[0][:, None], top[1][:, None]
                 else:
-                    found = [best_of(np.where((s >= low[rows, w, None]) & (s <= high[rows, w, None]), s, NONE), ids[cols], negatives)
-                             for w in range(wanted)]
-                found = tuple(np.stack(x, axis=1) for x in zip(*found))
+                    found = _in_windows(s, ids[cols], np.maximum(low[rows], heap[0][rows, :, -1]), high[rows], negatives)
                 for x, y in zip(heap, merged((heap[0][rows], heap[1][rows]), found)):
                     x[rows] = y
     return keys, heap
@@ -300,22 +325,28 @@ def mine(rows: DataFrame, anchors: Column, positives: int = 5, negatives: int =
                         F.col(vec_col).alias("vec"), F.coalesce(anchors, F.lit(False)).alias("is_anchor"))
     chunks = C.stored(taken.dropna(subset=["id", "label", "vec"]).mapInArrow(_pack(CHUNK_CELLS), PACKED_DDL), "chunks")
     n_chunks, n_anchors = chunks.agg(F.count("*"), F.coalesce(F.sum("anchors"), F.lit(0))).first()
-    spread = max(n_chunks, C.partitions_of(spark))
-    dealt = chunks.drop("anchors", "is_anchor").withColumn("place", F.pmod(F.xxhash64("chunk"), F.lit(spread).cast("long")))
     anchor = C.stored(chunks.filter("anchors > 0").mapInArrow(
         _anchor_rows, "key long, id long, label long, kind string, vec binary"), "anchors")
     blocks = max(1, -(-n_anchors // BLOCK_ROWS))
+    # a chunk is sent to ``parts`` tasks, so that few chunks keep all cores busy, and each block to one part of every chunk;
+    # the number of tasks is given, since by their bytes a few tasks would get them all (below Spark's own it would deal them again)
+    parts = max(1, min(blocks, -(-4 * spark.sparkContext.defaultParallelism // max(1, n_chunks))))
+    tasks = max(C.partitions_of(spark), 2 * parts * n_chunks)
+    places = F.broadcast(chunks.select("chunk"))  # a number per chunk
+    dealt = chunks.drop("anchors", "is_anchor").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
 
     def heaps(of: DataFrame, same: bool) -> DataFrame:
         packed = C.stored(of.repartition(blocks, "key").mapInArrow(_block(positives, low_pct, high_pct), BLOCK), "blocks")
-        sent = packed.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)).cast("array<long>")))
-        return sent.join(dealt, "place").mapInArrow(_heaps(positives, negatives, same), HEAP)
+        sent = packed.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(parts).cast("long"))).crossJoin(places)
+        # as files the vectors look small enough to broadcast; unpacked, and sent to every chunk, they are not
+        return sent.repartition(tasks, "chunk", "part").hint("merge").join(
+            dealt.repartition(tasks, "chunk", "part"), ["chunk", "part"]).mapInArrow(_heaps(positives, negatives, same), HEAP)
 
     found = _ranked(heaps(anchor.withColumn("scores", F.lit(None).cast("array<long>")), True), positives)
     found = C.stored(found.select("key", (F.col("rank") - 1).alias("slot"), F.col("id").alias("positive_id"),
                                   F.col("score").alias("positive_score")), "positives")
     best = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("slot", "positive_score"))).getField("positive_score").alias("scores"))
-    hard = _ranked(heaps(anchor.join(best, "key"), False), negatives)
+    hard = _ranked(heaps(anchor.hint("merge").join(best, "key"), False), negatives)
     return hard.join(found, ["key", "slot"]).join(anchor.select("key", F.col("id").alias("anchor_id")), "key").select(
         "anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
 

@@ -74,3 +74,44 @@ def test_no_rows(spark):
     assert mined(spark, [(1, [0.5], 1)]) == [] and mined(spark, [(50, [0.5], 1)]) == []
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert hn.digest(df).count() == 0
+
+
+def test_nothing_but_chunk_numbers_is_broadcast(spark):
+    """The files of blocks are small, what is made of them is not: each is sent to every chunk."""
+    r = random.Random(6)
+    rows = [(i, [r.random() for _ in range(4)], r.randint(0, 2)) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = hn.mine(df, F.col("vec_id") % 50 == 0)
+    plan = got._jdf.queryExecution().executedPlan().toString().split("AdaptiveSparkPlan", 1)[1]
+    lines = plan.splitlines()
+    for at, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            below = [x for x in lines[at + 1:at + 2] if len(x) - len(x.lstrip(" :+-")) > depth]
+            assert below and not any("vec" in x for x in below)
+    assert "SortMergeJoin [chunk" in plan and plan.count("hashpartitioning(chunk") == 2
+    assert sorted(tuple(x) for x in got.collect()) == brute(rows)
+
+
+def test_exact_beyond_doubles():
+    """Products go through doubles only while every sum of the recursion is a whole number that they hold."""
+    r = np.random.default_rng(7)
+    for top in (100, 10**5, 10**6, 10**7, 2**27):
+        a, b = r.integers(-top, top + 1, (70, 64)), r.integers(-top, top + 1, (90, 64))
+        a[0], b[0] = top, top
+        want = np.clip(a @ b.T, -BIG, BIG)
+        assert (hn.scores(a, b) == want).all()
+        assert (hn.scores(a[:3], b[:5]) == want[:3, :5]).all()
+
+
+def test_windows_sparse_and_dense(monkeypatch):
+    r = np.random.default_rng(8)
+    s, ids = r.integers(0, 400, (30, 200)), np.arange(200) * 3
+    low, high = r.integers(0, 300, (30, 4)), r.integers(100, 400, (30, 4))
+    high[5:9, 2:] = hn.NONE
+    high[20:] = low[20:] + 2
+    for part in (slice(0, 20), slice(20, 30)):  # many entries within the windows, and few
+        top, who = hn._in_windows(s[part].copy(), ids, low[part], high[part], 3)
+        for i, w in np.ndindex(low[part].shape):
+            want = sorted((-x, y) for x, y in zip(s[part][i].tolist(), ids.tolist()) if low[part][i, w] <= x <= high[part][i, w])[:3]
+            assert [(-x, y) for x, y in zip(top[i, w].tolist(), who[i, w].tolist()) if x != hn.NONE] == want
