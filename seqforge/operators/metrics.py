@@ -11,9 +11,11 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from seqforge.functions.scalar import strip
 
@@ -374,8 +376,8 @@ def c_index(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFra
                       .otherwise(F.lit(0.0)).alias("c_index"))
 
 
-#: Blocks of a rank in a group, at most, and rows of a block, at least.
-BLOCKS, BLOCK_ROWS = 64, 1 << 14
+#: Ranges of an order, at least if they have BLOCK_ROWS rows, and rows of one beyond that, about.
+BLOCKS, BLOCK_ROWS, MOST_ROWS = 64, 1 << 14, 1 << 19
 #: Keys of up to 2 ** SMALL rows are not split.
 SMALL = 6
 
@@ -445,62 +447,172 @@ def dominated(t, y, p, w) -> int:
     return found
 
 
+def concordant(v: np.ndarray) -> int:
+    """Pairs of places i < j with ``v[i] < v[j]``.  Values become ranks (of equal
+    ones the later has the smaller) and are split by halves of their range, all
+    nodes of a level at once: a node holds every rank of its range, so its size is known."""
+    n = len(v)
+    size = 1 << max(0, n - 1).bit_length()
+    x = np.empty(size, np.int32)
+    x[:size - n] = np.arange(size - 1, n - 1, -1)  # larger ones before all others make no pair
+    x[size - 1 - np.argsort(v[::-1], kind="stable")] = np.arange(n)
+    found, nodes = 0, 1
+    while size > 1:
+        half = size // 2
+        high = x >= half
+        low = ~high
+        found += int(np.cumsum(low, dtype=np.int32)[high].sum(dtype=np.int64)) - half * half * (nodes * (nodes - 1) // 2)
+        x = np.stack((x[low].reshape(nodes, half), x[high].reshape(nodes, half) - half), axis=1).ravel()
+        size, nodes = half, 2 * nodes
+    return found
+
+
+def _orderable(col) -> np.ndarray:
+    """Numbers in the order of the values, equal for equal ones (NaN the largest)."""
+    x = col.to_numpy()
+    if x.dtype.kind == "f" and not np.isnan(x).any() or x.dtype.kind == "i" and x.min(initial=0) > np.iinfo(x.dtype).min:
+        return x
+    return np.unique(x, return_inverse=True)[1]
+
+
+def _groups_of(t: pa.Table, by: list[str]):
+    """Places of the rows of each group."""
+    code = np.zeros(len(t), np.int64)
+    for c in by:
+        x = pa.chunked_array([t.column(c).combine_chunks()]).dictionary_encode(null_encoding="encode").chunk(0)
+        if len(x.dictionary) > 1:
+            code = np.unique(code * len(x.dictionary) + x.indices.to_numpy(), return_inverse=True)[1]
+    order = np.argsort(code, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(code[order])) + 1)
+
+
+def _pairs_in_order(batches, by: list[str], task, passed):
+    """Rows of a range go on with the columns of the schema ``passed``, then come those that ``task``
+    makes of each group: a dictionary of columns, others are null."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    t = pa.Table.from_batches(held)
+    if passed[1]:
+        for b in held:
+            yield pa.RecordBatch.from_arrays([b.column(f.name) if f.name in b.schema.names else pa.nulls(b.num_rows, f.type)
+                                              for f in passed[0]], schema=passed[0])
+    del held
+    out = {f.name: [] for f in passed[0]}
+    for at in _groups_of(t, by):
+        for made in task(t.select([c for c in t.column_names if c not in by]).take(pa.array(at))):
+            n = len(made["w"])
+            for f in passed[0]:
+                out[f.name].append(t.column(f.name).take(pa.array(np.repeat(at[:1], n))).combine_chunks() if f.name in by else
+                                   pa.array(made[f.name], f.type) if f.name in made else pa.nulls(n, f.type))
+    whole = pa.Table.from_arrays([pa.chunked_array(out[f.name], f.type) for f in passed[0]], schema=passed[0])
+    yield from whole.combine_chunks().to_batches()
+
+
+#: What a row of counts holds: pairs of o and y, other pairs, cells of (T, Y), of (T, p), of (Y, p).
+PAIRS, OTHERS, CELLS_TY, CELLS_TP, CELLS_YP = range(5)
+
+
+def _along_t(t: pa.Table):
+    o, y, p = (_orderable(t.column(c)) for c in ("_o", "_y", "_p"))
+    order = np.lexsort((p, -y, o))
+    yield {"what": [PAIRS, OTHERS], "w": [concordant(y[order]), concordant(p[order])]}
+
+
+def _along_y(t: pa.Table):
+    o, y, p = (_orderable(t.column(c)) for c in ("_o", "_y", "_p"))
+    rt, ry = t.column("_rt").to_numpy(), t.column("_ry")[0].as_py()
+    yield {"what": [PAIRS, OTHERS], "w": [concordant(y[np.lexsort((-y, rt))]), concordant(p[np.lexsort((-p, -o, y))])]}
+    cell, w = np.unique(rt, return_counts=True)
+    yield {"what": np.full(len(w), CELLS_TY), "_rt": cell, "_ry": np.full(len(w), ry), "w": w}
+
+
+def _along_p(t: pa.Table):
+    p, k = _orderable(t.column("_p")), t.column("_rp")[0].as_py()
+    first, last = int(p.argmin()), int(p.argmax())
+    kind = np.where(p == p[first], 0, np.where(p == p[last], 2, 1))
+    same = np.unique(p[kind == 1], return_counts=True)[1].astype(np.int64)
+    found = int((same * (same - 1) // 2).sum())
+    for what, c in ((CELLS_TP, "_rt"), (CELLS_YP, "_ry")):
+        r = t.column(c).to_numpy().astype(np.int64)
+        cell, w = np.unique(r * 3 + kind, return_counts=True)
+        cell, edge = cell // 3, cell % 3
+        found += concordant(p[np.lexsort((-p, r))]) - dominated(cell, edge, None, w)
+        values = t.column("_p").take(pa.array(np.array([first, 0, last])[edge], mask=edge == 1)).combine_chunks()
+        yield {"what": np.full(len(w), what), "cell": cell, "k": np.full(len(w), k), "kind": edge, "v": values, "w": w}
+    yield {"what": [OTHERS], "w": [found]}
+
+
 def c_index_ordered(df: DataFrame, by: list[str], order: str, y: str = "y", p: str = "p") -> DataFrame:
     """Concordance index over the pairs whose *later* row (along ``order``)
     has the larger y: 1 when its p is larger too, 1/2 when equal, divided by
     the number of such pairs (0 when there are none).
 
-    That is dominance counting in three dimensions, and no pair is formed.
-    Rows get their places along order, y and p (distributed ranks; ties are
-    broken so that a tie counts, or does not count, as it should), and every
-    place falls into one of up to ``BLOCKS`` equal blocks.  A pair in one block
-    of the order is counted in that block, else one in one block of y there,
-    else one in one block of p there (see :func:`dominated`), and the rest
-    by the numbers of rows per cell of blocks.  So a row is sent four times, whatever
-    its values, and no task holds more than a ``BLOCKS``-th of a group, or ``BLOCK_ROWS``
-    rows.  Rows with a null y or p take no part; among rows of equal
+    That is dominance counting in three dimensions, and no pair is formed.  Of three orders either all
+    agree on a pair or exactly two of the three pairs of orders disagree, so counts in two
+    dimensions are enough.  Let T be the order along (o, y falling, p), Y along (y, o falling,
+    p falling).  With A the pairs of smaller o and y, D those earlier in T and smaller in p, E those earlier in
+    Y and smaller in p, S those of equal p and N all pairs, twice the wanted sum is A + D + E + S - N: that holds for
+    each pair, whatever of it is equal.
+
+    Rows lie in ranges along T, then along Y, then along p.  Pairs of one range are counted there (see
+    :func:`concordant`), pairs of one range of the other order there, by the range in the first, and the rest
+    by the numbers of rows per cell of ranges.  A value of p may fill many ranges: the first and the last value of a range have
+    cells of their own.  So a row is sent three times, whatever its values, and no
+    task holds more than a range.  Rows with a null y or p take no part; among rows of equal
     ``order`` none is the later one."""
-    one = F.lit(1).cast("long").alias("_one")
-    d = df.select(*by, F.col(order).alias("_o"), F.col(y).alias("_y"), F.col(p).alias("_p"), one).filter(
+    spark = df.sparkSession
+    d = df.select(*by, F.col(order).alias("_o"), F.col(y).alias("_y"), F.col(p).alias("_p")).filter(
         F.col("_y").isNotNull() & F.col("_p").isNotNull() & F.col("_o").isNotNull())
-    for name, along in (("_t", [F.col("_o"), F.desc("_y"), F.col("_p")]), ("_ry", [F.col("_y"), F.desc("_t")]),
-                        ("_pa", [F.col("_p"), F.desc("_t")]), ("_pb", [F.col("_p"), F.col("_t")])):
-        d = running(d, by, along, sums=("_one",)).withColumnRenamed("cum__one", name)
-        d = d.withColumnRenamed("_one_total", "_n") if name == "_t" else d.drop("_one_total", "_o", "_y")
-    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/places-{uuid.uuid4().hex}"
-    d.select(*by, "_n", "_t", "_ry", "_pa", "_pb").write.parquet(path)
-    d = df.sparkSession.read.schema(d.select(*by, "_n", "_t", "_ry", "_pa", "_pb").schema).parquet(path)
-    blocks = F.least(F.lit(BLOCKS), F.ceil(F.col("_n") / BLOCK_ROWS))
-    names = {"_bt": "_t", "_by": "_ry", "_ba": "_pa", "_bb": "_pb"}
-    d = d.select("*", *[F.floor((F.col(c) - 1) * blocks / F.col("_n")).cast("long").alias(b) for b, c in names.items()]).drop("_n")
-
-    none = F.lit(0).cast("long")
-    one = F.lit(1).cast("long")
-
-    def rows(what: int, block, t, ry, pa, pb, w=one):
-        return F.struct(F.lit(what).alias("_what"), F.col(block).alias("_block") if block else none.alias("_block"),
-                        *[(F.col(c) if c else none).alias(n) for n, c in (("t", t), ("y", ry), ("a", pa), ("b", pb))], w.alias("w"))
-    sent = d.select(*by, F.inline(F.array(
-        rows(0, "_bt", "_t", "_ry", "_pa", "_pb"), rows(1, "_by", "_bt", "_ry", "_pa", "_pb"),
-        rows(2, "_ba", "_bt", "_by", "_pa", None), rows(3, "_bb", "_bt", "_by", None, "_pb"))))
-    for what, a, b in ((4, "_ba", None), (5, None, "_bb")):
-        cells = d.groupBy(*by, "_bt", "_by", a or b).agg(F.count(F.lit(1)).alias("_w"))
-        sent = sent.unionByName(cells.select(*by, F.inline(F.array(rows(what, None, "_bt", "_by", a, b, F.col("_w"))))))
-
-    def count(pdf):
-        what = int(pdf["_what"].iloc[0])
-        t, ry, a, b, w = (pdf[c].to_numpy(np.int64) for c in ("t", "y", "a", "b", "w"))
+    n = d.count()
+    n = max(1, min(max(BLOCKS, -(-n // MOST_ROWS)), -(-n // BLOCK_ROWS)))
+    long, keys = T.LongType(), [d.schema[c] for c in by]
+    value = T.StructField("_p", d.schema["_p"].dataType)
+
+    def through(rows, along, number, task, fields, on):
+        """The table that the ranges along ``along`` make, stored (a range exchange samples its cut points anew in every plan)."""
+        schema = T.StructType([*keys, *fields, *[T.StructField(c, long) for c in ("what", "w")]])
+        arrow = to_arrow_schema(schema)
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pairs-{uuid.uuid4().hex}"
+        rows.repartitionByRange(n, *by, *along).withColumn(number, F.spark_partition_id().cast("long")).mapInArrow(
+            lambda batches: _pairs_in_order(batches, by, task, (arrow, on)), schema).write.parquet(path)
+        return spark.read.schema(schema).parquet(path)
+    rt, ry = (T.StructField(c, long) for c in ("_rt", "_ry"))
+    ranged = through(d, [F.col("_o"), F.desc("_y"), F.col("_p")], "_rt", _along_t, [d.schema["_o"], d.schema["_y"], value, rt], True)
+    small = [ranged.filter("what is not null")]
+    ranged = through(ranged.filter("what is null").drop("what", "w"), [F.col("_y"), F.desc("_o"), F.desc("_p")], "_ry", _along_y, [value, rt, ry], True)
+    small.append(ranged.filter("what is not null").withColumnsRenamed({"_rt": "cell", "_ry": "k"}))
+    # rows of equal p are dealt by their other ranges, too: no value fills a task
+    small.append(through(ranged.filter("what is null").drop("what", "w"), [F.col("_p"), F.xxhash64("_rt", "_ry")], "_rp", _along_p,
+                         [T.StructField("v", value.dataType), *[T.StructField(c, long) for c in ("cell", "k", "kind")]], False))
+    names = [*by, "what", "w", "cell", "k", "kind", "v"]
+    none = {"cell": F.lit(None).cast("long"), "k": F.lit(None).cast("long"), "kind": F.lit(None).cast("long"), "v": F.lit(None).cast(value.dataType)}
+    counts = reduce(DataFrame.unionByName, [x.select(*[F.col(c) if c in x.columns else none[c].alias(c) for c in names]) for x in small])
+
+    def total(pdf):
+        what, w = pdf["what"].to_numpy(np.int64), pdf["w"].to_numpy(np.int64)
         out = pdf[by].iloc[:1].copy()
-        out["more"] = dominated(t, ry, a, w) if what in (0, 1, 2, 4) else 0
-        out["least"] = dominated(t, ry, b, w) if what in (0, 1, 3, 5) else 0
-        out["pairs"] = dominated(t, ry, None, w) if what in (0, 1, 4) else 0
+        cells = pdf[what == CELLS_TY]
+        pairs = int(w[what == PAIRS].sum()) + dominated(*(cells[c].to_numpy(np.int64) for c in ("cell", "k")), None, w[what == CELLS_TY])
+        rows = int(w[what == CELLS_TY].sum())
+        twice = pairs + int(w[what == OTHERS].sum()) - rows * (rows - 1) // 2
+        for kind in (CELLS_TP, CELLS_YP):
+            cells, ws = pdf[what == kind], w[what == kind]
+            k, edge = (cells[c].to_numpy(np.int64) for c in ("k", "kind"))
+            places, first, at = np.unique(k * 3 + edge, return_index=True, return_inverse=True)
+            v, inner, rank = cells["v"].to_numpy()[first], places % 3 == 1, np.zeros(len(places), np.int64)
+            for i in range(1, len(places)):
+                same = not inner[i] and not inner[i - 1] and (v[i] == v[i - 1] or v[i] != v[i] and v[i - 1] != v[i - 1])
+                rank[i] = rank[i - 1] + (not same)
+            twice += dominated(cells["cell"].to_numpy(np.int64), rank[at], None, ws)
+            if kind == CELLS_TP:
+                of = np.zeros(int(rank.max(initial=-1)) + 1, np.int64)
+                np.add.at(of, rank[at][edge != 1], ws[edge != 1])
+                twice += sum(int(x) * (int(x) - 1) // 2 for x in of)
+        out["n_pairs"], out["c_index"] = pairs, twice / 2 / pairs if pairs else 0.0
         return out
 
-    schema = T.StructType([*[df.schema[c] for c in by], *[T.StructField(c, T.LongType()) for c in ("more", "least", "pairs")]])
-    found = sent.groupBy(*by, "_what", "_block").applyInPandas(count, schema)
-    total = found.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("more", "least")], F.sum("pairs").alias("n_pairs"))
-    num = F.col("more").cast("double") + 0.5 * (F.col("least") - F.col("more"))
-    return total.select(*by, "n_pairs", F.when(F.col("n_pairs") > 0, num / F.col("n_pairs")).otherwise(F.lit(0.0)).alias("c_index"))
+    return counts.groupBy(*by).applyInPandas(total, T.StructType([*keys, T.StructField("n_pairs", long), T.StructField("c_index", T.DoubleType())]))
 
 
 # G18 -----------------------------------------------------------------------
