@@ -59,3 +59,55 @@ def test_ordered_concordance_of_other_types(spark, monkeypatch):
     assert (r.n_pairs, round(r.c_index, 9)) == plain_ordered(rows)[1]
     r = G.c_index_ordered(df.selectExpr("date_add(date'2020-01-01', cast(o as int)) o", "y", "p", "g"), [], "o").first()
     assert (r.n_pairs, round(r.c_index, 9)) == plain_ordered(rows)[1]
+
+
+def test_matrices_are_packed_whole():
+    import pyarrow as pa
+    from seqforge.sources import files as S
+    for rows in ([[[1.0, 2.0], [3.0, 4.0]], [], [[5.5, -0.0]]], [[]], [], [[[1.0], [2.0, 3.0], []], [[4.0]]]):
+        col = pa.array(rows, pa.list_(pa.list_(pa.float32())))
+        assert S._unpacked(S._packed(col)).to_pylist() == rows
+        assert S._unpacked(S._packed(col.slice(1))).to_pylist() == rows[1:]
+        assert S._unpacked(S._packed(col).slice(1)).to_pylist() == rows[1:]
+    with pytest.raises(ValueError):
+        S._packed(pa.array([[[None, 1.0]]], pa.list_(pa.list_(pa.float32()))))
+
+
+def test_store_writes_matrices_where_they_are_made(spark, tmp_path):
+    """Rows of floats are values of their own in the files, nothing but states leaves the tasks, and functions of
+    matrices are computed where files are read."""
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+    from seqforge.operators import vectors as E
+    from seqforge.sources import files as S
+    t = spark.createDataFrame([(a, b, (i * 7 + j * 3) % 19) for i, a in enumerate("ACDE") for j, b in enumerate("ACDE")], "aa1 string, aa2 string, score int")
+    df = spark.createDataFrame([(i, "ACDE" * (300 * (i % 7)) + "A" * i + "é") for i in range(60)] + [(60, None), (61, ""), (62, "ACDE")], "id long, s string")
+    plans = []
+
+    def fn(u, then=None):
+        out = E.embed_windows(u, "s", ["key"], "substitution", 100, t, states=True, then=then)
+        plans.append((out.columns, out._jdf.queryExecution().executedPlan().toString().count("MapInArrow")))
+        return out
+
+    def plain(u):
+        return E.embed_windows(u, "s", ["key"], "substitution", 100, t)
+    stores = []
+    for name, f in (("one", fn), ("two", plain)):
+        path = f"{tmp_path}/{name}"
+        S.embedding_store(df.filter("id < 20"), path, "s", "substitution", f, 20, digits=1)
+        out = S.embedding_store(df, path, "s", "substitution", f, 20, digits=1)
+        files = [p for p in (tmp_path / name / "matrices").rglob("*") if p.is_file() and p.suffix != ".crc"]
+        assert files and all(p.name.startswith("part-") for p in files)
+        for p in files:
+            assert str(pq.read_schema(p).field("matrix").type.value_type) == "binary"
+        m = S.read_matrices(out, path, "substitution", 1)
+        n = S.read_matrices(out, path, "substitution", 1, {"n": F.col("n_rows"), "t": lambda x: float(x.sum(dtype="float64")), "k": F.size("matrix")})
+        whole = {(r.key, r.window): (r.n_rows, sum(map(sum, r.matrix)), len(r.matrix)) for r in m.collect()}
+        assert {(r.key, r.window): (r.n, r.t, r.k) for r in n.collect()} == whole and m.count() == len(whole)
+        stores.append((whole, sorted((r.id, r.key or "", r.n_rows, r.sums, r.maxima) for r in out.collect())))
+        totals = {}
+        for (key, _), (_, x, _) in whole.items():
+            totals[key] = totals.get(key, 0.0) + x
+        assert totals == {r.key: sum(r.sums) for r in out.collect() if r.key}
+        assert sum(k for _, _, k in whole.values()) == sum({r.key: r.n_rows for r in out.collect() if r.key}.values())
+    assert stores[0] == stores[1] and len(plans) == 2 and all(p == (["key", "n_rows", "sums", "maxima"], 1) for p in plans)
