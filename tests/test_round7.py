@@ -69,6 +69,9 @@ def test_matrices_are_packed_whole():
         assert S._unpacked(S._packed(col)).to_pylist() == rows
         assert S._unpacked(S._packed(col.slice(1))).to_pylist() == rows[1:]
         assert S._unpacked(S._packed(col).slice(1)).to_pylist() == rows[1:]
+        packed = S._packed(col)
+        by_dictionary = pa.ListArray.from_arrays(packed.offsets, packed.values.dictionary_encode())
+        assert S._unpacked(by_dictionary).to_pylist() == rows and S._unpacked(by_dictionary.slice(1)).to_pylist() == rows[1:]
     with pytest.raises(ValueError):
         S._packed(pa.array([[[None, 1.0]]], pa.list_(pa.list_(pa.float32()))))
 
